@@ -12,6 +12,7 @@ from bucketscope.catalog.registry import query
 from bucketscope.catalog.text import boundary, level_rows, rel, slashes
 from bucketscope.operators.audit import audit_pages, estimate_requests, reconcile
 from bucketscope.operators.hierarchy import list_level
+from bucketscope.schema import LISTING_SCHEMA
 from bucketscope.session import scratch
 from bucketscope.streaming.listing import (
     append_to,
@@ -24,9 +25,8 @@ from bucketscope.streaming.listing import (
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # a glob, as a streaming path without one has to be a directory
-    schema = fixtures.table(spark, sf_dir, "lineitem").schema
-    return fixtures.flat_versions(read_stream(spark, f"{sf_dir}/lineitem.parque[t]", schema))
+    """The inventory's files as a stream, a few per micro-batch."""
+    return read_stream(spark, fixtures.inventory_path(spark, sf_dir), LISTING_SCHEMA, files_per_trigger=4)
 
 
 @query("stream_listing", f"select bucket, entry_type, key, size, version_id from r where {EVERY_STEP}", ("r",))
@@ -62,7 +62,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     ("r",),
 )
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return estimate_requests(fixtures.flat_versions(fixtures.table(spark, sf_dir, "lineitem")))
+    return estimate_requests(fixtures.versions(spark, sf_dir))
 
 
 @query(
@@ -72,7 +72,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     ("r",),
 )
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fixtures.flat_versions(fixtures.table(spark, sf_dir, "lineitem"))
+    rows = fixtures.versions(spark, sf_dir)
     return estimate_requests(list_level(rows), max_keys=10)
 
 
@@ -90,7 +90,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     ("r",),
 )
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fixtures.flat_versions(fixtures.table(spark, sf_dir, "lineitem"))
+    rows = fixtures.versions(spark, sf_dir)
     return estimate_requests(rows, max_keys=100, parallel_depth=2)
 
 
@@ -128,7 +128,7 @@ where expected_count <> actual_count""",
     ("r",),
 )
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    expected = fixtures.flat_versions(fixtures.table(spark, sf_dir, "lineitem")).select("bucket", "key", "version_id", "size")
+    expected = fixtures.versions(spark, sf_dir).select("bucket", "key", "version_id", "size")
     last = F.col("size") % 10
     added = expected.filter(last == 2).withColumn("key", F.concat("key", F.lit(".new")))
     actual = expected.filter(last != 3).union(expected.filter(last == 1)).union(added)

@@ -60,7 +60,7 @@ EVERY_STEP = " and ".join(STEPS.values())
 
 
 def _all_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixtures.flat_versions(fixtures.table(spark, sf_dir, "lineitem"))
+    return fixtures.versions(spark, sf_dir)
 
 
 def _register(name: str, config: FilterConfig, test: str) -> None:

@@ -22,7 +22,7 @@ count(*) filter (where entry_type = 'DELETE_MARKER') as total_delete_markers"""
 
 
 def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fixtures.flat_versions(fixtures.table(spark, sf_dir, "lineitem"))
+    rows = fixtures.versions(spark, sf_dir)
     return list_recursive(rows, "data/", max_depth=3)
 
 
@@ -104,7 +104,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("summarize_by_bucket", f"select bucket, {TOTALS} from r group by bucket", ("r",))
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return summarize(fixtures.flat_versions(fixtures.table(spark, sf_dir, "lineitem")), by=["bucket"])
+    return summarize(fixtures.versions(spark, sf_dir), by=["bucket"])
 
 
 @query(
@@ -114,7 +114,7 @@ from r) p group by bucket, prefix""",
     ("r",),
 )
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fixtures.flat_versions(fixtures.table(spark, sf_dir, "lineitem"))
+    rows = fixtures.versions(spark, sf_dir)
     return summarize(rows, by=["bucket", prefix_at_depth(F.col("key"), "", 2).alias("prefix")])
 
 

@@ -28,7 +28,7 @@ from bucketscope.sources.ndjson import RECORD_SCHEMA
 
 
 def _flat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixtures.flat_versions(fixtures.table(spark, sf_dir, "lineitem"))
+    return fixtures.versions(spark, sf_dir)
 
 
 def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:

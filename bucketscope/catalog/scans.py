@@ -202,7 +202,7 @@ count(*) filter (where entry_type = 'DELETE_MARKER') as "TotalDeleteMarkers" fro
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "listing")
     write_listing(
-        fixtures.flat_versions(fixtures.table(spark, sf_dir, "lineitem")), path, "json", Display(versions=True),
+        fixtures.versions(spark, sf_dir), path, "json", Display(versions=True),
         sort=None, summary=True,
     )
     return ndjson.read_summary_json(spark, path)
@@ -216,7 +216,7 @@ cast(sum(length(version_id) + 1) as bigint) as total_size from r group by 1""",
 )
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "tree")
-    rows = fixtures.flat_versions(fixtures.table(spark, sf_dir, "lineitem"))
+    rows = fixtures.versions(spark, sf_dir)
     lines = rows.select("bucket", F.year("last_modified").alias("year"), F.col("version_id").alias("value"))
     lines.write.partitionBy("bucket", "year").text(path)
     tree.register(spark)
@@ -232,5 +232,5 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     ("r",),
 )
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fixtures.flat_versions(fixtures.table(spark, sf_dir, "lineitem"))
+    rows = fixtures.versions(spark, sf_dir)
     return repartition_by_prefix(rows.select("bucket", "key", "size", "version_id"), 8)

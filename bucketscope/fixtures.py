@@ -6,10 +6,14 @@ window, Spark an aggregation, because a key with very many versions would put a
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bucketscope.operators.versions import current_view
 from bucketscope.schema import DELETE_MARKER, LISTING_SCHEMA, OBJECT, PAGE_LOG_SCHEMA
+from bucketscope.session import scratch
 
 BUCKET = "concat('bkt-', cast(l_suppkey % 5 as string), case when l_suppkey % 5 = 4 then '--x-s3' else '' end)"
 KEY = """case l_partkey % 50
@@ -93,6 +97,9 @@ RAW_COLUMNS = {
 }
 
 
+_PATHS: dict[tuple[str, str, str], str] = {}
+
+
 def _expressions(columns: dict[str, str]) -> list[str]:
     return [f"{expression} as {name}" for name, expression in columns.items()]
 
@@ -115,28 +122,49 @@ def _finish(df: DataFrame) -> DataFrame:
     return df.select([known.get(f.name, F.col(f.name)).cast(f.dataType).alias(f.name) for f in LISTING_SCHEMA.fields])
 
 
-def flat_versions(lineitem: DataFrame) -> DataFrame:
-    """The version table without the latest flag, which needs other rows; also for streams."""
-    return _finish(lineitem.selectExpr(*_expressions(VERSION_COLUMNS)).withColumn("is_latest", F.lit(None)))
-
-
-def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def derive_versions(lineitem: DataFrame) -> DataFrame:
     """All versions and delete markers. The latest of each key is aggregated, and marked by a join on the unique triple."""
-    rows = table(spark, sf_dir, "lineitem").selectExpr(*_expressions(VERSION_COLUMNS))
+    rows = lineitem.selectExpr(*_expressions(VERSION_COLUMNS))
     newest = rows.groupBy("bucket", "key").agg(F.max(F.struct("last_modified", "version_id")).alias("newest"))
     newest = newest.select("bucket", "key", F.col("newest.version_id").alias("version_id"), F.lit(True).alias("is_latest"))
-    marked = rows.join(newest, ["bucket", "key", "version_id"], "left")
+    # one row per key is too much to broadcast at scale
+    marked = rows.join(newest.hint("merge"), ["bucket", "key", "version_id"], "left")
     return _finish(marked.withColumn("is_latest", F.coalesce("is_latest", F.lit(False))))
 
 
+def _written(spark: SparkSession, sf_dir: str, name: str, build: Callable[[DataFrame], DataFrame]) -> str:
+    """A table derived from lineitem, written once per application to the shared scratch folder."""
+    where = (spark.sparkContext.applicationId, sf_dir, name)
+    if where not in _PATHS:
+        path = scratch(spark, name)
+        build(table(spark, sf_dir, "lineitem")).write.parquet(path)
+        _PATHS[where] = path
+    return _PATHS[where]
+
+
+def inventory_path(spark: SparkSession, sf_dir: str) -> str:
+    """The version table as Parquet files in key order.
+
+    Listings are made to run over stored inventories, so the queries do the same: filters and column choice reach the
+    scan, and the files give it its parallelism. No file count is set; adaptive execution sizes the range partitions.
+    """
+    order = ("bucket", "key", "version_id")
+    return _written(
+        spark,
+        sf_dir,
+        "inventory",
+        lambda lineitem: derive_versions(lineitem).repartitionByRange(*order).sortWithinPartitions(*order),
+    )
+
+
+def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    return spark.read.schema(LISTING_SCHEMA).parquet(inventory_path(spark, sf_dir))
+
+
 def objects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Current objects: the latest version of each key unless that is a delete marker."""
-    rows = table(spark, sf_dir, "lineitem").selectExpr(*_expressions(VERSION_COLUMNS))
-    rest = [c for c in rows.columns if c not in ("bucket", "key", "last_modified", "version_id")]
-    newest = rows.groupBy("bucket", "key").agg(F.max(F.struct("last_modified", "version_id", *rest)).alias("newest"))
-    latest = newest.select("bucket", "key", "newest.*").filter(F.col("entry_type") == OBJECT)
-    unversioned = F.lit(None).cast("string")
-    return _finish(latest.withColumn("is_latest", F.lit(None))).withColumn("version_id", unversioned)
+    """Current objects of the version table."""
+    return current_view(versions(spark, sf_dir))
 
 
 def buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,8 +184,8 @@ def raw_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").selectExpr(*_expressions(RAW_COLUMNS))
 
 
-def page_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keyed = table(spark, sf_dir, "lineitem").selectExpr(*_expressions(PAGE_KEYS), "l_partkey")
+def derive_page_log(lineitem: DataFrame) -> DataFrame:
+    keyed = lineitem.selectExpr(*_expressions(PAGE_KEYS), "l_partkey")
     pages = keyed.groupBy(*PAGE_KEYS).agg(*[F.expr(e).alias(n) for n, e in PAGE_VALUES.items()])
     versioned = F.col("mode") == "versions"
     known = {
@@ -169,6 +197,10 @@ def page_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select([known.get(f.name, F.col(f.name)).cast(f.dataType).alias(f.name) for f in PAGE_LOG_SCHEMA.fields])
 
 
+def page_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.schema(PAGE_LOG_SCHEMA).parquet(_written(spark, sf_dir, "page-log", derive_page_log))
+
+
 _MARKED = f"""select r.*, {E_TAG} as e_tag, row_number() over (
   partition by bucket, key order by last_modified desc, version_id desc) = 1 as is_latest from r"""
 

@@ -51,19 +51,20 @@ def level_requests(
         raise ValueError("parallel_depth must not be negative")
     prefix = prefix or ""
     counts = prefix_counts(df, prefix, parallel_depth + 1)
-    here = counts.select("bucket", "prefix", "level", (F.col("objects") + F.col("markers")).alias("entries"))
+    # every directory on the way to a row, with the rows that lie in it
+    here = F.when(F.col("at.level") == F.col("level"), F.col("objects") + F.col("markers")).otherwise(0)
     paths = counts.select(
-        "bucket", F.explode(ancestors(F.col("prefix"), prefix, F.col("level"), 0)).alias("at")
-    ).distinct()
-    # every directory, as an entry of the one above it, and as itself with no entries yet
-    above = F.when(F.col("at.level") == 1, F.lit(prefix)).otherwise(
-        F.regexp_replace("at.prefix", "[^/]*/$", "")
+        "bucket", "level", "objects", "markers",
+        F.explode(ancestors(F.col("prefix"), prefix, F.col("level"), 0)).alias("at"),
+    ).groupBy("bucket", "at.level", "at.prefix").agg(F.sum(here).alias("entries"))
+    # a directory is an entry of the one above it
+    above = F.when(F.col("level") == 1, F.lit(prefix)).otherwise(F.regexp_replace("prefix", "[^/]*/$", ""))
+    itself = F.struct("level", "prefix", "entries")
+    as_child = F.struct(
+        (F.col("level") - 1).alias("level"), above.alias("prefix"), F.lit(1).cast("bigint").alias("entries")
     )
-    itself = paths.select("bucket", "at.prefix", "at.level", F.lit(0).cast("bigint").alias("entries"))
-    as_child = paths.filter("at.level > 0").select(
-        "bucket", above.alias("prefix"), (F.col("at.level") - 1).alias("level"), F.lit(1).cast("bigint").alias("entries")
-    )
-    total = here.unionByName(itself).unionByName(as_child).groupBy("bucket", "prefix", "level").agg(
+    entries = F.when(F.col("level") > 0, F.array(itself, as_child)).otherwise(F.array(itself))
+    total = paths.select("bucket", F.inline(entries)).groupBy("bucket", "prefix", "level").agg(
         F.sum("entries").alias("entries")
     )
     return total.withColumn("requests", F.greatest(_pages(F.col("entries"), max_keys), F.lit(1).cast("bigint")))

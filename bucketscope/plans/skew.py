@@ -45,7 +45,7 @@ def previous_values(
     keys = [f"_g{i}" for i in range(len(group))]
     # NULL group values are equal to each other, as in a window
     grouped = df.withColumns({k: F.coalesce(F.concat(F.lit("="), F.col(g)), F.lit("")) for k, g in zip(keys, group)})
-    chunked = grouped.withColumn("_chunk", F.floor(F.col(order) / chunk))
+    chunked = grouped.withColumn("_chunk", F.expr(f"`{order}` div {chunk}"))
     values = F.struct(*columns)
     edges = chunked.groupBy(*keys, "_chunk").agg(F.max_by(values, F.col(order)).alias("_last"))
     across = Window.partitionBy(*keys).orderBy("_chunk")
