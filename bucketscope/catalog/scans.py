@@ -114,7 +114,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("scan_many_targets_shuffled", MANY_TARGETS, ("objects", "targets"))
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = under_targets(fixtures.objects(spark, sf_dir), fixtures.targets(spark, sf_dir), broadcast_rows=0)
+    found = under_targets(fixtures.objects(spark, sf_dir), fixtures.targets(spark, sf_dir), broadcast_bytes=0)
     return found.select("bucket", "target_prefix", "key", "size")
 
 
@@ -220,7 +220,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = rows.select("bucket", F.year("last_modified").alias("year"), F.col("version_id").alias("value"))
     lines.write.partitionBy("bucket", "year").text(path)
     tree.register(spark)
-    listed = spark.read.format("object_tree").option("path", path).option("depth", 2).load()
+    listed = spark.read.format("object_tree").option("path", path).option("depth", 2).option("tasks", 8).load()
     listed = listed.withColumns({"bucket": F.lit(""), "entry_type": F.lit("OBJECT")})
     written = apply_filters(listed, FilterConfig(include_regex=r"/part-[^/]*\.txt$"))
     return written.groupBy(F.regexp_extract("key", "^(.*/)", 1).alias("prefix")).agg(F.sum("size").alias("total_size"))

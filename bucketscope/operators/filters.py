@@ -46,10 +46,10 @@ class FilterConfig:
 
     def predicates(self) -> dict[str, Column]:
         """One test per given filter, by name, in the order they are applied; directory rows are not considered."""
-        stored = F.col("entry_type") == OBJECT
+        marker = F.col("entry_type") == DELETE_MARKER
         tests: dict[str, Column] = {}
         if self.include_regex is not None:
-            tests["include_regex"] = key_matches(self.include_regex)
+            tests["include_regex"] = F.col("key").rlike(to_java(self.include_regex))
         if self.exclude_regex is not None:
             tests["exclude_regex"] = ~F.col("key").rlike(to_java(self.exclude_regex))
         if self.mtime_before is not None:
@@ -57,23 +57,32 @@ class FilterConfig:
         if self.mtime_after is not None:
             tests["mtime_after"] = F.col("last_modified") >= _instant(self.mtime_after)
         if self.smaller_size is not None:
-            tests["smaller_size"] = ~stored | (F.col("size") < _bytes(self.smaller_size))
+            tests["smaller_size"] = marker | (F.col("size") < _bytes(self.smaller_size))
         if self.larger_size is not None:
-            tests["larger_size"] = ~stored | (F.col("size") >= _bytes(self.larger_size))
+            tests["larger_size"] = marker | (F.col("size") >= _bytes(self.larger_size))
         if self.storage_class is not None:
-            tests["storage_class"] = ~stored | _class_in(self.storage_class)
+            tests["storage_class"] = marker | _class_in(self.storage_class)
         return tests
 
     def predicate(self) -> Column:
-        """All filters as one condition; each filter is a conjunct of its own, so that it can reach the scan alone."""
-        directory = F.col("entry_type") == PREFIX
-        return reduce(and_, [directory | test for test in self.predicates().values()], F.lit(True))
-
-
-def key_matches(pattern: str) -> Column:
-    found = F.col("key").rlike(to_java(pattern))
-    head = literal_head(pattern)
-    return F.col("key").startswith(head) & found if head else found
+        """All filters as one condition.
+
+        Directory rows pass both parts. They are told apart in two ways, because the optimizer merges alternatives that
+        share a side, and one with a pattern in it would keep the other filters from the scan.
+        """
+        kind = F.col("entry_type")
+        tests = self.predicates()
+        patterns = [tests.pop(name) for name in ("include_regex", "exclude_regex") if name in tests]
+        comparisons = list(tests.values())
+        head = literal_head(self.include_regex) if self.include_regex else None
+        if head:
+            comparisons.append(F.col("key").startswith(head))
+        condition = F.lit(True)
+        if comparisons:
+            condition = (kind == PREFIX) | reduce(and_, comparisons)
+        if patterns:
+            condition = condition & (((kind != OBJECT) & (kind != DELETE_MARKER)) | reduce(and_, patterns))
+        return condition
 
 
 def _bytes(size: int | str) -> Column:

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SCHEME = "s3://"
-BROADCAST_TARGETS = 50_000  # rows; with keys of at most 1,024 bytes this stays near 50 MB
+BROADCAST_BYTES = 32 << 20
+ROW_BYTES = 64  # what a broadcast row takes beside its text
 SALTS = 16
 
 
@@ -34,29 +35,30 @@ def under(df: DataFrame, prefix: str | None) -> DataFrame:
     return df.filter(F.col("key").startswith(prefix)) if prefix else df
 
 
-def under_targets(df: DataFrame, targets: DataFrame, broadcast_rows: int = BROADCAST_TARGETS) -> DataFrame:
+def under_targets(df: DataFrame, targets: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """One listing per target: rows of ``df`` under each ``(bucket, prefix)``, with ``target_prefix`` added.
 
     A key meets a prefix exactly when its head of the prefix's length equals it, so the join is on equality: every row
-    offers one head per prefix length that occurs (at most 1,025 of them, as keys end at 1,024 bytes). Up to
-    ``broadcast_rows`` targets are broadcast and the inventory is not shuffled. More are joined by shuffle, with the
+    offers one head per prefix length that occurs (at most 1,025 of them, as keys end at 1,024 bytes). Targets that
+    take up to ``broadcast_bytes`` are broadcast and the inventory is not shuffled. More are joined by shuffle, with the
     rows under a target spread over ``SALTS`` salts so that a target holding much of the inventory is shared out.
     """
     wanted = targets.select("bucket", F.coalesce("prefix", F.lit("")).alias("target_prefix")).distinct()
-    lengths = sorted(r[0] for r in wanted.select(F.length("target_prefix")).distinct().collect())
-    if not lengths:
+    taken = F.octet_length("bucket") + F.octet_length("target_prefix") + F.lit(ROW_BYTES)
+    sizes = wanted.groupBy(F.length("target_prefix").alias("n")).agg(F.sum(taken).alias("bytes")).collect()
+    if not sizes:
         return df.withColumn("target_prefix", F.lit(None).cast("string")).filter(F.lit(False))
-    small = wanted.limit(broadcast_rows + 1).count() <= broadcast_rows
-    fitting = F.filter(F.lit(lengths).cast("array<int>"), lambda n: n <= F.length("key"))
+    lengths = F.lit(sorted(row["n"] for row in sizes)).cast("array<int>")
+    fitting = F.filter(lengths, lambda n: n <= F.length("key"))
     offered = df.withColumn("_length", F.explode(fitting)).withColumn(
         "target_prefix", F.substring("key", F.lit(1), F.col("_length"))
     )
     on = ["bucket", "target_prefix"]
-    if small:
+    if sum(row["bytes"] for row in sizes) <= broadcast_bytes:
         joined = offered.join(F.broadcast(wanted), on)
     else:
         row_hash = F.xxhash64(*[c for c in ("key", "version_id") if c in df.columns])
         salted = offered.withColumn("_salt", F.pmod(row_hash, F.lit(SALTS)))
         copies = wanted.withColumn("_salt", F.explode(F.lit(list(range(SALTS))).cast("array<bigint>")))
-        joined = salted.join(copies, [*on, "_salt"])
+        joined = salted.join(copies.hint("merge"), [*on, "_salt"])
     return joined.select(*df.columns, "target_prefix")

@@ -1,10 +1,11 @@
-"""``object_tree``: live listing of a directory tree or object store, one Spark task per discovered prefix.
+"""``object_tree``: live listing of a directory tree or object store, split by discovered prefixes.
 
 Spark's file sources leave out names that start with ``_`` or ``.``, so they cannot list a tree completely.
 """
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,14 +21,23 @@ _ARROW_SCHEMA = pa.schema([("key", pa.string()), ("size", pa.int64()), ("last_mo
 
 @dataclass
 class TreePart(InputPartition):
-    """Files below ``prefix``: all of them, or only those directly in it."""
+    """Prefixes one task lists, each with whether it lists all that is below or only the files directly in it."""
 
-    prefix: str
-    recursive: bool
+    prefixes: list[tuple[str, bool]]
+
+
+@dataclass(frozen=True)
+class Found:
+    name: str
+    is_directory: bool
+    size: int
+    mtime_us: int
 
 
 class ObjectTreeSource(DataSource):
-    """Options: ``path`` (directory or a URI that Arrow's file systems know) and ``depth`` (levels to discover)."""
+    """Options: ``path`` (a directory all executors see, or a URI of one of Arrow's file systems), ``depth`` (levels
+    of directories to discover and split by, default 2) and ``tasks`` (most tasks to share them among, default 1024).
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -37,49 +47,56 @@ class ObjectTreeSource(DataSource):
         return TREE_SCHEMA
 
     def reader(self, schema) -> "ObjectTreeReader":
-        return ObjectTreeReader(self.options["path"], int(self.options.get("depth", 2)))
+        depth, tasks = int(self.options.get("depth", 2)), int(self.options.get("tasks", 1024))
+        return ObjectTreeReader(self.options["path"], depth, tasks)
 
 
 class ObjectTreeReader(DataSourceReader):
-    def __init__(self, path: str, depth: int):
-        if depth < 0:
-            raise ValueError("depth must not be negative")
+    def __init__(self, path: str, depth: int, tasks: int):
+        if depth < 0 or tasks < 1:
+            raise ValueError("depth must not be negative and tasks must be positive")
         self.path = path
         self.depth = depth
+        self.tasks = tasks
 
-    def _open(self) -> tuple[fs.FileSystem, str]:
-        local = self.path.removeprefix("file:")
+    def _folder(self, prefix: str) -> Iterator[Found]:
+        """Entries of one directory. A mounted directory is read as a stream, however many files it holds."""
+        local = self.path.removeprefix("file://").removeprefix("file:")
         if local.startswith("/"):
-            return fs.LocalFileSystem(), "/" + local.strip("/")
+            with os.scandir(os.path.join(local, prefix)) as entries:
+                for entry in entries:
+                    status = entry.stat(follow_symlinks=False)
+                    yield Found(entry.name, entry.is_dir(follow_symlinks=False), status.st_size, status.st_mtime_ns // 1000)
+            return
         system, root = fs.FileSystem.from_uri(self.path)
-        return system, root.rstrip("/")
+        for info in system.get_file_info(fs.FileSelector(f"{root.rstrip('/')}/{prefix}".rstrip("/"))):
+            yield Found(info.base_name, info.type == fs.FileType.Directory, info.size or 0, (info.mtime_ns or 0) // 1000)
 
     def partitions(self) -> list[TreePart]:
-        system, root = self._open()
-        parts: list[TreePart] = []
+        shares: list[tuple[str, bool]] = []
         level = [""]
         for _ in range(self.depth):
-            below: list[str] = []
-            for prefix in level:
-                parts.append(TreePart(prefix, recursive=False))
-                entries = system.get_file_info(fs.FileSelector(f"{root}/{prefix}".rstrip("/")))
-                below += [f"{prefix}{e.base_name}/" for e in entries if e.type == fs.FileType.Directory]
-            level = below
-        parts += [TreePart(prefix, recursive=True) for prefix in level]
-        return parts
+            shares += [(prefix, False) for prefix in level]
+            level = [f"{prefix}{e.name}/" for prefix in level for e in self._folder(prefix) if e.is_directory]
+        shares += [(prefix, True) for prefix in level]
+        return [TreePart(shares[n :: self.tasks]) for n in range(min(self.tasks, len(shares)))]
+
+    def _files(self, prefix: str, recursive: bool) -> Iterator[tuple[str, int, int]]:
+        pending = [prefix]
+        while pending:
+            at = pending.pop()
+            for entry in self._folder(at):
+                if not entry.is_directory:
+                    yield at + entry.name, entry.size, entry.mtime_us
+                elif recursive:
+                    pending.append(f"{at}{entry.name}/")
 
     def read(self, partition: TreePart) -> Iterator[pa.RecordBatch]:
-        system, root = self._open()
-        pending = [partition.prefix]
         rows: list[tuple[str, int, int]] = []
-        while pending:
-            prefix = pending.pop()
-            for entry in system.get_file_info(fs.FileSelector(f"{root}/{prefix}".rstrip("/"))):
-                if entry.type == fs.FileType.File:
-                    rows.append((prefix + entry.base_name, entry.size, entry.mtime_ns // 1000))
-                elif entry.type == fs.FileType.Directory and partition.recursive:
-                    pending.append(f"{prefix}{entry.base_name}/")
-                if len(rows) >= BATCH_ROWS:
+        for prefix, recursive in partition.prefixes:
+            for row in self._files(prefix, recursive):
+                rows.append(row)
+                if len(rows) == BATCH_ROWS:
                     yield _batch(rows)
                     rows = []
         if rows:

@@ -1,0 +1,118 @@
+import datetime as dt
+
+import pytest
+from conftest import DAY, keys, row
+
+from bucketscope.operators.sorting import listing_order, sort_buckets, sort_listing, validate_sort
+from bucketscope.operators.summary import summarize, with_summary
+from bucketscope.operators.versions import current_view, history
+from bucketscope.plans.listing import bucket_listing
+from bucketscope.plans.skew import line_numbers, previous_values
+from bucketscope.schema import BUCKET_SCHEMA
+
+
+def test_two_fields(rows):
+    df = rows(row("z.txt", 100), row("b.csv", 5000), row("a.csv", 5000), row("m.txt", 10000))
+    assert keys(sort_listing(df, ["size", "key"])) == ["z.txt", "a.csv", "b.csv", "m.txt"]
+    assert keys(sort_listing(df, ["size", "key"], reverse=True)) == ["m.txt", "b.csv", "a.csv", "z.txt"]
+
+
+def test_keys_in_byte_order(rows):
+    names = ["a", "B", "é", "😀", "￮", "~", "a/b"]
+    assert keys(sort_listing(rows(*[row(n) for n in names]))) == sorted(names, key=lambda n: n.encode())
+
+
+def test_versions_of_a_key_in_order_of_time(rows):
+    at = lambda n: DAY + dt.timedelta(hours=n)
+    df = rows(
+        row("banana", 1, last_modified=at(3), version_id="1"),
+        row("apple", 2, last_modified=at(2), version_id="2"),
+        row("banana", 3, last_modified=at(1), version_id="3"),
+        row("apple", 4, last_modified=at(0), version_id="4"),
+    )
+    assert [r["version_id"] for r in history(df).collect()] == ["4", "2", "3", "1"]
+    by_size = sort_listing(df, ["size"], versions=True)
+    assert [r["size"] for r in by_size.collect()] == [1, 2, 3, 4]
+
+
+def test_directories_last_by_date_and_empty_by_size(rows):
+    df = rows(row("p/", entry_type="PREFIX"), row("x", 5), row("m", entry_type="DELETE_MARKER", size=9))
+    assert keys(sort_listing(df, ["date"])) == ["m", "x", "p/"]
+    assert keys(sort_listing(df, ["date"], reverse=True)) == ["p/", "m", "x"]
+    assert keys(sort_listing(df, ["size"])) == ["m", "p/", "x"]
+
+
+@pytest.mark.parametrize(
+    "fields, mode", [(["bucket"], "objects"), (["key"], "buckets"), (["key", "key"], "objects"), (["key", "size", "date"], "objects")]
+)
+def test_bad_sorts(fields, mode):
+    with pytest.raises(ValueError):
+        validate_sort(fields, mode)
+
+
+def test_sort_defaults():
+    assert validate_sort(None) == ["key"]
+    assert validate_sort([], "buckets") == ["bucket"]
+    assert validate_sort(["key"], versions=True) == ["key", "date"]
+    assert validate_sort(["date"], versions=True) == ["date"]
+    assert validate_sort(["size", "key"], versions=True) == ["size", "key"]
+
+
+def bucket_rows(spark):
+    data = [("c", DAY, "eu", None, None, None), ("a", None, "us", None, None, None), ("b", DAY - dt.timedelta(1), None, None, None, None)]
+    return spark.createDataFrame(data, BUCKET_SCHEMA)
+
+
+def test_bucket_sorts(spark):
+    df = bucket_rows(spark)
+    names = lambda d: [r["name"] for r in d.collect()]
+    assert names(sort_buckets(df)) == ["a", "b", "c"]
+    assert names(sort_buckets(df, ["date"])) == ["a", "b", "c"]
+    assert names(sort_buckets(df, ["region"])) == ["b", "c", "a"]
+    assert names(sort_buckets(df, ["region"], reverse=True)) == ["a", "c", "b"]
+    assert names(bucket_listing(df, name_prefix="b")) == ["b"]
+    assert names(bucket_listing(df, directory=True)) == []
+
+
+def test_summary(rows):
+    df = rows(row("a", 100), row("b", 200), row("p/", entry_type="PREFIX"), row("m", entry_type="DELETE_MARKER", size=0))
+    assert tuple(summarize(df).first()) == (2, 300, 1)
+    assert tuple(summarize(df.filter("false")).first()) == (0, 0, 0)
+    total = with_summary(df).filter("section = 1").collect()
+    assert len(total) == 1 and total[0]["total_size"] == 300 and total[0]["key"] is None
+    assert with_summary(df).count() == 5
+
+
+def test_current_view(rows):
+    df = rows(
+        row("a", 1, version_id="1", is_latest=False),
+        row("a", 2, version_id="2", is_latest=True),
+        row("b", entry_type="DELETE_MARKER", version_id="3", is_latest=True),
+        row("plain", 3),
+    )
+    assert sorted((r["key"], r["size"], r["version_id"]) for r in current_view(df).collect()) == [("a", 2, None), ("plain", 3, None)]
+
+
+def test_line_numbers_follow_the_order(spark, rows):
+    df = spark.range(1000).selectExpr("concat('k', id * 7919 % 1000) as key", "if(id < 500, 'hot', concat('b', id % 3)) as bucket")
+    numbered = line_numbers(df, [df["bucket"].asc(), df["key"].asc()]).collect()
+    assert [tuple(r)[:2] for r in sorted(numbered, key=lambda r: r["pos"])] == sorted(
+        ((r["key"], r["bucket"]) for r in df.collect()), key=lambda r: (r[1], r[0])
+    )
+    assert sorted(r["pos"] for r in numbered) == list(range(1, 1001))
+    assert line_numbers(df.filter("false"), [df["key"].asc()]).count() == 0
+    assert [k.descending for k in listing_order(["key"], reverse=True)][0]
+
+
+def test_previous_values_agree_with_lag(spark):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    df = spark.range(3000).selectExpr(
+        "if(id % 3 = 0, 'hot', if(id % 3 = 1, null, concat('g', id % 5))) as g", "id * 3 as n", "id * 31 % 17 as v"
+    )
+    window = Window.partitionBy("g").orderBy("n")
+    expected = df.withColumn("previous_v", F.lag("v").over(window))
+    for chunk in (1, 7, 4096):
+        got = previous_values(df, ["g"], "n", ["v"], chunk)
+        assert got.exceptAll(expected).count() == 0 and expected.exceptAll(got).count() == 0
