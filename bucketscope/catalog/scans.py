@@ -48,6 +48,23 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plain(inventory.versions(fixtures.versions(spark, sf_dir)))
 
 
+def _register_form(form: str) -> None:
+    @query(f"read_inventory_{form}", f"select {STORED}, version_id, is_latest from versions", ("versions",))
+    def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = scratch(spark, form)
+        rows = fixtures.versions(spark, sf_dir)
+        if form == "csv":
+            rows = rows.withColumn("checksum_algorithm", F.nullif(F.array_join("checksum_algorithm", ","), F.lit("")))
+            rows.write.csv(path, header=True, escape='"', emptyValue='""')
+        else:
+            rows.write.format(form).save(path)
+        return plain(inventory.read_inventory(spark, path, form, line_breaks=True))
+
+
+for _form in ("parquet", "orc", "json", "csv"):
+    _register_form(_form)
+
+
 @query("scan_buckets", f"select {BUCKETS}, owner_display_name, owner_id from buckets", ("buckets",))
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plain(inventory.buckets(fixtures.buckets(spark, sf_dir)))

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bucketscope.operators.hierarchy import write_inventory
 from bucketscope.operators.versions import current_view
 from bucketscope.schema import DELETE_MARKER, LISTING_SCHEMA, OBJECT, PAGE_LOG_SCHEMA
 from bucketscope.session import scratch
@@ -132,12 +133,12 @@ def derive_versions(lineitem: DataFrame) -> DataFrame:
     return _finish(marked.withColumn("is_latest", F.coalesce("is_latest", F.lit(False))))
 
 
-def _written(spark: SparkSession, sf_dir: str, name: str, build: Callable[[DataFrame], DataFrame]) -> str:
+def _written(spark: SparkSession, sf_dir: str, name: str, write: Callable[[DataFrame, str], None]) -> str:
     """A table derived from lineitem, written once per application to the shared scratch folder."""
     where = (spark.sparkContext.applicationId, sf_dir, name)
     if where not in _PATHS:
         path = scratch(spark, name)
-        build(table(spark, sf_dir, "lineitem")).write.parquet(path)
+        write(table(spark, sf_dir, "lineitem"), path)
         _PATHS[where] = path
     return _PATHS[where]
 
@@ -146,15 +147,9 @@ def inventory_path(spark: SparkSession, sf_dir: str) -> str:
     """The version table as Parquet files in key order.
 
     Listings are made to run over stored inventories, so the queries do the same: filters and column choice reach the
-    scan, and the files give it its parallelism. No file count is set; adaptive execution sizes the range partitions.
+    scan, and the files give it its parallelism.
     """
-    order = ("bucket", "key", "version_id")
-    return _written(
-        spark,
-        sf_dir,
-        "inventory",
-        lambda lineitem: derive_versions(lineitem).repartitionByRange(*order).sortWithinPartitions(*order),
-    )
+    return _written(spark, sf_dir, "inventory", lambda rows, path: write_inventory(derive_versions(rows), path))
 
 
 def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -198,7 +193,8 @@ def derive_page_log(lineitem: DataFrame) -> DataFrame:
 
 
 def page_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.schema(PAGE_LOG_SCHEMA).parquet(_written(spark, sf_dir, "page-log", derive_page_log))
+    path = _written(spark, sf_dir, "page-log", lambda rows, path: derive_page_log(rows).write.parquet(path))
+    return spark.read.schema(PAGE_LOG_SCHEMA).parquet(path)
 
 
 _MARKED = f"""select r.*, {E_TAG} as e_tag, row_number() over (

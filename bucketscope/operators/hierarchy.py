@@ -115,7 +115,17 @@ def discover_prefixes(df: DataFrame, prefix: str | None = None, depth: int = DIS
     )
 
 
-def repartition_by_prefix(df: DataFrame, n: int) -> DataFrame:
-    """``n`` partitions of neighbouring keys. Versions take part in the order, so one key with many is split too."""
-    tail = [F.col("version_id")] if "version_id" in df.columns else []
-    return df.repartitionByRange(n, F.col("bucket"), F.col("key"), *tail)
+def repartition_by_prefix(df: DataFrame, n: int | None = None) -> DataFrame:
+    """Partitions of neighbouring keys: ``n`` of them, or as many as adaptive execution finds fit the size.
+
+    Versions take part in the order, so one key with very many of them is split too.
+    """
+    by = [c for c in ("bucket", "key", "version_id") if c in df.columns]
+    return df.repartitionByRange(n, *by) if n else df.repartitionByRange(*by)
+
+
+def write_inventory(df: DataFrame, path: str, n: int | None = None, mode: str = "errorifexists") -> None:
+    """Store an inventory in key order, so that a scan of one bucket or prefix skips the other files and row groups."""
+    ranged = repartition_by_prefix(df, n)
+    order = [c for c in ("bucket", "key", "version_id") if c in df.columns]
+    ranged.sortWithinPartitions(*order).write.mode(mode).parquet(path)

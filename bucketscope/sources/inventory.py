@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from bucketscope.schema import BUCKET_SCHEMA, DELETE_MARKER, LISTING_SCHEMA, OBJECT
 
@@ -24,6 +25,27 @@ def _conform(df: DataFrame, **values: Column) -> DataFrame:
     return df.select(columns)
 
 
+def read_inventory(spark: SparkSession, path: str, form: str = "parquet", line_breaks: bool = False) -> DataFrame:
+    """An inventory in listing columns from ``parquet``, ``orc``, ``json`` or ``csv`` files; no schema inference.
+
+    CSV files have a header with the listing columns, and checksum algorithms joined by commas. With ``line_breaks``
+    their quoted keys may hold such; a file is then read by one task, without it in splits.
+    """
+    if form in ("parquet", "orc"):
+        return spark.read.schema(LISTING_SCHEMA).format(form).load(path)
+    if form == "json":
+        return spark.read.schema(LISTING_SCHEMA).option("mode", "FAILFAST").json(path)
+    if form != "csv":
+        raise ValueError(f"unknown inventory form {form!r}")
+    flat = T.StructType([
+        T.StructField(f.name, T.StringType()) if f.name == "checksum_algorithm" else f for f in LISTING_SCHEMA.fields
+    ])
+    options = {"header": True, "mode": "FAILFAST", "escape": '"', "enforceSchema": False, "multiLine": line_breaks}
+    rows = spark.read.schema(flat).options(**options).csv(path)
+    listed = F.coalesce(F.split("checksum_algorithm", ","), F.array().cast("array<string>"))
+    return rows.withColumns({"checksum_algorithm": listed, "e_tag": F.coalesce("e_tag", F.lit(""))})
+
+
 def objects(df: DataFrame, bucket: str | None = None) -> DataFrame:
     """Current objects of one bucket, or of all; no version columns.
 

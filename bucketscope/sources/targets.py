@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SCHEME = "s3://"
+PUSHED_TARGETS = 32
 BROADCAST_BYTES = 32 << 20
 ROW_BYTES = 64  # what a broadcast row takes beside its text
 SALTS = 16
@@ -42,12 +46,18 @@ def under_targets(df: DataFrame, targets: DataFrame, broadcast_bytes: int = BROA
     offers one head per prefix length that occurs (at most 1,025 of them, as keys end at 1,024 bytes). Targets that
     take up to ``broadcast_bytes`` are broadcast and the inventory is not shuffled. More are joined by shuffle, with the
     rows under a target spread over ``SALTS`` salts so that a target holding much of the inventory is shared out.
+    Up to ``PUSHED_TARGETS`` also narrow the scan, as plain prefix tests.
     """
     wanted = targets.select("bucket", F.coalesce("prefix", F.lit("")).alias("target_prefix")).distinct()
     taken = F.octet_length("bucket") + F.octet_length("target_prefix") + F.lit(ROW_BYTES)
-    sizes = wanted.groupBy(F.length("target_prefix").alias("n")).agg(F.sum(taken).alias("bytes")).collect()
+    sizes = wanted.groupBy(F.length("target_prefix").alias("n")).agg(
+        F.count("*").alias("targets"), F.sum(taken).alias("bytes")
+    ).collect()
     if not sizes:
         return df.withColumn("target_prefix", F.lit(None).cast("string")).filter(F.lit(False))
+    if sum(row["targets"] for row in sizes) <= PUSHED_TARGETS:
+        tests = [(F.col("bucket") == b) & F.col("key").startswith(p) for b, p in wanted.collect()]
+        df = df.filter(reduce(or_, tests))
     lengths = F.lit(sorted(row["n"] for row in sizes)).cast("array<int>")
     fitting = F.filter(lengths, lambda n: n <= F.length("key"))
     offered = df.withColumn("_length", F.explode(fitting)).withColumn(

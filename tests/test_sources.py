@@ -137,3 +137,24 @@ def test_tree_of_nothing(spark, tmp_path):
 
 def test_instants_do_not_depend_on_the_local_zone():
     assert dt.datetime.fromtimestamp(1_700_000_000, dt.timezone.utc).year == 2023
+
+
+@pytest.mark.parametrize("form", ["parquet", "orc", "json"])
+def test_inventory_files(spark, rows, tmp_path, form):
+    df = rows(row("a\nb,\"c\"", 5, checksum_algorithm=["CRC32", "SHA1"], is_latest=True, version_id="v"), row("é"))
+    df.write.format(form).save(str(tmp_path / form))
+    back = inventory.read_inventory(spark, str(tmp_path / form), form)
+    assert sorted(map(str, back.collect())) == sorted(map(str, df.collect()))
+
+
+def test_inventory_csv(spark, tmp_path):
+    names = [f for f in "bucket entry_type key size last_modified e_tag storage_class checksum_algorithm checksum_type "
+             "owner_display_name owner_id is_restore_in_progress restore_expiry_date version_id is_latest".split()]
+    line = 'b,OBJECT,"a\nb, ""c""",5,2024-01-15T10:30:00Z,"""t""",,"CRC32,SHA1",,,,,,v,true'
+    (tmp_path / "t.csv").write_text(",".join(names) + "\n" + line + "\n" + "b,OBJECT,é,0,2024-01-15T10:30:00Z,,,,,,,,,,\n")
+    first, second = inventory.read_inventory(spark, str(tmp_path), "csv", line_breaks=True).collect()
+    assert (first["key"], first["e_tag"], first["checksum_algorithm"]) == ('a\nb, "c"', '"t"', ["CRC32", "SHA1"])
+    assert first["last_modified"] == DAY.replace(tzinfo=None) or first["last_modified"].timestamp() == DAY.timestamp()
+    assert second["checksum_algorithm"] == [] and second["is_latest"] is None
+    with pytest.raises(ValueError):
+        inventory.read_inventory(spark, str(tmp_path), "xml")
