@@ -10,7 +10,6 @@ from bucketscope.catalog.registry import query
 from bucketscope.catalog.scans import plain
 from bucketscope.catalog.text import boundary, level_rows, slashes
 from bucketscope.functions.keys import prefix_at_depth
-from bucketscope.operators.hierarchy import list_recursive
 from bucketscope.operators.sorting import bucket_order, listing_order, sort_listing
 from bucketscope.operators.summary import summarize, with_summary
 from bucketscope.plans.listing import listing
@@ -21,14 +20,6 @@ cast(coalesce(sum(size) filter (where entry_type = 'OBJECT'), 0) as bigint) as t
 count(*) filter (where entry_type = 'DELETE_MARKER') as total_delete_markers"""
 
 
-def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fixtures.versions(spark, sf_dir)
-    return list_recursive(rows, "data/", max_depth=3)
-
-
-ENTRIES = level_rows("r", "data/", 3).replace("size, last_modified from r", "size, last_modified, version_id from r").replace(
-    "cast(null as timestamp)", "cast(null as timestamp), cast(null as varchar)"
-)
 TIES = "bucket asc nulls first, key asc nulls first, version_id asc nulls first, entry_type asc"
 #: name -> (fields, reverse, versions, SQL order)
 SORTS = {
@@ -48,11 +39,11 @@ SORTS = {
 
 def _register_sort(name: str, fields: list[str], reverse: bool, versions: bool, order: str) -> None:
     sql = f"""select bucket, entry_type, key, size, version_id, row_number() over (order by {order}, {TIES}) as pos
-from ({ENTRIES}) e"""
+from entries e"""
 
-    @query(name, sql, ("r",))
+    @query(name, sql, ("entries",))
     def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = _entries(spark, sf_dir)
+        rows = fixtures.entries(spark, sf_dir)
         numbered = line_numbers(rows, [k.order() for k in listing_order(fields, reverse, versions)])
         return numbered.select("bucket", "entry_type", "key", "size", "version_id", "pos")
 
@@ -61,9 +52,9 @@ for _name, _spec in SORTS.items():
     _register_sort(_name, *_spec)
 
 
-@query("sort_listing", f"select bucket, entry_type, key, size, version_id from ({ENTRIES}) e", ("r",))
+@query("sort_listing", f"select bucket, entry_type, key, size, version_id from entries e", ("entries",))
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sort_listing(_entries(spark, sf_dir), ["key"]).select("bucket", "entry_type", "key", "size", "version_id")
+    return sort_listing(fixtures.entries(spark, sf_dir), ["key"]).select("bucket", "entry_type", "key", "size", "version_id")
 
 
 @query(
@@ -97,9 +88,9 @@ for _name, _bucket_spec in BUCKET_SORTS.items():
     _register_bucket_sort(_name, *_bucket_spec)
 
 
-@query("summarize", f"select {TOTALS} from ({ENTRIES}) e", ("r",))
+@query("summarize", f"select {TOTALS} from entries e", ("entries",))
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return summarize(_entries(spark, sf_dir))
+    return summarize(fixtures.entries(spark, sf_dir))
 
 
 @query("summarize_by_bucket", f"select bucket, {TOTALS} from r group by bucket", ("r",))
@@ -121,10 +112,10 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "with_summary",
     f"""select 0 as section, bucket, entry_type, key, size, cast(null as bigint) as total_objects,
-cast(null as bigint) as total_size, cast(null as bigint) as total_delete_markers from ({ENTRIES}) e
-union all select 1, null, null, null, null, t.* from (select {TOTALS} from ({ENTRIES}) e) t""",
-    ("r",),
+cast(null as bigint) as total_size, cast(null as bigint) as total_delete_markers from entries e
+union all select 1, null, null, null, null, t.* from (select {TOTALS} from entries e) t""",
+    ("entries",),
 )
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ("section", "bucket", "entry_type", "key", "size", "total_objects", "total_size", "total_delete_markers")
-    return plain(with_summary(_entries(spark, sf_dir)), *names)
+    return plain(with_summary(fixtures.entries(spark, sf_dir)), *names)

@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from bucketscope import fixtures
 from bucketscope.catalog.registry import query
-from bucketscope.catalog.text import escaped, human, level_rows, padded, stamp
+from bucketscope.catalog.text import escaped, human, padded, stamp
 from bucketscope.functions.scalars import escape_ctl, fmt_size, fmt_size_split, fmt_ts
-from bucketscope.operators.hierarchy import list_recursive
 from bucketscope.operators.summary import summarize
 from bucketscope.plans.display import WIDTHS, Display, bucket_columns, size_cell, to_columns
 from bucketscope.plans.render import (
@@ -31,21 +30,6 @@ def _flat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixtures.versions(spark, sf_dir)
 
 
-def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return list_recursive(fixtures.versions(spark, sf_dir), "data/", max_depth=3)
-
-
-# the listing of _entries with every attribute; PREFIX rows have none
-ATTRIBUTES = (
-    "e_tag", "storage_class", "checksum_csv", "checksum_type", "owner_display_name", "owner_id",
-    "is_restore_in_progress", "restore_expiry_date", "version_id", "is_latest",
-)
-ENTRIES = level_rows("versions", "data/", 3).replace(
-    "size, last_modified from versions", f"size, last_modified, {', '.join(ATTRIBUTES)} from versions"
-).replace("cast(null as timestamp)", "cast(null as timestamp), " + ", ".join(
-    f"cast(null as {'boolean' if a.startswith('is_') else 'varchar'})" for a in ATTRIBUTES
-))
-
 DATE = f"case when entry_type = 'PREFIX' then '' else {stamp('last_modified')} end"
 SIZE = "case entry_type when 'PREFIX' then 'PRE' when 'DELETE_MARKER' then 'DELETE' else cast(size as varchar) end"
 
@@ -124,9 +108,9 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(spark, sf_dir).select("version_id", escape_ctl(F.col("key")).alias("shown"))
 
 
-@query("size_cell", f"select bucket, key, version_id, {SIZE} as shown from ({ENTRIES}) e", ("versions",))
+@query("size_cell", f"select bucket, key, version_id, {SIZE} as shown from entries e", ("entries",))
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _entries(spark, sf_dir).select("bucket", "key", "version_id", size_cell().alias("shown"))
+    return fixtures.entries(spark, sf_dir).select("bucket", "key", "version_id", size_cell().alias("shown"))
 
 
 #: name -> (display, columns shown)
@@ -144,11 +128,11 @@ SHOWN = {
 
 
 def _register_shown(name: str, show: Display, columns: tuple[str, ...]) -> None:
-    sql = f"select {_cells('DATE', 'SIZE', *columns, 'KEY')} from ({ENTRIES}) e"
+    sql = f"select {_cells('DATE', 'SIZE', *columns, 'KEY')} from entries e"
 
-    @query(name, sql, ("versions",))
+    @query(name, sql, ("entries",))
     def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return to_columns(_entries(spark, sf_dir), show)
+        return to_columns(fixtures.entries(spark, sf_dir), show)
 
 
 for _name, (_show, _columns) in SHOWN.items():
@@ -176,24 +160,24 @@ def _aligned(*names: str) -> str:
     return "concat_ws('  ', " + ", ".join([*cells, CELLS[names[-1]]]) + ")"
 
 
-@query("to_tsv", f"select {_tsv(*CELLS)} as value from ({ENTRIES}) e", ("versions",))
+@query("to_tsv", f"select {_tsv(*CELLS)} as value from entries e", ("entries",))
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return to_tsv(_entries(spark, sf_dir), EVERYTHING)
+    return to_tsv(fixtures.entries(spark, sf_dir), EVERYTHING)
 
 
-@query("to_aligned", f"select {_aligned(*CELLS)} as value from ({ENTRIES}) e", ("versions",))
+@query("to_aligned", f"select {_aligned(*CELLS)} as value from entries e", ("entries",))
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return to_aligned(_entries(spark, sf_dir), EVERYTHING)
+    return to_aligned(fixtures.entries(spark, sf_dir), EVERYTHING)
 
 
 @query(
     "to_lines",
     f"select {escaped('case when starts_with(key, ' + chr(39) + 'data/' + chr(39) + ') then substr(key, 6) else key end')} "
-    f"as value from ({ENTRIES}) e",
-    ("versions",),
+    f"as value from entries e",
+    ("entries",),
 )
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return to_lines(_entries(spark, sf_dir), Display(relative=True, prefix="data/"))
+    return to_lines(fixtures.entries(spark, sf_dir), Display(relative=True, prefix="data/"))
 
 
 JSON_FIELDS = f"""case when entry_type = 'PREFIX' then 1
@@ -216,14 +200,14 @@ case when entry_type = 'OBJECT' then e_tag end as e_tag,
 case when entry_type = 'OBJECT' then nullif(checksum_csv, '') end as checksum_csv, checksum_type,
 case when entry_type = 'OBJECT' then size end as size, storage_class, version_id, is_latest,
 case when entry_type = 'DELETE_MARKER' then true end as marker, owner_display_name, owner_id, is_restore_in_progress,
-restore_expiry_date from ({ENTRIES}) e""",
-    ("versions",),
+restore_expiry_date from entries e""",
+    ("entries",),
 )
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     def field(path: str, name: str) -> Column:
         return F.col(f"j.{path}").alias(name)
 
-    return _parsed(to_json(_entries(spark, sf_dir), Display(versions=True))).select(
+    return _parsed(to_json(fixtures.entries(spark, sf_dir), Display(versions=True))).select(
         F.col("n_fields").cast("int"),
         field("Key", "key"),
         field("Prefix", "prefix"),
@@ -309,20 +293,15 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-L_ENTRIES = level_rows("r", "data/", 3)
-
-
 @query(
     "write_listing",
     f"""select concat_ws(chr(9), 'DATE', 'SIZE', 'KEY') as value
-union all select concat_ws(chr(9), {DATE}, {SIZE}, {escaped('key')}) from ({L_ENTRIES}) e
+union all select concat_ws(chr(9), {DATE}, {SIZE}, {escaped('key')}) from entries e
 union all select '' union all select concat('Total:', chr(9), n, chr(9), 'objects', chr(9), s, chr(9), 'bytes')
-from ({STATS} where starts_with(key, 'data/') and
-  length(substr(key, 6)) - length(replace(substr(key, 6), '/', '')) < 3) t""",
-    ("r",),
+from ({STATS}) t""",
+    ("entries",),
 )
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "written")
-    rows = list_recursive(_flat(spark, sf_dir), "data/", max_depth=3)
-    write_listing(rows, path, "tsv", with_header=True, summary=True)
+    write_listing(fixtures.entries(spark, sf_dir), path, "tsv", with_header=True, summary=True)
     return spark.read.text(path)

@@ -11,9 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bucketscope.operators.hierarchy import write_inventory
+from bucketscope.operators.hierarchy import list_recursive, write_inventory
 from bucketscope.operators.versions import current_view
-from bucketscope.schema import DELETE_MARKER, LISTING_SCHEMA, OBJECT, PAGE_LOG_SCHEMA
+from bucketscope.schema import DELETE_MARKER, LISTING_SCHEMA, OBJECT, PAGE_LOG_SCHEMA, PREFIX
 from bucketscope.session import scratch
 
 BUCKET = "concat('bkt-', cast(l_suppkey % 5 as string), case when l_suppkey % 5 = 4 then '--x-s3' else '' end)"
@@ -162,6 +162,13 @@ def objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return current_view(versions(spark, sf_dir))
 
 
+def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every version and delete marker, and as PREFIX rows the directories three levels below ``data/``."""
+    rows = versions(spark, sf_dir)
+    folded = list_recursive(rows, "data/", max_depth=3).filter(F.col("entry_type") == PREFIX)
+    return rows.unionByName(folded)
+
+
 def buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     supplier, nation = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "nation")
     return supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).selectExpr(*_expressions(BUCKET_COLUMNS))
@@ -200,11 +207,22 @@ def page_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 _MARKED = f"""select r.*, {E_TAG} as e_tag, row_number() over (
   partition by bucket, key order by last_modified desc, version_id desc) = 1 as is_latest from r"""
 
+_NO_VALUES = ", ".join(
+    f"cast(null as {'boolean' if c.startswith('is_') else 'varchar'})"
+    for c in VERSION_COLUMNS
+    if c not in ("bucket", "entry_type", "key", "size", "last_modified")
+)
+_ENTRIES = f"""select {', '.join(VERSION_COLUMNS)}, e_tag, is_latest from versions
+union all select distinct bucket, '{PREFIX}', regexp_extract(key, '^(data/([^/]*/){{3}})', 1), cast(0 as bigint),
+  cast(null as timestamp), {_NO_VALUES}, cast(null as varchar), cast(null as boolean)
+from versions where regexp_matches(key, '^data/([^/]*/){{3}}')"""
+
 #: common table expressions by view name; a view may use those before it
 VIEWS = {
     "r": _select(VERSION_COLUMNS, "lineitem"),
     "versions": _MARKED,
     "objects": f"select * exclude (version_id, is_latest) from versions where is_latest and entry_type = '{OBJECT}'",
+    "entries": _ENTRIES,
     "buckets": _select(BUCKET_COLUMNS, "supplier join nation on s_nationkey = n_nationkey"),
     "targets": "select distinct * from (" + _select(TARGET_COLUMNS, "orders") + ") t",
     "uris": "select url, concat('s3://', regexp_replace(url, '^https?://', '')) as target from pages",
@@ -216,7 +234,7 @@ VIEWS = {
     + f"select {', '.join(PAGE_KEYS)}, {', '.join(_expressions(PAGE_VALUES))} from ("
     + f"select {', '.join(_expressions(PAGE_KEYS))}, l_partkey from lineitem) k group by {', '.join(PAGE_KEYS)}) p",
 }
-NEEDS = {"objects": ["r", "versions"], "versions": ["r"]}
+NEEDS = {"entries": ["r", "versions"], "objects": ["r", "versions"], "versions": ["r"]}
 
 
 def with_views(query: str, *views: str) -> str:

@@ -12,7 +12,7 @@ SCHEME = "s3://"
 PUSHED_TARGETS = 32
 BROADCAST_BYTES = 32 << 20
 ROW_BYTES = 64  # what a broadcast row takes beside its text
-SALTS = 16
+SALTS = 64
 
 
 def parse_target(uri: Column, on_error: str = "raise") -> Column:
@@ -45,7 +45,8 @@ def under_targets(df: DataFrame, targets: DataFrame, broadcast_bytes: int = BROA
     A key meets a prefix exactly when its head of the prefix's length equals it, so the join is on equality: every row
     offers one head per prefix length that occurs (at most 1,025 of them, as keys end at 1,024 bytes). Targets that
     take up to ``broadcast_bytes`` are broadcast and the inventory is not shuffled. More are joined by shuffle, with the
-    rows under a target spread over ``SALTS`` salts so that a target holding much of the inventory is shared out.
+    rows under a target spread over ``SALTS`` salts so that a target holding much of the inventory is shared out (and
+    what is still large after that is split by the adaptive skew join).
     Up to ``PUSHED_TARGETS`` also narrow the scan, as plain prefix tests.
     """
     wanted = targets.select("bucket", F.coalesce("prefix", F.lit("")).alias("target_prefix")).distinct()
