@@ -51,12 +51,15 @@ def fmt_size(size: Column, human: bool = False) -> Column:
 
 
 def escape_ctl(text: Column, raw: bool = False) -> Column:
-    """Control characters as ``\\xNN``; text without any skips the replacements."""
+    """Control characters as ``\\xNN``. Text without any, nearly all of it, only pays for one test.
+
+    The replacements are folded over an array rather than nested: as 33 nested calls they make the generated code too
+    long for the JVM to compile.
+    """
     if raw:
         return text
-    escaped = text
-    for char in CONTROL_CHARS:
-        escaped = F.replace(escaped, F.lit(char), F.lit(f"\\x{ord(char):02x}"))
+    codes = F.array(*[F.struct(F.lit(c).alias("char"), F.lit(f"\\x{ord(c):02x}").alias("code")) for c in CONTROL_CHARS])
+    escaped = F.aggregate(codes, text, lambda done, each: F.replace(done, each["char"], each["code"]))
     return F.when(text.rlike(r"[\x00-\x1f\x7f]"), escaped).otherwise(text)
 
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from bucketscope.functions.regex import literal_head, to_java
@@ -125,7 +125,7 @@ def rejections(df: DataFrame, config: FilterConfig) -> DataFrame:
     return named.filter(F.col("filter").isNotNull()).groupBy("filter").agg(F.count("*").alias("dropped"))
 
 
-def observe_rejections(df: DataFrame, config: FilterConfig, name: str = "rejections") -> DataFrame:
+def observe_rejections(df: DataFrame, config: FilterConfig, name: str | Observation = "rejections") -> DataFrame:
     """The filtered rows, with drops per filter reported as metrics of the same run (see ``DataFrame.observe``)."""
     filter_names = list(config.predicates())
     if not filter_names:

@@ -19,7 +19,7 @@ TEXT_FORMS = ("tsv", "aligned", "lines")
 def _padded(text: Column, width: int, right: bool) -> Column:
     """Padded to ``width`` characters; longer text stays whole."""
     fill = F.lpad if right else F.rpad
-    return F.when(F.length(text) < width, fill(text, width, " ")).otherwise(text)
+    return fill(text, F.greatest(F.length(text), F.lit(width)), F.lit(" "))
 
 
 def _joined(cells: Sequence[Cell], form: str) -> Column:

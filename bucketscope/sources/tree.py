@@ -8,6 +8,7 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyarrow import fs
@@ -26,8 +27,7 @@ class TreePart(InputPartition):
     prefixes: list[tuple[str, bool]]
 
 
-@dataclass(frozen=True)
-class Found:
+class Found(NamedTuple):
     name: str
     is_directory: bool
     size: int
