@@ -5,14 +5,39 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from bucketscope.llm.common import table
 from bucketscope.llm.exact_dedup import exact_duplicates
 from bucketscope.llm.mixing import mix
+from bucketscope.llm.packing import pack_documents
+from bucketscope.llm.sharding import digest_columns, shuffle_to_shards
+
+
+
+def tokenizer_file() -> str:
+    """The public byte-level vocabulary, at the same path on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    digests = table(spark, sf_dir, "documents").select(*digest_columns("doc_id", "text"))
+    placed = shuffle_to_shards(digests, shards=16)
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_file())
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -22,7 +47,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op9_exact_dedup, op10_mixing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_sharding, op7_packing, op9_exact_dedup, op10_mixing)}
 
 ORACLES: dict[str, str] = {
     "op9_exact_dedup": r"""
