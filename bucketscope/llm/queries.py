@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bucketscope.llm import language, licenses, quality
 from bucketscope.llm.common import table
 from bucketscope.llm.exact_dedup import exact_duplicates
 from bucketscope.llm.mixing import mix
+from bucketscope.llm.neighbours import nearest_neighbours
 from bucketscope.llm.packing import pack_documents
 from bucketscope.llm.sharding import digest_columns, shuffle_to_shards
 
@@ -34,6 +36,25 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = quality.held_out(F.col("doc_id"))
+    found = language.identify(docs, docs.where(language.learnable(F.col("doc_id"), out)))
+    return found.select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_file())
 
@@ -47,7 +68,12 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_sharding, op7_packing, op9_exact_dedup, op10_mixing)}
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        op1_sharding, op2_neighbours, op3_licenses, op4_quality, op6_language, op7_packing, op9_exact_dedup, op10_mixing,
+    )
+}
 
 ORACLES: dict[str, str] = {
     "op9_exact_dedup": r"""
