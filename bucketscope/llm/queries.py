@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from bucketscope.llm import language, licenses, quality
 from bucketscope.llm.common import table
 from bucketscope.llm.exact_dedup import exact_duplicates
+from bucketscope.llm.jaccard import near_duplicates
 from bucketscope.llm.mixing import mix
 from bucketscope.llm.neighbours import nearest_neighbours
 from bucketscope.llm.packing import pack_documents
@@ -48,6 +49,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = quality.held_out(F.col("doc_id"))
@@ -71,7 +76,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        op1_sharding, op2_neighbours, op3_licenses, op4_quality, op6_language, op7_packing, op9_exact_dedup, op10_mixing,
+        op1_sharding, op2_neighbours, op3_licenses, op4_quality, op5_ngram_jaccard, op6_language,
+        op7_packing, op9_exact_dedup, op10_mixing,
     )
 }
 
