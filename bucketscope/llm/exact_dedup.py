@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bucketscope.llm.common import shuffle_partitions, stored
+from bucketscope.llm.common import free_name, shuffle_partitions, stored
 
 BLANKS = r"[\x20\x09-\x0D]+"
 #: Characters of a text in its range key. The key only spreads the sort: rows are sorted and compared by whole texts.
@@ -154,3 +154,19 @@ def exact_duplicates(
         F.col("doc_id").eqNullSafe(keep).alias("kept"),
         F.col("digest").alias("text_sha256"),
     )
+
+
+def drop_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows that stay, with their own columns. Of rows repeated whole, one stays."""
+    found = exact_duplicates(docs, id_column, text_column).where("kept").select("doc_id", "text_sha256").distinct()
+    digest = free_name(docs.columns, "_digest")
+    hashed = docs.withColumn(digest, F.sha2(normalised(F.col(text_column)), 256))
+    same = hashed[id_column].eqNullSafe(found["doc_id"]) & (hashed[digest] == found["text_sha256"])
+    staying = hashed.join(found.hint("merge"), same, "left_semi")
+    # rows with the identifier that stays: the longest of them, as for other rows
+    chars = free_name([*docs.columns, digest], "_chars")
+    longest = Window.partitionBy(id_column, digest).orderBy(F.desc_nulls_last(chars))
+    counted = staying.withColumn(chars, F.length(text_column))
+    place = free_name([*docs.columns, digest, chars], "_place")
+    first = counted.withColumn(place, F.row_number().over(longest)).where(F.col(place) == 1)
+    return first.drop(digest, chars, place)

@@ -361,3 +361,10 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     return inside.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id")).unionByName(
         alone.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     )
+
+
+def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The documents that name their components, and those without an identifier, with their own columns."""
+    found = near_duplicates(docs, id_column, text_column)
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
+    return docs.join(gone.hint("merge"), docs[id_column].cast("long") == gone["gone"], "left_anti")

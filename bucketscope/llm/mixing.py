@@ -161,10 +161,19 @@ def _cut(copies: DataFrame, budget: float) -> dict | None:
     return last.asDict() if last is not None else None
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The documents as often as the mix takes them, with their own columns."""
-    names = docs.columns
-    whole = free_name(names, "_row")
-    rows = docs.select("*", F.struct(*[F.col(f"`{n}`") for n in names]).alias(whole))
-    found = mix(rows, keep=[whole], **options)
-    return found.where("copies > 0").select(F.explode(F.expr(f"array_repeat({whole}, copies)")).alias("r")).select("r.*")
+def mixed_documents(docs: DataFrame, id_column: str = "doc_id", **options) -> DataFrame:
+    """The documents as often as the mix takes them, with their own columns.
+
+    The mix is made of narrow rows; the documents are joined to it once, by identifier and a hash of the whole row.
+    Rows repeated whole share their copies.
+    """
+    row_hash, times = free_name(docs.columns, "_hash"), free_name(docs.columns, "_times")
+    hashed = docs.withColumn(row_hash, F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    mixed = mix(hashed, id_column=id_column, keep=[row_hash], **options).where("copies > 0")
+    copies = mixed.groupBy("doc_id", row_hash).agg(F.sum("copies").cast("int").alias(times))
+    same = hashed[id_column].eqNullSafe(copies["doc_id"]) & (hashed[row_hash] == copies[row_hash])
+    found = hashed.join(copies.select("doc_id", row_hash, times).hint("merge"), same)
+    columns = [hashed[f"`{c}`"] for c in docs.columns]
+    once = found.select(*columns, hashed[row_hash].alias(row_hash), times).dropDuplicates([id_column, row_hash])
+    repeated = once.withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times))))
+    return repeated.select(*[F.col(f"`{c}`") for c in docs.columns])

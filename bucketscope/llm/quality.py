@@ -27,6 +27,8 @@ GRAM_SIZES = (2, 3, 4)
 #: Labelled documents used for training, about: those with the smallest hashes. The only bound on what is learned from.
 TRAINING_DOCUMENTS = 5000
 EPOCHS = 4
+#: Steps at least, so that few labelled documents are seen more often.
+LEAST_STEPS = 12_000
 RATE = 1.0
 #: Distinct words that a task remembers.
 CACHED = 400_000
@@ -76,6 +78,7 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = EPOCHS,
     vectors = rng.uniform(-1 / DIMENSIONS, 1 / DIMENSIONS, (BUCKETS, DIMENSIONS)).astype(np.float32)
     layer = np.zeros((DIMENSIONS, 2), np.float32)
     bias = np.zeros(2, np.float32)
+    epochs = max(epochs, -(-LEAST_STEPS // max(1, len(rows))))
     steps, step = max(1, epochs * len(rows)), 0
     for _ in range(epochs):
         for at in rng.permutation(len(rows)):

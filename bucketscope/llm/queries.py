@@ -14,6 +14,7 @@ from bucketscope.llm.jaccard import near_duplicates
 from bucketscope.llm.mixing import mix
 from bucketscope.llm.neighbours import nearest_neighbours
 from bucketscope.llm.packing import pack_documents
+from bucketscope.llm.pseudonyms import pseudonymise
 from bucketscope.llm.sharding import digest_columns, shuffle_to_shards
 
 
@@ -25,6 +26,9 @@ def tokenizer_file() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+#: A real job passes a secret of its own; this one makes the query repeatable.
+PSEUDONYM_KEY = "bucketscope"
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -64,6 +68,11 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_file())
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PSEUDONYM_KEY)
+    return found.select("doc_id", "text", "n_replaced")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -77,7 +86,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_sharding, op2_neighbours, op3_licenses, op4_quality, op5_ngram_jaccard, op6_language,
-        op7_packing, op9_exact_dedup, op10_mixing,
+        op7_packing, op8_pii, op9_exact_dedup, op10_mixing,
     )
 }
 
