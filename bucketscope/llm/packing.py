@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import bisect
 import re
+import struct
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -26,7 +27,7 @@ from bucketscope.llm.common import running_total, stored
 CAPACITY = 2048
 END_ID = 0
 #: Distinct chunks of text whose ids a task remembers.
-CACHED = 500_000
+CACHED = 1_000_000
 #: Pieces of equal length are ranked in chunks of a uniform hash.
 CHUNKS = 256
 
@@ -43,6 +44,15 @@ class _Odd(Exception):
     """A chunk that starts or ends with a blank, so that the space before or after it is not a single one."""
 
 
+# How a byte-level vocabulary writes a byte: as itself where it prints, the others as the characters from 256 on.
+_PRINTS = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_MARKS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTS)}
+
+
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Encoder:
     """Token ids of whole texts, as little-endian unsigned 32-bit bytes.
 
@@ -56,12 +66,17 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.model = self.tokenizer.model
         self.newline = self.ids("\n")
         self.first: dict[str, bytes] = _Chunks(self, "")
         self.later: dict[str, bytes] = _Chunks(self, " ")
 
     def ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def word_ids(self, word: str) -> bytes:
+        """Of a word that pre-tokenisation leaves whole: the merges alone."""
+        return _packed([t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(_BYTE_MARKS))])
 
     def __call__(self, text: str) -> bytes:
         if not text:
@@ -96,6 +111,8 @@ class _Chunks(dict):
         word = chunk.rstrip(_MARKS)
         if word != chunk and word and word[-1].isalnum():
             return self[word] + self.encoder.first[chunk[len(word) :]]
+        if chunk.isalpha() and max(chunk) < "\u0250":
+            return self.encoder.word_ids(self.before + chunk)
         return self.encoder.ids(self.before + chunk)
 
     def whole(self, chunk: str) -> bytes:
