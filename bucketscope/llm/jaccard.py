@@ -10,7 +10,8 @@ is worked out in blocks of columns, and only where it can reach the threshold:
   only, as many as a linked row must share one of (prefix filter).
 * A block of columns is sorted in numpy, and gives the rows that meet in a column. A pair is discarded where the sizes,
   or the columns that are left after the meeting, cannot make the overlap that the sizes ask for.
-* What is left is verified with the whole sets.
+* What is left is held against a second bound, from a bit table of each row that is a thirtieth of its set: bits that
+  differ count columns that only one of the two has. What passes that is verified with the whole sets.
 
 Rows that meet in a column are not all paired: first each is compared with a few of them, and the links found are merged
 to components. Then only rows that meet but are still in different components are compared, all of them. So
@@ -143,12 +144,27 @@ def order_levels(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return heavy, common
 
 
-def ordered_prefix(text: bytes | None, levels: tuple[np.ndarray, np.ndarray]) -> tuple[int, bytes, np.ndarray]:
-    """Size and fingerprint of a text's set, and the shingles of its prefix in order."""
+def parity_bits(shingles: np.ndarray) -> bytes:
+    """A bit per counter, whether an odd number of the shingles falls into it; at least two counters a shingle."""
+    size = 1 << max(6, (2 * len(shingles)).bit_length())
+    return np.packbits(np.bincount((_mixed(shingles) & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).tobytes()
+
+
+def most_overlap(n: int, bits: bytes, other_n: int, other_bits: bytes) -> int:
+    """A bound of the overlap: counters of different parity hold a shingle each that only one of the two sets has."""
+    one, two = (np.frombuffer(b, np.uint8) for b in (bits, other_bits))
+    size = min(len(one), len(two))
+    # the parities of fewer counters are those of more, taken together
+    one, two = (np.bitwise_xor.reduce(x.reshape(-1, size), axis=0) for x in (one, two))
+    return (n + other_n - int(np.bitwise_count(one ^ two).sum())) // 2
+
+
+def ordered_prefix(text: bytes | None, levels: tuple[np.ndarray, np.ndarray]) -> tuple[int, bytes, np.ndarray, bytes]:
+    """Size and fingerprint of a text's set, the shingles of its prefix in order, and the set's parity bits."""
     words = word_hashes(text)
     hashes = shingle_hashes(words)
     if not len(hashes):
-        return 0, b"", hashes
+        return 0, b"", hashes, b""
     found, first = np.unique(hashes, return_index=True)
     heavy, common = levels
     each = common[(words & np.uint64(WORD_COUNTERS - 1)).astype(np.int64)]
@@ -162,11 +178,11 @@ def ordered_prefix(text: bytes | None, levels: tuple[np.ndarray, np.ndarray]) ->
     n = len(found)
     length = n - -(-PERCENT * n // 100) + 1
     order = np.argsort(rank, kind="stable")[:length]
-    return n, xxhash.xxh3_128_digest(found.tobytes()), found[order]
+    return n, xxhash.xxh3_128_digest(found.tobytes()), found[order], parity_bits(found)
 
 
 def incidence(docs: DataFrame, levels: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """``doc_id, n, print, prefix`` per document."""
+    """``doc_id, n, print, prefix, bits`` per document."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,11 +192,12 @@ def incidence(docs: DataFrame, levels: tuple[np.ndarray, np.ndarray]) -> DataFra
                 [
                     batch.column(0), pa.array([m[0] for m in made], pa.int64()),
                     pa.array([m[1] for m in made], pa.binary()), pa.array([m[2].tobytes() for m in made], pa.binary()),
+                    pa.array([m[3] for m in made], pa.binary()),
                 ],
-                ["doc_id", "n", "print", "prefix"],
+                ["doc_id", "n", "print", "prefix", "bits"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, n long, print binary, prefix binary")
+    return docs.mapInArrow(run, "doc_id long, n long, print binary, prefix binary, bits binary")
 
 
 def meeting_rows(rows: DataFrame, blocks: int) -> DataFrame:
@@ -307,24 +324,40 @@ def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "node long, shingles binary")
 
 
-def _checked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def _bounded(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The pairs whose parity bits leave room for the overlap that is needed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for n, bits, m, other in zip(*[batch.column(i).to_pylist() for i in range(2, 6)]):
+                keep.append(most_overlap(n, bits, m, other) * (100 + PERCENT) >= PERCENT * (n + m))
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    own = rows.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xa"))
+    other = rows.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb"))
+    joined = pairs.hint("merge").join(own.hint("merge"), "a").join(other.hint("merge"), "b")
+    return joined.select("a", "b", "na", "xa", "nb", "xb").mapInArrow(run, "a long, b long")
+
+
+def _checked(pairs: DataFrame, rows: DataFrame, docs: DataFrame) -> DataFrame:
     """The links among candidate pairs."""
-    pairs = stored(pairs.distinct(), "pairs")
+    pairs = stored(_bounded(stored(pairs.distinct(), "candidates"), rows).distinct(), "pairs")
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     return stored(_verified(pairs, stored(_sets(docs, nodes), "sets")).distinct(), "links")
 
 
-def _labels(docs: DataFrame, met: DataFrame) -> DataFrame | None:
+def _labels(docs: DataFrame, rows: DataFrame, met: DataFrame) -> DataFrame | None:
     """``node, component`` of all rows that link; None where none does."""
     stars = [_star_pairs(met, salt) for salt in range(STAR_ROUNDS)]
-    links = _checked(reduce(DataFrame.unionByName, stars), docs)
+    links = _checked(reduce(DataFrame.unionByName, stars), rows, docs)
     if links.isEmpty():
         labelled = met.withColumn("component", F.col("node"))
     else:
         labels = stored(components(links), "labels")
         joined = met.join(labels.hint("merge"), "node", "left")
         labelled = joined.withColumn("component", F.coalesce("component", "node"))
-    more = _checked(_cross_pairs(stored(labelled, "labelled")), docs)
+    more = _checked(_cross_pairs(stored(labelled, "labelled")), rows, docs)
     links = links.unionByName(more)
     return None if links.isEmpty() else stored(components(links), "labels")
 
@@ -349,7 +382,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     entries = classes.agg(F.sum(F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1)).first()[0] or 0
     blocks = max(shuffle_partitions(spark), -(-int(entries) // BLOCK_ENTRIES))
     met = stored(meeting_rows(one_each.select("node", "n", "prefix"), blocks), "met")
-    labels = _labels(texts, met)
+    labels = _labels(texts, linked.select("doc_id", "n", "bits"), met)
     if labels is None:
         named = classes.withColumn("component", F.col("node"))
     else:
