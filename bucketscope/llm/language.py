@@ -121,6 +121,8 @@ def fit(docs: DataFrame, text_column: str = "text", lang_column: str = "lang", s
     index = {lang: i for i, lang in enumerate(langs)}
     grams[rows["lang"].map(index).to_numpy(dtype=int), rows["bucket"].to_numpy()] = rows["n"]  # bucket -1 is the last
     matrix = np.empty_like(grams)
+    if not langs:
+        return langs, matrix
     inside = grams[:, :-1] + smoothing
     matrix[:, :-1] = np.log(inside) - np.log(inside.sum(axis=1, keepdims=True))
     matrix[:, -1] = np.log(grams[:, -1] + smoothing) - np.log((grams[:, -1] + smoothing).sum())

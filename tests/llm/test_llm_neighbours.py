@@ -1,5 +1,6 @@
 """Nearest neighbours: recall, exact scores, ties, and what takes no part."""
 
+import math
 import random
 
 import numpy as np
@@ -13,7 +14,7 @@ SCHEMA = "vec_id long, embedding array<float>, label int, id int, bucket string"
 
 
 def brute(rows, k, is_query):
-    usable = [(i, np.array(v, dtype=np.float64)) for i, v, *_ in rows if i is not None and v and None not in v and np.isfinite(v).all() and any(v)]
+    usable = [(i, np.array(v, dtype=np.float32).astype(np.float64)) for i, v, *_ in rows if i is not None and v and None not in v and np.isfinite(v).all() and any(v)]
     out = {}
     for q, x in usable:
         if is_query(q):
@@ -23,7 +24,7 @@ def brute(rows, k, is_query):
                     dot = own = other = 0.0
                     for a, b in zip(x.tolist(), y.tolist()):
                         dot, own, other = dot + a * b, own + a * a, other + b * b
-                    scores.append((-(dot / (own**0.5 * other**0.5)), c))
+                    scores.append((-(dot / (math.sqrt(own) * math.sqrt(other))), c))
             out[q] = [(c, -s) for s, c in sorted(set(scores))[:k]]
     return out
 
