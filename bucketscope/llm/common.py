@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from bucketscope.session import scratch
+from bucketscope.session import scratch, ship_package
 
 #: Join keys a broadcast may hold: rows of a table of groups that each hold at least this share of all rows.
 HOT_SHARE = 10_000
@@ -26,6 +26,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def in_python(df: DataFrame) -> DataFrame:
+    """``df``, once the Python workers that will see its rows can import this package."""
+    ship_package(df.sparkSession)
+    return df
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bucketscope.llm.common import shuffle_partitions, stored
+from bucketscope.llm.common import in_python, shuffle_partitions, stored
 from bucketscope.llm.components import components, join_groups
 
 WORDS = 5
@@ -128,7 +128,7 @@ def corpus_counts(texts: DataFrame) -> np.ndarray:
         return pa.table({"block": group.column("block").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
 
     schema = "block int, counts binary"
-    found = texts.mapInArrow(run, schema).groupBy("block").applyInArrow(add_up, schema).collect()
+    found = in_python(texts).mapInArrow(run, schema).groupBy("block").applyInArrow(add_up, schema).collect()
     out = np.zeros(((SHINGLE_COUNTERS + WORD_COUNTERS) // COUNTER_BLOCK, COUNTER_BLOCK), np.int64)
     for block, counts in found:
         out[block] = np.frombuffer(bytes(counts), "<i8")

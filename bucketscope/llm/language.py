@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bucketscope.llm.common import in_python
+
 GRAM_SIZES = (1, 2, 3, 4)
 BUCKETS = 1 << 15
 #: Languages that can be learned: what bounds the matrix, 8 bytes x BUCKETS each.
@@ -105,7 +107,7 @@ def count_grams(docs: DataFrame, text_column: str, lang_column: str) -> DataFram
             )
 
     rows = docs.select(F.col(text_column), F.col(lang_column)).dropna()
-    per_task = rows.mapInArrow(run, "lang string, bucket int, n long")
+    per_task = in_python(rows).mapInArrow(run, "lang string, bucket int, n long")
     return per_task.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
@@ -162,7 +164,7 @@ def identify(
             )
 
     rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
+    return in_python(rows).mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
 
 
 def learnable(doc_id: Column, held_out: Column) -> Column:

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bucketscope.llm.common import in_python
+
 #: Share of a template's distinct words that a block must hold.
 THRESHOLD = 0.8
 #: Run lengths of the block classes, in words; a block is twice as long.
@@ -159,7 +161,7 @@ def word_frequency(docs: DataFrame, words: set[bytes], text_column: str = "text"
             [pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], ["word", "n"]
         )
 
-    rows = docs.select(text_column).mapInArrow(run, "word binary, n long")
+    rows = in_python(docs).select(text_column).mapInArrow(run, "word binary, n long")
     return {bytes(r[0]): r[1] for r in rows.groupBy("word").agg(F.sum("n")).collect()}
 
 
@@ -199,7 +201,7 @@ def matching_blocks(
     rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, label string, template int, first_word long, n_words long, containment double"
-    return rows.mapInArrow(run, schema)
+    return in_python(rows).mapInArrow(run, schema)
 
 
 def scan(
@@ -240,4 +242,4 @@ def scan(
     rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
-    return rows.mapInArrow(run, schema)
+    return in_python(rows).mapInArrow(run, schema)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bucketscope.llm.common import stored
+from bucketscope.llm.common import in_python, stored
 
 TABLES = 8
 #: Axes per table that a query looks at, of two times the dimension.
@@ -93,7 +93,7 @@ def bucketed(rows: DataFrame, tables: int, probes: int, seed: int) -> DataFrame:
                     )
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.mapInArrow(run, f"{kinds}, dim int, place int, bucket int")
+    return in_python(rows).mapInArrow(run, f"{kinds}, dim int, place int, bucket int")
 
 
 def exact_scores(queries: np.ndarray, others: np.ndarray) -> np.ndarray:
@@ -140,7 +140,7 @@ def _joined_blocks(queries: DataFrame, rows: DataFrame, keys: list[str], k: int)
     block = [*keys, "piece", "part"]
     q = queries.join(cut, keys).select("id", "vector", *keys, part.cast("int").alias("part"), spread("pieces").alias("piece"))
     c = rows.join(cut, keys).select("id", "vector", *keys, piece.cast("int").alias("piece"), spread("parts").alias("part"))
-    found = q.groupBy(*block).cogroup(c.groupBy(*block)).applyInArrow(_best_in_block(k), "query_id long, vec_id long, score double")
+    found = in_python(q).groupBy(*block).cogroup(c.groupBy(*block)).applyInArrow(_best_in_block(k), "query_id long, vec_id long, score double")
     # a pair found in several tables has the same score in each
     once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     nearest = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bucketscope.llm.common import running_total, stored
+from bucketscope.llm.common import in_python, running_total, stored
 
 CAPACITY = 2048
 END_ID = 0
@@ -162,7 +162,7 @@ def token_pieces(
 
     given = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
     kind = given.schema["doc_id"].dataType.simpleString()
-    return given.mapInArrow(cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, ids binary")
+    return in_python(given).mapInArrow(cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, ids binary")
 
 
 class Histogram:
@@ -351,7 +351,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     kind = pieces.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
     columns = ["doc_id", "piece", "start", "length", "ids_crc32", "rank"]
-    return ranked.select(*columns).mapInArrow(place, schema)
+    return in_python(ranked).select(*columns).mapInArrow(place, schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, **columns: str) -> DataFrame:

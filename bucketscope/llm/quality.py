@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bucketscope.llm.common import free_name
+from bucketscope.llm.common import free_name, in_python
 
 BUCKETS = 1 << 16
 DIMENSIONS = 8
@@ -140,7 +140,7 @@ def fit(
         return pa.table({"model": pa.array([model.tobytes()], pa.binary())})
 
     kind = sample.schema["_id"].dataType.simpleString()
-    ready = sample.mapInArrow(featurise, f"_id {kind}, _label int, buckets binary, shares binary")
+    ready = in_python(sample).mapInArrow(featurise, f"_id {kind}, _label int, buckets binary, shares binary")
     found = ready.groupBy(F.lit(0).alias("all")).applyInArrow(learn, "model binary").collect()
     return np.frombuffer(found[0][0], np.float64) if found else np.zeros(BUCKETS + 1)
 
@@ -215,7 +215,7 @@ def score(docs: DataFrame, model: np.ndarray, text_column: str = "text", name: s
             scores = pa.array([scorer(t.as_py()) for t in batch.column(at)], pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, scores], [f.name for f in schema.fields])
 
-    return docs.mapInArrow(run, schema)
+    return in_python(docs).mapInArrow(run, schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **columns: str) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bucketscope.llm.common import free_name, stored
+from bucketscope.llm.common import free_name, in_python, stored
 
 #: Bounds of the matrix: rows (input partitions, joined beyond that) and columns (blocks), 8 bytes a cell.
 MAX_PARTS = 4096
@@ -124,7 +124,7 @@ def shuffle_to_shards(
     fields = list(df.schema.fields)
     dealt_schema = T.StructType([*fields, T.StructField(mix, T.LongType()), T.StructField(block, T.IntegerType())])
     final_schema = T.StructType([*fields, T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])
-    dealt = rows.groupBy(part).applyInArrow(deal, dealt_schema)
+    dealt = in_python(rows).groupBy(part).applyInArrow(deal, dealt_schema)
     return dealt.groupBy(block).applyInArrow(settle, final_schema)
 
 
