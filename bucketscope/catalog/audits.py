@@ -17,6 +17,7 @@ from bucketscope.session import scratch
 from bucketscope.streaming.listing import (
     append_to,
     read_stream,
+    read_totals,
     refresh_totals,
     stream_listing,
     stream_prefixes,
@@ -33,7 +34,7 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "emitted")
     rows = stream_listing(_stream(spark, sf_dir), ALL).select("bucket", "entry_type", "key", "size", "version_id")
-    append_to(rows, path).awaitTermination()
+    append_to(rows, path, scratch(spark, "state")).awaitTermination()
     return spark.read.parquet(path)
 
 
@@ -45,15 +46,15 @@ where starts_with(key, 'data/') and {slashes(rel('data/'))} >= 2""",
 )
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "emitted")
-    append_to(stream_prefixes(_stream(spark, sf_dir), "data/", 2), path).awaitTermination()
+    append_to(stream_prefixes(_stream(spark, sf_dir), "data/", 2), path, scratch(spark, "state")).awaitTermination()
     return spark.read.parquet(path)
 
 
 @query("stream_summary", f"select bucket, {TOTALS} from r group by bucket", ("r",))
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "totals")
-    refresh_totals(stream_summary(_stream(spark, sf_dir)), path).awaitTermination()
-    return spark.read.parquet(path)
+    refresh_totals(stream_summary(_stream(spark, sf_dir)), path, scratch(spark, "state")).awaitTermination()
+    return read_totals(spark, path)
 
 
 @query(

@@ -101,13 +101,29 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed.select("url", "at.bucket", "at.prefix", shown.alias("shown"))
 
 
+#: Each page as a target of four kinds: valid, without a prefix, without a bucket, and as it is (not a target).
+CANDIDATES = """select url, n, case n when 0 then 's3://' || bucket || '/' || url when 1 then 's3://' || bucket
+when 2 then 's3:///' || url else url end as target
+from (select url, unnest([0, 1, 2, 3]) as n, 'bucket-' || cast(page_id % 7 as varchar) as bucket from pages) c"""
+
+
 @query(
     "parse_target_rejects",
-    """select url, starts_with(url, 's3://') as is_target from pages""",
+    f"""select url, n, regexp_matches(target, '^s3://[^/]+') as is_target,
+nullif(regexp_extract(target, '^s3://([^/]+)', 1), '') as bucket from ({CANDIDATES}) t""",
 )
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parsed = parse_target(F.col("url"), on_error="null")
-    return fixtures.uris(spark, sf_dir).select("url", parsed.isNotNull().alias("is_target"))
+    pages = fixtures.table(spark, sf_dir, "pages")
+    kinds = pages.select("url", F.explode(F.array(*[F.lit(n) for n in range(4)])).alias("n"), (F.col("page_id") % 7).alias("b"))
+    bucket = F.concat(F.lit("bucket-"), F.col("b").cast("string"))
+    target = (
+        F.when(F.col("n") == 0, F.concat(F.lit("s3://"), bucket, F.lit("/"), F.col("url")))
+        .when(F.col("n") == 1, F.concat(F.lit("s3://"), bucket))
+        .when(F.col("n") == 2, F.concat(F.lit("s3:///"), F.col("url")))
+        .otherwise(F.col("url"))
+    )
+    parsed = parse_target(target, on_error="null")
+    return kinds.select("url", "n", parsed.isNotNull().alias("is_target"), parsed["bucket"].alias("bucket"))
 
 
 @query(

@@ -87,6 +87,14 @@ class _Rewrite:
         return char
 
     def _group(self) -> str:
+        if self.text.startswith("(?#", self.at):
+            close = self.text.find(")", self.at)
+            if close < 0:
+                raise ValueError("unclosed comment in pattern")
+            self.at = close + 1
+            return ""
+        if self.text.startswith("(?(", self.at):
+            raise ValueError("unsupported conditional in pattern")
         named = self._take(_NAMED_GROUP)
         if named:
             self.multiline.append(self.multiline[-1])
@@ -137,7 +145,10 @@ class _Rewrite:
             return r"(?=\n*\z)"
         if following in "bB" and self.text[self.at : self.at + 1] == "{":
             raise ValueError("unsupported word boundary in pattern")
-        if following == "u" and self.text[self.at : self.at + 1] == "{":
+        if following == "U" and re.match("[0-9A-Fa-f]{8}", self.text[self.at :]):
+            self.at += 8
+            return rf"\x{{{self.text[self.at - 8 : self.at].lstrip('0') or '0'}}}"
+        if following in "uU" and self.text[self.at : self.at + 1] == "{":
             return r"\x"
         if following in "pP":
             return self._property(following)

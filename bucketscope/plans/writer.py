@@ -28,9 +28,12 @@ def write_listing(
     """Write a listing to ``path``: ``tsv``, ``aligned``, ``lines``, ``json`` (NDJSON) or ``parquet``.
 
     Lines are range-partitioned and sorted, so the part files read by name give header, rows in order and total. With
-    ``sort=None`` the rows keep the partitions they have; header and total are then parts of their own.
+    ``sort=None`` the rows keep the partitions they have; header and total are then parts of their own. A typed table
+    has no place for a header or a total: asking for them raises.
     """
     if form == "parquet":
+        if with_header or summary:
+            raise ValueError("a parquet listing has no header and no total; write summarize(df) beside it")
         keys = listing_order(sort, reverse, show.versions) if sort is not None else []
         (df.orderBy(*[k.order() for k in keys]) if keys else df).write.mode(mode).parquet(path)
         return

@@ -13,14 +13,22 @@ from bucketscope.functions.keys import prefix_at_depth
 from bucketscope.operators.filters import FilterConfig, apply_filters
 from bucketscope.operators.summary import total_columns
 from bucketscope.schema import PREFIX
-from bucketscope.session import scratch
+from bucketscope.sources.inventory import check_layout
 from bucketscope.sources.targets import under
 
 SALTS = 16
 
 
 def read_stream(spark: SparkSession, path: str, schema: StructType, files_per_trigger: int | None = None) -> DataFrame:
-    """Inventory files as a stream; ``files_per_trigger`` bounds each micro-batch."""
+    """Inventory files as a stream; ``files_per_trigger`` bounds each micro-batch.
+
+    Files that are there must have every column of ``schema`` that listings need, with its type: the stream would go on
+    with NULLs. Files with another layout that arrive later are not looked at.
+    """
+    if not _path(spark, path).exists():
+        raise ValueError(f"no inventory at {path}")
+    if has_files(spark, path):
+        check_layout(spark.read.parquet(path).schema, path)
     reader = spark.readStream.schema(schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
@@ -51,27 +59,85 @@ def stream_summary(sdf: DataFrame, by: Sequence[str | Column] = ("bucket",)) ->
     return sdf.groupBy(*by).agg(*total_columns())
 
 
-def append_to(sdf: DataFrame, path: str, checkpoint: str | None = None) -> StreamingQuery:
-    """Process what is available and append it to Parquet files at ``path``."""
+class _path:
+    """A path in whatever file system it names."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark = spark
+        self.path = spark._jvm.org.apache.hadoop.fs.Path(path)
+        self.system = self.path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def exists(self) -> bool:
+        return self.system.exists(self.path)
+
+    def names(self) -> list[str]:
+        return [s.getPath().getName() for s in self.system.listStatus(self.path)] if self.exists() else []
+
+    def delete(self) -> None:
+        self.system.delete(self.path, True)
+
+
+def has_files(spark: SparkSession, path: str) -> bool:
+    return any(n.endswith(".parquet") or "=" in n for n in _path(spark, path).names())
+
+
+def _checked(spark: SparkSession, path: str, checkpoint: str, log: str | None) -> None:
+    """Refuse a path that a query with another checkpoint has written to.
+
+    The sink keeps a log of its own at the path. A new checkpoint counts batches from 0 again, which the log has as
+    written: they would be skipped without an error.
+    """
+    written = _path(spark, f"{path}/{log}").exists() if log else bool(_batches(spark, path))
+    if written and not _path(spark, f"{checkpoint}/metadata").exists():
+        raise ValueError(f"{path} was written with another checkpoint than {checkpoint}")
+
+
+def append_to(sdf: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Process what is available and append it to Parquet files at ``path``.
+
+    ``checkpoint`` remembers what was processed; the next call with it goes on from there.
+    """
+    _checked(sdf.sparkSession, path, checkpoint, "_spark_metadata")
     return (
         sdf.writeStream.format("parquet")
         .outputMode("append")
-        .option("checkpointLocation", checkpoint or scratch(sdf.sparkSession, "stream"))
+        .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start(path)
     )
 
 
-def refresh_totals(sdf: DataFrame, path: str, checkpoint: str | None = None) -> StreamingQuery:
-    """Process what is available and replace the totals at ``path`` after each micro-batch."""
+def refresh_totals(sdf: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Process what is available and write the totals to a new folder below ``path`` after each micro-batch.
 
-    def replace(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
+    ``read_totals`` reads the newest folder that is complete, so readers always find whole totals. The folder before it
+    is kept for those that are still reading; older ones go.
+    """
+    spark = sdf.sparkSession
+    _checked(spark, path, checkpoint, None)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch-{batch_id}")
+        for old in _batches(batch.sparkSession, path):
+            if old < batch_id - 1:
+                _path(batch.sparkSession, f"{path}/batch-{old}").delete()
 
     return (
         sdf.writeStream.outputMode("complete")
-        .foreachBatch(replace)
-        .option("checkpointLocation", checkpoint or scratch(sdf.sparkSession, "stream"))
+        .foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
+
+
+def _batches(spark: SparkSession, path: str) -> list[int]:
+    return sorted(int(n.removeprefix("batch-")) for n in _path(spark, path).names() if n.startswith("batch-"))
+
+
+def read_totals(spark: SparkSession, path: str) -> DataFrame:
+    """The totals of the newest complete micro-batch."""
+    for batch in reversed(_batches(spark, path)):
+        if _path(spark, f"{path}/batch-{batch}/_SUCCESS").exists():
+            return spark.read.parquet(f"{path}/batch-{batch}")
+    raise ValueError(f"no totals at {path}")

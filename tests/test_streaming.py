@@ -12,6 +12,7 @@ from bucketscope.schema import LISTING_SCHEMA
 from bucketscope.streaming.listing import (
     append_to,
     read_stream,
+    read_totals,
     refresh_totals,
     stream_listing,
     stream_prefixes,
@@ -65,17 +66,43 @@ def test_each_prefix_once_over_batches_and_restarts(spark, rows, inventory, tmp_
     assert sorted((r["bucket"], r["key"]) for r in spark.read.parquet(out).collect()) == expected
 
 
-def test_running_summary(spark, inventory, tmp_path):
+def test_running_summary(spark, rows, inventory, tmp_path):
     out = str(tmp_path / "totals")
-    refresh_totals(stream_summary(read_stream(spark, inventory, LISTING_SCHEMA, 2)), out).awaitTermination()
-    expected = summarize(spark.read.parquet(inventory), by=["bucket"])
-    assert sorted(map(tuple, spark.read.parquet(out).collect())) == sorted(map(tuple, expected.collect()))
+    run = lambda state: refresh_totals(stream_summary(read_stream(spark, inventory, LISTING_SCHEMA, 2)), out, str(tmp_path / state)).awaitTermination()
+    for first in (0, 150):
+        if first:
+            batch(rows, first, 50).write.mode("append").parquet(inventory)
+        run("state")
+        expected = summarize(spark.read.parquet(inventory), by=["bucket"])
+        assert sorted(map(tuple, read_totals(spark, out).collect())) == sorted(map(tuple, expected.collect()))
+    # an incomplete batch is not read, and another checkpoint is refused
+    (tmp_path / "totals" / "batch-99").mkdir()
+    assert read_totals(spark, out).count() == expected.count()
+    with pytest.raises(ValueError, match="another checkpoint"):
+        run("other")
+
+
+def test_a_used_path_is_refused_with_another_checkpoint(spark, inventory, tmp_path):
+    out = str(tmp_path / "out")
+    listed = stream_listing(read_stream(spark, inventory, LISTING_SCHEMA))
+    append_to(listed, out, str(tmp_path / "state")).awaitTermination()
+    with pytest.raises(ValueError, match="another checkpoint"):
+        append_to(listed, out, str(tmp_path / "new"))
+
+
+def test_a_foreign_layout_stops_the_stream_at_its_start(spark, inventory, tmp_path):
+    other = str(tmp_path / "foreign")
+    spark.read.parquet(inventory).withColumnRenamed("key", "object_key").write.parquet(other)
+    with pytest.raises(ValueError, match="no column key"):
+        read_stream(spark, other, LISTING_SCHEMA)
+    with pytest.raises(ValueError, match="no inventory"):
+        read_stream(spark, str(tmp_path / "absent"), LISTING_SCHEMA)
 
 
 def test_a_failing_filter_stops_the_stream(spark, inventory, tmp_path):
     rows = read_stream(spark, inventory, LISTING_SCHEMA)
     broken = rows.withColumn("key", F.when(F.col("size") == 7, F.raise_error(F.lit("no match possible"))).otherwise(F.col("key")))
-    query = append_to(stream_listing(broken, FilterConfig(include_regex="csv")), str(tmp_path / "out"))
+    query = append_to(stream_listing(broken, FilterConfig(include_regex="csv")), str(tmp_path / "out"), str(tmp_path / "state"))
     with pytest.raises(StreamingQueryException):
         query.awaitTermination()
     # nothing of the failed batch was committed

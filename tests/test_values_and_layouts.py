@@ -1,0 +1,88 @@
+"""Values that a session zone, a double or a digit limit would change, and layouts that are refused."""
+
+import datetime as dt
+import json
+from fractions import Fraction
+from zoneinfo import ZoneInfo
+
+import pytest
+from conftest import UTC, row
+from pyspark.sql import functions as F
+
+from bucketscope.functions.regex import to_java
+from bucketscope.functions.scalars import fmt_size, fmt_ts, parse_size
+from bucketscope.plans.writer import write_listing
+from bucketscope.session import is_local
+from bucketscope.sources.inventory import read_inventory
+
+
+@pytest.fixture(params=["UTC", "America/New_York", "Asia/Kolkata"])
+def zone(spark, request):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", request.param)
+    yield request.param
+    spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_timestamps_do_not_depend_on_the_session_zone(spark, zone):
+    instants = [dt.datetime(2024, 3, 10, h, 30, 59, 999_999, UTC) for h in (5, 6, 7, 8)] + [dt.datetime(2024, 11, 3, h, 30, tzinfo=UTC) for h in (4, 5, 6, 7)]
+    instants += [dt.datetime(1969, 12, 31, 23, 59, 59, 500_000, UTC), dt.datetime(2024, 7, 1, 12, 0, tzinfo=UTC)]
+    rows = spark.range(len(instants)).select(F.timestamp_micros(F.get(F.lit([int(i.timestamp()) * 10**6 + i.microsecond if i.timestamp() >= 0 else -500_000 for i in instants]), F.col("id").cast("int"))).alias("t"))
+    shown = rows.select(fmt_ts(F.col("t")), fmt_ts(F.col("t"), "Europe/Paris")).collect()
+    for instant, (plain, paris) in zip(instants, shown):
+        assert plain == instant.replace(microsecond=0).strftime("%Y-%m-%dT%H:%M:%SZ")
+        assert paris == instant.replace(microsecond=0).astimezone(ZoneInfo("Europe/Paris")).isoformat()
+
+
+@pytest.mark.parametrize("size", [int(4.45 * 2**50), 2**60 + 2**60 // 20, 2**63 - 1, 1024 + 51, 1024 + 52, 1024 + 256, 2**50 * 5 // 4, 1048575])
+def test_human_sizes_round_the_exact_value(spark, size):
+    unit = max(p for p in range(7) if size >= 1024**p)
+    tenths = Fraction(size * 10, 1024**unit)
+    whole = int(tenths) + (tenths % 1 > Fraction(1, 2) or (tenths % 1 == Fraction(1, 2) and int(tenths) % 2 == 1))
+    shown = spark.range(1).select(fmt_size(F.lit(size).cast("bigint"), human=True)).first()[0]
+    assert shown == f"{whole // 10}.{whole % 10}{' KMGTPE'[unit]}iB"
+
+
+@pytest.mark.parametrize("text", [
+    "0.1234567890KiB", "000000000000000000001KiB", "1." + "0" * 40 + "1B", "0.999999999999999999999999999999999999999EiB",
+    "15.999999999999999999EiB", "0.000000000000000000001EiB", "0" * 60 + "7", "1.50000000000000000000000000000000000000000000001KB",
+])
+def test_sizes_of_any_number_of_digits(spark, text):
+    size = parse_size(text)
+    assert int(spark.range(1).select(parse_size(F.lit(text))).first()[0]) == size
+
+
+def test_patterns_are_checked_before_they_run():
+    assert to_java("a(?# any (text)b") == to_java("ab")
+    assert to_java(r"\U0001F600").endswith(r"\x{1F600}")
+    for pattern in ("(?(1)a|b)", "(?#open"):
+        with pytest.raises(ValueError):
+            to_java(pattern)
+
+
+def test_inventories_with_another_layout_are_refused(spark, rows, tmp_path):
+    listed = rows(row("a", 1), row("b/c", 2))
+    foreign, typed, partial = (str(tmp_path / n) for n in ("foreign", "typed", "partial"))
+    listed.withColumnRenamed("key", "object_key").write.parquet(foreign)
+    listed.withColumn("size", F.col("size").cast("string")).write.parquet(typed)
+    listed.drop("owner_id", "version_id").write.parquet(partial)
+    with pytest.raises(ValueError, match="no column key"):
+        read_inventory(spark, foreign)
+    with pytest.raises(ValueError, match="size is string"):
+        read_inventory(spark, typed)
+    assert read_inventory(spark, partial).where("owner_id is null").count() == 2
+    lines = tmp_path / "rows.json"
+    lines.write_text(json.dumps({"bucket": "b", "object_key": "a", "entry_type": "OBJECT", "size": 1, "last_modified": "2024-01-01T00:00:00Z"}) + "\n")
+    with pytest.raises(ValueError, match="no field key"):
+        read_inventory(spark, str(lines), "json")
+
+
+def test_a_typed_listing_has_no_header_or_total(rows, tmp_path):
+    for option in ({"summary": True}, {"with_header": True}):
+        with pytest.raises(ValueError, match="parquet"):
+            write_listing(rows(row("a", 1)), str(tmp_path / "out"), "parquet", **option)
+
+
+def test_only_one_process_may_use_a_temporary_folder():
+    assert is_local("local") and is_local("local[8]")
+    assert not any(map(is_local, ("local-cluster[3,2,1024]", "yarn", "spark://host:7077", "k8s://x")))
