@@ -13,9 +13,10 @@ is worked out in blocks of columns, and only where it can reach the threshold:
 * What is left is held against a second bound, from a bit table of each row that is a thirtieth of its set: bits that
   differ count columns that only one of the two has. What passes that is verified with the whole sets.
 
-Rows that meet in a column are not all paired: first each is compared with a few of them, and the links found are merged
-to components. Then only rows that meet but are still in different components are compared, all of them. So
-a large group of near copies costs its size, not its square, and no component is missed.
+A column with few rows gives all their pairs. In larger ones, each row is first paired with a few others, and the links
+found are merged to components. Then rows that meet but are still in different components are compared in the join
+itself, which gives only pairs that pass both bounds. So no join or task puts out all pairs of a large group, and no
+component is missed.
 """
 
 from __future__ import annotations
@@ -35,8 +36,12 @@ from bucketscope.llm.components import components, join_groups
 WORDS = 5
 #: Links need 100 x overlap >= PERCENT x union.
 PERCENT = 75
-#: How many others per column each row is compared with, before all that is left is.
+#: Rows of a column up to which all its pairs are made at once.
+FEW_ROWS = 8
+#: How many others per larger column each row is compared with, before all that is left is.
 STAR_ROUNDS = 3
+#: 64-bit words of the coarse parity bits, which a join can compare.
+COARSE_WORDS = 16
 #: Counters of shingles and of words; part of the order of shingles, which may be any.
 SHINGLE_COUNTERS = 1 << 20
 WORD_COUNTERS = 1 << 18
@@ -150,6 +155,14 @@ def parity_bits(shingles: np.ndarray) -> bytes:
     return np.packbits(np.bincount((_mixed(shingles) & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).tobytes()
 
 
+def coarse_bits(bits: bytes) -> list[int]:
+    """The parities, folded to a fixed number of words where they are more."""
+    own = np.frombuffer(bits, np.int64)
+    if len(own) > COARSE_WORDS:
+        own = np.bitwise_xor.reduce(own.reshape(-1, COARSE_WORDS), axis=0)
+    return own.tolist()
+
+
 def most_overlap(n: int, bits: bytes, other_n: int, other_bits: bytes) -> int:
     """A bound of the overlap: counters of different parity hold a shingle each that only one of the two sets has."""
     one, two = (np.frombuffer(b, np.uint8) for b in (bits, other_bits))
@@ -182,7 +195,7 @@ def ordered_prefix(text: bytes | None, levels: tuple[np.ndarray, np.ndarray]) ->
 
 
 def incidence(docs: DataFrame, levels: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """``doc_id, n, print, prefix, bits`` per document."""
+    """``doc_id, n, print, prefix, bits, coarse`` per document."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,16 +205,17 @@ def incidence(docs: DataFrame, levels: tuple[np.ndarray, np.ndarray]) -> DataFra
                 [
                     batch.column(0), pa.array([m[0] for m in made], pa.int64()),
                     pa.array([m[1] for m in made], pa.binary()), pa.array([m[2].tobytes() for m in made], pa.binary()),
-                    pa.array([m[3] for m in made], pa.binary()),
+                    pa.array([m[3] for m in made], pa.binary()), pa.array([coarse_bits(m[3]) for m in made], pa.list_(pa.int64())),
                 ],
-                ["doc_id", "n", "print", "prefix", "bits"],
+                ["doc_id", "n", "print", "prefix", "bits", "coarse"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, n long, print binary, prefix binary, bits binary")
+    return in_python(docs).mapInArrow(run, "doc_id long, n long, print binary, prefix binary, bits binary, coarse array<long>")
 
 
 def meeting_rows(rows: DataFrame, blocks: int) -> DataFrame:
-    """``column, node, n, place`` for every prefix column that two rows at least have, from ``node, n, prefix``.
+    """Pairs ``node, other`` from the columns with few rows, and ``column, node, n, place`` of each row of the others,
+    from ``node, n, prefix``; what does not apply is null.
 
     Each batch of rows is cut into blocks of columns, packed; a block is sorted in numpy by one task.
     """
@@ -232,22 +246,40 @@ def meeting_rows(rows: DataFrame, blocks: int) -> DataFrame:
         unpack = lambda name, kind: np.concatenate([np.frombuffer(v.as_py(), kind) for v in group.column(name)])
         columns, nodes, n, places = (unpack(*x) for x in (("columns", "<u4"), ("nodes", "<i8"), ("n", "<u4"), ("places", "<u4")))
         order = np.argsort(columns, kind="stable")
-        columns = columns[order]
-        same = columns[1:] == columns[:-1]
-        met = np.append(same, False) | np.insert(same, 0, False)
-        order, columns = order[met], columns[met]
+        columns, nodes, n, places = columns[order], nodes[order], n[order].astype(np.int64), places[order].astype(np.int64)
+        starts = np.flatnonzero(np.append(True, columns[1:] != columns[:-1]))
+        rows = np.diff(np.append(starts, len(columns)))
+        rows = np.repeat(rows, rows)
+        pairs = np.zeros((0, 2), np.int64)
+        for apart in range(1, FEW_ROWS):
+            at = np.flatnonzero((columns[apart:] == columns[:-apart]) & (rows[apart:] <= FEW_ROWS))
+            other = at + apart
+            able = possible(n[at], places[at], n[other], places[other]) & (nodes[at] != nodes[other])
+            new = np.sort(np.stack([nodes[at[able]], nodes[other[able]]], axis=1), axis=1)
+            pairs = np.unique(np.concatenate([pairs, new]), axis=0)
+        many = rows > FEW_ROWS
         block = np.int64(group.column("block")[0].as_py())
+        none = np.full(len(pairs), None)
         return pa.table({
-            "column": columns.astype(np.int64) | (block << np.int64(32)), "node": nodes[order],
-            "n": n[order].astype(np.int64), "place": places[order].astype(np.int64),
+            "column": pa.array([*none, *(columns[many].astype(np.int64) | (block << np.int64(32)))], pa.int64()),
+            "node": np.concatenate([pairs[:, 0], nodes[many]]),
+            "other": pa.array([*pairs[:, 1].tolist(), *[None] * int(many.sum())], pa.int64()),
+            "n": pa.array([*none, *n[many]], pa.int64()), "place": pa.array([*none, *places[many]], pa.int64()),
         })
 
-    packed = rows.mapInArrow(cut, "block int, columns binary, nodes binary, n binary, places binary")
-    return packed.groupBy("block").applyInArrow(meet, "column long, node long, n long, place long")
+    packed = in_python(rows).mapInArrow(cut, "block int, columns binary, nodes binary, n binary, places binary")
+    return packed.groupBy("block").applyInArrow(meet, "column long, node long, other long, n long, place long")
+
+
+def possible(n, place, other_n, other_place):
+    """Whether two rows whose first common column is at these places can overlap enough; for arrays."""
+    most = np.minimum(n - place, other_n - other_place)
+    sizes = np.minimum(n, other_n) * 100 >= np.maximum(n, other_n) * PERCENT
+    return sizes & (most * (100 + PERCENT) >= (n + other_n) * PERCENT)
 
 
 def _possible(n: Column, place: Column, other_n: Column, other_place: Column) -> Column:
-    """Whether two rows whose first common column is at these places can overlap enough."""
+    """As ``possible``, for columns of a table."""
     most = F.least(n - place, other_n - other_place)
     sizes = F.least(n, other_n) * 100 >= F.greatest(n, other_n) * PERCENT
     return sizes & (most * (100 + PERCENT) >= (n + other_n) * PERCENT)
@@ -263,15 +295,24 @@ def _star_pairs(met: DataFrame, salt: int) -> DataFrame:
     ).select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b"))
 
 
-def _cross_pairs(met: DataFrame) -> DataFrame:
-    """All pairs of rows that meet in a column and are in different components."""
+def _cross_pairs(met: DataFrame, rows: DataFrame) -> DataFrame:
+    """All pairs of rows that meet in a column, are in different components and pass the bounds."""
     several = met.groupBy("column").agg(F.min("component").alias("least"), F.max("component").alias("most"))
     several = several.where("least <> most").select("column")
-    rows = stored(met.join(several.hint("merge"), "column", "left_semi"), "apart")
-    x, y = rows.alias("x"), rows.alias("y")
+    left = stored(met.join(several.hint("merge"), "column", "left_semi"), "apart")
+    # a row of a set's coarse bits for each of its columns: of fixed size
+    bits = rows.select(F.col("doc_id").alias("node"), "n", "coarse").hint("merge")
+    with_bits = stored(left.join(bits, ["node", "n"]).distinct(), "apart-bits")
+    x, y = with_bits.alias("x"), with_bits.alias("y")
     apart = (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component"))
-    possible = _possible(F.col("x.n"), F.col("x.place"), F.col("y.n"), F.col("y.place"))
-    pairs = x.join(y.hint("merge"), (F.col("x.column") == F.col("y.column")) & apart & possible)
+    able = _possible(F.col("x.n"), F.col("x.place"), F.col("y.n"), F.col("y.place"))
+    sizes = F.col("x.n") + F.col("y.n")
+    differ = F.aggregate(
+        F.zip_with(F.col("x.coarse"), F.col("y.coarse"), lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda t, c: t + F.coalesce(c, F.lit(0))
+    )
+    # sets with fewer counters than the coarse ones compare only with their like; the others are left to the next bound
+    bound = (F.size("x.coarse") != F.size("y.coarse")) | (F.floor((sizes - differ) / 2) * (100 + PERCENT) >= sizes * PERCENT)
+    pairs = x.join(y.hint("merge"), (F.col("x.column") == F.col("y.column")) & apart & able & bound)
     return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
 
 
@@ -290,7 +331,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     own = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     other = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     joined = pairs.hint("merge").join(own.hint("merge"), "a").join(other.hint("merge"), "b").select("a", "b", "x", "y")
-    return joined.mapInArrow(run, "a long, b long")
+    return in_python(joined).mapInArrow(run, "a long, b long")
 
 
 def _filter_bits(nodes: DataFrame) -> tuple[int, np.ndarray]:
@@ -321,7 +362,7 @@ def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     place = F.pmod(F.xxhash64(F.lit("bits"), "doc_id"), F.lit(bits))
     bit = F.bitmap_bucket_number(place) * F.lit(1 << 15) + F.bitmap_bit_position(place)
     rows = docs.where("doc_id is not null").select("doc_id", "text", bit.alias("bit"))
-    return rows.mapInArrow(run, "node long, shingles binary")
+    return in_python(rows).mapInArrow(run, "node long, shingles binary")
 
 
 def _bounded(pairs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -337,7 +378,7 @@ def _bounded(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     own = rows.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xa"))
     other = rows.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb"))
     joined = pairs.hint("merge").join(own.hint("merge"), "a").join(other.hint("merge"), "b")
-    return joined.select("a", "b", "na", "xa", "nb", "xb").mapInArrow(run, "a long, b long")
+    return in_python(joined).select("a", "b", "na", "xa", "nb", "xb").mapInArrow(run, "a long, b long")
 
 
 def _checked(pairs: DataFrame, rows: DataFrame, docs: DataFrame) -> DataFrame:
@@ -349,15 +390,17 @@ def _checked(pairs: DataFrame, rows: DataFrame, docs: DataFrame) -> DataFrame:
 
 def _labels(docs: DataFrame, rows: DataFrame, met: DataFrame) -> DataFrame | None:
     """``node, component`` of all rows that link; None where none does."""
-    stars = [_star_pairs(met, salt) for salt in range(STAR_ROUNDS)]
-    links = _checked(reduce(DataFrame.unionByName, stars), rows, docs)
+    few = met.where("column is null").select(F.col("node").alias("a"), F.col("other").alias("b"))
+    many = met.where("column is not null").select("column", "node", "n", "place")
+    stars = [_star_pairs(many, salt) for salt in range(STAR_ROUNDS)]
+    links = _checked(reduce(DataFrame.unionByName, stars, few), rows, docs)
     if links.isEmpty():
-        labelled = met.withColumn("component", F.col("node"))
+        labelled = many.withColumn("component", F.col("node"))
     else:
         labels = stored(components(links), "labels")
-        joined = met.join(labels.hint("merge"), "node", "left")
+        joined = many.join(labels.hint("merge"), "node", "left")
         labelled = joined.withColumn("component", F.coalesce("component", "node"))
-    more = _checked(_cross_pairs(stored(labelled, "labelled")), rows, docs)
+    more = _checked(_cross_pairs(stored(labelled, "labelled"), rows), rows, docs)
     links = links.unionByName(more)
     return None if links.isEmpty() else stored(components(links), "labels")
 
@@ -382,7 +425,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     entries = classes.agg(F.sum(F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1)).first()[0] or 0
     blocks = max(shuffle_partitions(spark), -(-int(entries) // BLOCK_ENTRIES))
     met = stored(meeting_rows(one_each.select("node", "n", "prefix"), blocks), "met")
-    labels = _labels(texts, linked.select("doc_id", "n", "bits"), met)
+    labels = _labels(texts, linked.select("doc_id", "n", "bits", "coarse"), met)
     if labels is None:
         named = classes.withColumn("component", F.col("node"))
     else:
