@@ -22,7 +22,7 @@ component is missed.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache, reduce
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -214,8 +214,8 @@ def incidence(docs: DataFrame, levels: tuple[np.ndarray, np.ndarray]) -> DataFra
 
 
 def meeting_rows(rows: DataFrame, blocks: int) -> DataFrame:
-    """Pairs ``node, other`` from the columns with few rows, and ``column, node, n, place`` of each row of the others,
-    from ``node, n, prefix``; what does not apply is null.
+    """Pairs ``node, other``, and ``column, node, n, place`` of each row of the columns that have not given all their
+    pairs, from ``node, n, prefix``; what does not apply is null.
 
     Each batch of rows is cut into blocks of columns, packed; a block is sorted in numpy by one task.
     """
@@ -258,6 +258,8 @@ def meeting_rows(rows: DataFrame, blocks: int) -> DataFrame:
             new = np.sort(np.stack([nodes[at[able]], nodes[other[able]]], axis=1), axis=1)
             pairs = np.unique(np.concatenate([pairs, new]), axis=0)
         many = rows > FEW_ROWS
+        stars = [star_pairs(columns[many], nodes[many], n[many], places[many], salt) for salt in range(STAR_ROUNDS)]
+        pairs = np.unique(np.concatenate([pairs, *stars]), axis=0)
         block = np.int64(group.column("block")[0].as_py())
         none = np.full(len(pairs), None)
         return pa.table({
@@ -271,6 +273,18 @@ def meeting_rows(rows: DataFrame, blocks: int) -> DataFrame:
     return packed.groupBy("block").applyInArrow(meet, "column long, node long, other long, n long, place long")
 
 
+def star_pairs(columns: np.ndarray, nodes: np.ndarray, n: np.ndarray, places: np.ndarray, salt: int) -> np.ndarray:
+    """Each row of a block with one of those it meets in a column, among rows of like size; which one depends on
+    ``salt``, and is the same in other columns with these rows."""
+    like = np.floor(np.log(n) / np.log(100 / PERCENT) + salt / STAR_ROUNDS).astype(np.int64)
+    order = np.lexsort((nodes, _mixed(nodes.astype(np.uint64) + np.uint64(salt << 56)), like, columns))
+    columns, nodes, n, places, like = columns[order], nodes[order], n[order], places[order], like[order]
+    first = np.append(True, (columns[1:] != columns[:-1]) | (like[1:] != like[:-1]))[: len(columns)]
+    centre = np.maximum.accumulate(np.where(first, np.arange(len(columns)), 0))
+    able = possible(n, places, n[centre], places[centre]) & (nodes != nodes[centre])
+    return np.unique(np.sort(np.stack([nodes[able], nodes[centre[able]]], axis=1), axis=1), axis=0)
+
+
 def possible(n, place, other_n, other_place):
     """Whether two rows whose first common column is at these places can overlap enough; for arrays."""
     most = np.minimum(n - place, other_n - other_place)
@@ -285,16 +299,6 @@ def _possible(n: Column, place: Column, other_n: Column, other_place: Column) ->
     return sizes & (most * (100 + PERCENT) >= (n + other_n) * PERCENT)
 
 
-def _star_pairs(met: DataFrame, salt: int) -> DataFrame:
-    """Each row with one of those it meets in a column, among rows of like size; which one depends on ``salt``."""
-    like = met.withColumn("like", F.floor(F.log("n") / F.log(F.lit(100 / PERCENT)) + salt / STAR_ROUNDS))
-    chosen = F.struct(F.xxhash64(F.lit(salt), "node").alias("h"), "node", "n", "place")
-    centre = stored(like.groupBy("column", "like").agg(F.min(chosen).alias("c")), "centres")
-    return like.join(centre.hint("merge"), ["column", "like"]).where(
-        (F.col("node") != F.col("c.node")) & _possible(F.col("n"), F.col("place"), F.col("c.n"), F.col("c.place"))
-    ).select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b"))
-
-
 def _cross_pairs(met: DataFrame, rows: DataFrame) -> DataFrame:
     """All pairs of rows that meet in a column, are in different components and pass the bounds."""
     several = met.groupBy("column").agg(F.min("component").alias("least"), F.max("component").alias("most"))
@@ -390,10 +394,9 @@ def _checked(pairs: DataFrame, rows: DataFrame, docs: DataFrame) -> DataFrame:
 
 def _labels(docs: DataFrame, rows: DataFrame, met: DataFrame) -> DataFrame | None:
     """``node, component`` of all rows that link; None where none does."""
-    few = met.where("column is null").select(F.col("node").alias("a"), F.col("other").alias("b"))
+    pairs = met.where("column is null").select(F.col("node").alias("a"), F.col("other").alias("b"))
     many = met.where("column is not null").select("column", "node", "n", "place")
-    stars = [_star_pairs(many, salt) for salt in range(STAR_ROUNDS)]
-    links = _checked(reduce(DataFrame.unionByName, stars, few), rows, docs)
+    links = _checked(pairs, rows, docs)
     if links.isEmpty():
         labelled = many.withColumn("component", F.col("node"))
     else:
