@@ -96,35 +96,49 @@ def bucketed(rows: DataFrame, tables: int, probes: int, seed: int) -> DataFrame:
     return in_python(rows).mapInArrow(run, f"{kinds}, dim int, place int, bucket int")
 
 
-def exact_scores(queries: np.ndarray, others: np.ndarray) -> np.ndarray:
-    """Cosines of rows in pairs, each summed from the first component to the last: equal vectors get equal scores."""
-    dot, own, other = (np.zeros(len(queries)) for _ in range(3))
+def exact_scores(queries: np.ndarray, others: np.ndarray, own_rows: np.ndarray, other_rows: np.ndarray) -> np.ndarray:
+    """Cosines of the rows in pairs, each summed from the first component to the last: equal vectors get equal scores."""
+    lengths = [np.zeros(len(queries)), np.zeros(len(others))]
+    dot = np.zeros(len(own_rows))
     for i in range(queries.shape[1]):
-        dot += queries[:, i] * others[:, i]
-        own += queries[:, i] ** 2
-        other += others[:, i] ** 2
-    return dot / (np.sqrt(own) * np.sqrt(other))
+        dot += queries[own_rows, i] * others[other_rows, i]
+        lengths[0] += queries[:, i] ** 2
+        lengths[1] += others[:, i] ** 2
+    own, other = (np.sqrt(x) for x in lengths)
+    return dot / (own[own_rows] * other[other_rows])
 
 
 def _best_in_block(k: int):
+    """The ``k`` best identifiers of each query row: rows of one identifier count once, by their best score, before the cut."""
+
     def run(queries: pa.Table, rows: pa.Table) -> pa.Table:
         query_ids, ids = (t.column("id").to_numpy() for t in (queries, rows))
         if not len(query_ids) or not len(ids):
             return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         q, c = (_matrix(t.column("vector")).astype(np.float64) for t in (queries, rows))
+        by_id = np.argsort(ids, kind="stable")
+        ids, c = ids[by_id], c[by_id]
         about = (q / np.sqrt((q**2).sum(axis=1))[:, None]) @ (c / np.sqrt((c**2).sum(axis=1))[:, None]).T
         about[query_ids[:, None] == ids[None, :]] = -np.inf
-        if len(ids) > k:
-            floor = -np.partition(-about, k - 1, axis=1)[:, k - 1 : k]
+        starts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+        # the best row of each identifier, as a column per identifier
+        best = about if len(starts) == len(ids) else np.maximum.reduceat(about, starts, axis=1)
+        if len(starts) > k:
+            floor = -np.partition(-best, k - 1, axis=1)[:, k - 1 : k]
             pairs = np.nonzero((about >= floor - 1e-9) & (about > -np.inf))
         else:
             pairs = np.nonzero(about > -np.inf)
-        score = exact_scores(q[pairs[0]], c[pairs[1]])
-        order = np.lexsort((ids[pairs[1]], -score, pairs[0]))
-        row, at, score = pairs[0][order], pairs[1][order], score[order]
+        score = exact_scores(q, c, *pairs)
+        row, vec_id = pairs[0], ids[pairs[1]]
+        order = np.lexsort((-score, vec_id, row))
+        row, vec_id, score = row[order], vec_id[order], score[order]
+        once = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (vec_id[1:] != vec_id[:-1])])[: len(row)])
+        row, vec_id, score = row[once], vec_id[once], score[once]
+        order = np.lexsort((vec_id, -score, row))
+        row, vec_id, score = row[order], vec_id[order], score[order]
         first = np.searchsorted(row, np.arange(len(query_ids)))
         top = np.arange(len(row)) - first[row] < k
-        return pa.table({"query_id": query_ids[row[top]], "vec_id": ids[at[top]], "score": score[top]})
+        return pa.table({"query_id": query_ids[row[top]], "vec_id": vec_id[top], "score": score[top]})
 
     return run
 
@@ -135,7 +149,9 @@ def _joined_blocks(queries: DataFrame, rows: DataFrame, keys: list[str], k: int)
     both = rows.groupBy(*keys).agg((F.floor(F.count(F.lit(1)) / BLOCK_ROWS) + 1).cast("int").alias("pieces"))
     asked = queries.groupBy(*keys).agg((F.floor(F.count(F.lit(1)) / BLOCK_QUERIES) + 1).cast("int").alias("parts"))
     cut = F.broadcast(both.join(asked, keys))
-    piece, part = F.pmod(F.xxhash64("id"), F.col("pieces")), F.pmod(F.xxhash64("id"), F.col("parts"))
+    # by vector too: the rows of an identifier with many vectors are spread
+    salt = F.xxhash64("id", "vector")
+    piece, part = F.pmod(salt, F.col("pieces")), F.pmod(salt, F.col("parts"))
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     block = [*keys, "piece", "part"]
     q = queries.join(cut, keys).select("id", "vector", *keys, part.cast("int").alias("part"), spread("pieces").alias("piece"))
@@ -161,12 +177,13 @@ def nearest_neighbours(
 
     Ties go to the smaller identifier. With fewer than ``k`` other rows, all are returned. Rows with a null identifier,
     and vectors that are null, empty, zero or hold null or non-finite components, take no part; vectors of different
-    dimensions are never compared. Rows that repeat an identifier count as one row of it, and are no neighbours of
-    themselves. An empty table gives no rows. Other columns are not read.
+    dimensions are never compared. Rows that repeat an identifier count as one row of it, with the best score that any
+    of their vectors has, and are no neighbours of themselves. An empty table gives no rows. Other columns are not read.
     """
     taking_part = vectors.where(usable(F.col(vector_column)) & F.col(id_column).isNotNull())
-    rows = taking_part.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).alias("vector"))
-    asking = taking_part.where(is_query).select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).alias("vector"))
+    named = [F.col(id_column).cast("long").alias("id"), F.col(vector_column).alias("vector")]
+    # rows equal in both are one; tasks merge them before the exchange
+    rows, asking = taking_part.select(*named).distinct(), taking_part.where(is_query).select(*named).distinct()
     keys = ["dim", "place", "bucket"]
     indexed = stored(bucketed(rows, tables, 1, seed), "index")
     probing = bucketed(asking, tables, probes, seed)

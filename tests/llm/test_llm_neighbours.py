@@ -73,6 +73,33 @@ def test_blocks_of_a_large_bucket_agree_with_brute_force(spark, monkeypatch):
     assert found == brute(rows, 5, lambda i: i % 10 == 0)
 
 
+def by_id(rows, k, is_query):
+    """As brute(), where each pair of identifiers has the best score of their rows."""
+    scores = {}
+    for n, (q, *_) in enumerate(rows):
+        if is_query(q):
+            own = [rows[n], *[r for r in rows if r[0] != q]]
+            for c, s in brute(own, len(rows), lambda i, q=q: i == q)[q]:
+                scores.setdefault(q, {})[c] = max(s, scores.get(q, {}).get(c, -2.0))
+    return {q: sorted(found.items(), key=lambda x: (-x[1], x[0]))[:k] for q, found in scores.items()}
+
+
+@pytest.mark.parametrize("block", [16, 4096])
+def test_repeated_identifiers_take_one_place_each(spark, monkeypatch, block):
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", block)
+    rng = random.Random(5)
+    vector = lambda: [1.0 + rng.choice([0.0, 0.25, 0.5]), 0.5, rng.choice([0.0, 0.125]), rng.random() / 4, 0.25]
+    rows = [(i, vector(), 1, 1, "x") for i in (0, 10, 20)]
+    for i in range(31, 60):
+        same = vector()
+        near = lambda: [same[0] + rng.random() / 1000, *same[1:]]  # noqa: B023, E731
+        rows += [(i, same if i % 2 else near(), 1, 1, "x") for _ in range(7)]
+    rows += [(99, vector(), 1, 1, "x") for _ in range(100)]  # a third of all rows
+    found = results(neighbours.nearest_neighbours(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") <= 20))
+    wanted = by_id(rows, 5, lambda i: i <= 20)
+    assert found == wanted and all(len(f) == 5 for f in found.values())
+
+
 def test_rotations_keep_lengths():
     rows = np.random.default_rng(1).normal(size=(20, 37))
     turned = neighbours.rotated(rows, 0, 2)
