@@ -23,11 +23,14 @@ PATTERNS = {
     "ip": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])",
     "date": r"(?<![0-9/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9/-])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "phone": r"(?<![0-9+])(?:\+[0-9]{1,3}[ -]?)?(?:\([0-9]{2,4}\)[ -]?[0-9]{3,4}|[0-9]{3}[-.][0-9]{3})[-. ][0-9]{4}(?![0-9])"
+    "phone": r"(?<![0-9+])(?:\+[0-9]{1,3}[ -]?)?(?:\([0-9]{2,4}\)[ -]?[0-9]{3,4}|[0-9]{3}[-. ][0-9]{3})[-. ][0-9]{4}(?![0-9])"
     r"|(?<![0-9+])\+[0-9]{1,3}(?:[ -]?[0-9]{2,4}){2,4}(?![0-9])",
     "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
 }
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: A whole run of at least 13 digits, up to what begins another kind: cards in it can stand next to other numbers.
+_NEXT = "|".join(f"(?:{PATTERNS[kind]})" for kind in ("ip", "date", "ssn"))
+RUN = rf"(?<![0-9])(?=[0-9](?:[ -]?[0-9]){{12}})[0-9]++(?:[ -](?!{_NEXT})[0-9]++)*+"
+ANY = "|".join(f"(?:{p})" for p in [*(p for kind, p in PATTERNS.items() if kind != "card"), RUN])
 
 # The days that dates are permuted among, 252 x 290 of them from this one.
 FIRST_DAY = "1900-01-01"
@@ -109,11 +112,22 @@ def _ip(value: Column, key: str) -> Column:
 
 
 def _date(value: Column, key: str) -> Column:
-    forms = [("yyyy-MM-dd", r"^\d{4}-"), ("dd.MM.yyyy", r"^\d{2}\."), ("MM/dd/yyyy", r"^\d{2}/")]
+    start = F.lit(FIRST_DAY).cast("date")
+    moved = lambda day: permuted_number(day, DAYS, key, "date")
+    past_12 = lambda day: F.dayofmonth(F.date_add(start, day.cast("int"))) > 12
+    # Slash dates have the month first where that is a date. The others, whose first number is above 12, are permuted
+    # among themselves: the permutation is repeated until it comes back to such a day, which it does within few turns.
+    walked = lambda day: F.aggregate(
+        F.sequence(F.lit(1), F.lit(100)), moved(day), lambda at, turn: F.when(past_12(at), at).otherwise(moved(at))
+    )
+    forms = [
+        ("yyyy-MM-dd", r"^\d{4}-", moved), ("dd.MM.yyyy", r"^\d{2}\.", moved),
+        ("dd/MM/yyyy", r"^(?:1[3-9]|[23]\d)/", walked), ("MM/dd/yyyy", r"^(?:0\d|1[0-2])/", moved),
+    ]
     out = F.lit(None).cast("string")
-    for form, looks in forms:
-        day = F.datediff(F.try_to_timestamp(value, F.lit(form)).cast("date"), F.lit(FIRST_DAY).cast("date"))
-        changed = F.date_add(F.lit(FIRST_DAY).cast("date"), permuted_number(day.cast("bigint"), DAYS, key, "date").cast("int"))
+    for form, looks, turned in forms:
+        day = F.datediff(F.try_to_timestamp(value, F.lit(form)).cast("date"), start)
+        changed = F.date_add(start, turned(day.cast("bigint")).cast("int"))
         out = F.when(value.rlike(looks) & day.between(0, DAYS[0] * DAYS[1] - 1), F.date_format(changed, form)).otherwise(out)
     return out
 
@@ -143,6 +157,44 @@ def pseudonym(value: Column, key: str) -> Column:
     return F.coalesce(*tried)
 
 
+def _within(value: Column, key: str) -> Column:
+    """``text, n`` of a value that is not valid as a whole: the phone and card numbers between group boundaries changed.
+
+    Groups of digits are gone through from the left. At each, a phone number of three groups is taken, else the longest
+    run of groups that is a card number with a right check digit, else the group stays.
+    """
+    groups = F.regexp_extract_all(value, F.lit(r"([0-9]+[^0-9]*|[^0-9]+)"), F.lit(1))
+    phone = r"^[0-9]{3}[ -][0-9]{3}[ -][0-9]{4}$"
+
+    def over(groups: Column) -> Column:
+        def tried(at: Column) -> Column:
+            """``size, text`` of the number that begins at a group, or null."""
+            run = lambda n: F.regexp_replace(F.array_join(F.slice(groups, at, n), ""), "[^0-9]+$", "")
+            runs = F.transform(F.sequence(F.least(F.lit(19), F.size(groups) - at + 1), F.lit(1), F.lit(-1)), lambda n: F.struct(n.alias("size"), run(n).alias("text")))
+            cards = F.filter(runs, lambda r: r["text"].rlike(f"^(?:{PATTERNS['card']})$"))
+            cards = F.filter(cards, lambda r: _luhn(_digits(r["text"])) % 10 == 0)
+            phones = F.filter(runs, lambda r: (r["size"] == 3) & r["text"].rlike(phone))
+            return F.get(F.concat(phones, cards), F.lit(0))
+
+        def step(s: Column, at: Column) -> Column:
+            def going_on(found: Column) -> Column:
+                new = F.when(found["text"].rlike(phone), _phone(found["text"], key)).otherwise(_card(found["text"], key))
+                last = F.element_at(groups, (at + found["size"] - 1).cast("int"))
+                after = F.regexp_extract(last, "([^0-9]*)$", 1)
+                return F.when(
+                    found.isNotNull(),
+                    F.struct(F.concat(s["text"], new, after).alias("text"), (s["n"] + 1).alias("n"), (at + found["size"]).cast("int").alias("next")),
+                ).otherwise(F.struct(F.concat(s["text"], F.element_at(groups, at)).alias("text"), s["n"].alias("n"), (at + 1).cast("int").alias("next")))
+
+            # an array of one binds what is found, which is used several times
+            return F.when(at < s["next"], s).otherwise(F.get(F.transform(F.array(tried(at)), going_on), F.lit(0)))
+
+        none = F.struct(F.lit("").alias("text"), F.lit(0).cast("bigint").alias("n"), F.lit(1).alias("next"))
+        return F.aggregate(F.sequence(F.lit(1), F.size(groups)), none, step)
+
+    return F.get(F.transform(F.array(groups), over), F.lit(0))
+
+
 def pseudonymise(docs: DataFrame, key: str, text_column: str = "text", count_column: str = "n_replaced") -> DataFrame:
     """The rows with pseudonyms in their texts, and the number of values replaced in a new last column.
 
@@ -157,9 +209,16 @@ def pseudonymise(docs: DataFrame, key: str, text_column: str = "text", count_col
 
     def changed(piece: Column) -> Column:
         kind, rest = F.substring(piece, 1, 1), F.substring(piece, F.lit(2), F.length(piece))
-        new = F.when(kind == FOUND, pseudonym(rest, key))
-        body = F.when(kind == LITERAL, F.concat(F.lit(MARK), rest)).otherwise(F.coalesce(new, rest))
-        return F.struct(body.alias("text"), new.isNotNull().cast("bigint").alias("n"))
+        whole = lambda text, n: F.struct(text.alias("text"), F.lit(n).cast("bigint").alias("n"))
+        plain = F.when(kind == LITERAL, F.concat(F.lit(MARK), rest)).otherwise(rest)
+
+        def of(new: Column) -> Column:
+            inner = lambda p: F.struct(p["text"].alias("text"), p["n"].alias("n"))
+            within = F.get(F.transform(F.array(_within(rest, key)), inner), F.lit(0))
+            return F.when(new.isNotNull(), whole(new, 1)).when(F.length(_digits(rest)) >= 13, within).otherwise(whole(rest, 0))
+
+        found = F.get(F.transform(F.array(pseudonym(rest, key)), of), F.lit(0))
+        return F.when(kind == FOUND, found).otherwise(whole(plain, 0))
 
     done = F.when(text.rlike("[0-9@]"), F.transform(pieces, changed))
     name = free_name(docs.columns, "_pieces")

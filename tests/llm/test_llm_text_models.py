@@ -236,6 +236,26 @@ def test_what_is_not_valid_stays(spark):
         pseudonyms.pseudonymise(spark.createDataFrame(ODD, SCHEMA), "k", count_column="TEXT")
 
 
+def test_numbers_next_to_other_digits(spark):
+    card, one = "4111 1111 1111 1111", "4111111111111111"
+    (changed, _), (changed_one, _), (phone, n) = pseudonymised(spark, card, one, "555 123 4567")
+    assert changed != card and changed_one != one
+    assert n == 1 and phone != "555 123 4567" and re.fullmatch(r"\d{3} \d{3} \d{4}", phone)
+    around = ["{} 123", "{} 12/27", "room 12 {}", "id 1234 {}", "x {} 10.300.2.3", "+1 {}", "7 {} 9"]
+    found = pseudonymised(spark, *[a.format(c) for a in around for c in (card, one)])
+    assert found == [(a.format(c), 1) for a in around for c in (changed, changed_one)]
+    both, on_day = pseudonymised(spark, f"{card} {card} 555 123 4567", f"{card} 2023-12-25")
+    assert both == (f"{changed} {changed} {phone}", 3)
+    assert on_day[1] == 2 and on_day[0].startswith(changed + " ") and "2023-12-25" not in on_day[0]
+
+
+def test_slash_dates_with_the_day_first(spark):
+    days = [f"{d}/{m:02d}/{y}" for d in range(13, 29) for m in range(1, 13) for y in (1950, 2023)]
+    found = pseudonymised(spark, *days)
+    assert {n for _, n in found} == {1} and len({t for t, _ in found}) == len(days)
+    assert all(int(t[:2]) > 12 and re.fullmatch(r"\d{2}/\d{2}/\d{4}", t) for t, _ in found)
+
+
 def test_pseudonyms_are_permutations(spark):
     numbers = spark.range(pseudonyms.DAYS[0] * pseudonyms.DAYS[1])
     days = pseudonyms.permuted_number(F.col("id"), pseudonyms.DAYS, "k", "date")
