@@ -65,7 +65,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        # each becomes its one id where a text holds its string; such texts are encoded whole
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         self.model = self.tokenizer.model
         self.newline = self.ids("\n")
         self.first: dict[str, bytes] = _Chunks(self, "")
@@ -81,6 +82,8 @@ class Encoder:
     def __call__(self, text: str) -> bytes:
         if not text:
             return b""
+        if any(token in text for token in self.added):
+            return self.ids(text)
         try:
             first, *later = text.split(" ")
             return b"".join([self.first[first], *map(self.later.__getitem__, later)])

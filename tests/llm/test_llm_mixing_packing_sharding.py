@@ -97,6 +97,20 @@ def test_encoder_agrees_with_the_tokenizer():
         assert encode(text) == encode.ids(text), repr(text)
 
 
+def test_encoder_agrees_with_a_fresh_tokenizer():
+    from tokenizers import Tokenizer
+
+    fresh, encode = Tokenizer.from_file(tokenizer_file()), packing.Encoder(tokenizer_file())
+    added = [t.content for t in fresh.get_added_tokens_decoder().values()]
+    assert "<|endoftext|>" in added
+    rng = random.Random(4)
+    parts = [" ", "  ", "\n", "a", "bc", "Über", "don't", "12", ".", "日本", "<|", "endoftext", *added]
+    texts = [*added, "one two<|endoftext|> three", *("".join(rng.choices(parts, k=rng.randrange(0, 12))) for _ in range(2000))]
+    for text in texts:
+        ids = fresh.encode(text, add_special_tokens=False).ids
+        assert encode(text) == np.array(ids, dtype="<u4").tobytes(), repr(text)
+
+
 def test_pieces_and_places(spark):
     rows = corpus(60) + [(900, "word " * 5000, "a", 1, 1, 1), (901, "tail " * 2047, "a", 1, 1, 1)]
     capacity = 256
