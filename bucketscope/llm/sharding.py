@@ -73,25 +73,24 @@ def block_sizes(rows: int, shards: int, block_rows: int = BLOCK_ROWS) -> list[tu
     return out
 
 
-def shuffle_to_shards(
-    df: DataFrame, shards: int = 16, seed: int = 1, key: Sequence[str] = (), block_rows: int = BLOCK_ROWS
-) -> DataFrame:
+def shuffle_to_shards(df: DataFrame, shards: int = 16, seed: int = 1, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """The rows of ``df`` with ``shard`` (from 0) and ``slot`` (from 0, gapless within its shard), uniformly shuffled.
 
-    Row counts of shards differ by one at most. ``key`` names the columns that tell rows apart (default: all); rows
-    equal in them are interchangeable. Select narrow columns first, since all columns are exchanged twice. The same
-    input files and seed give the same result. Columns named ``shard`` or ``slot`` are refused. An empty table gives no
-    rows; with fewer rows than shards, the last shards stay empty.
+    Row counts of shards differ by one at most. Rows are permuted by their place in the input, not by what they hold, so
+    equal rows are spread like any others; nulls and texts of any length are carried along. Select narrow columns first,
+    since all columns are exchanged twice. The same input files and seed give the same result. Columns named ``shard`` or
+    ``slot`` are refused. An empty table gives no rows; with fewer rows than shards, the last shards stay empty.
     """
     if clash := {c.lower() for c in df.columns} & {"shard", "slot"}:
         raise ValueError(f"input columns have names of the result: {sorted(clash)}")
     if not 1 <= shards <= MAX_BLOCKS:
         raise ValueError(f"shards must be from 1 to {MAX_BLOCKS}")
     part, mix, block = (free_name(df.columns, c) for c in ("_part", "_mix", "_block"))
-    keys = [F.col(f"`{c}`") for c in (key or df.columns)]
     rows = stored(
-        # stored, so that the partitions that are counted are those dealt out
-        df.withColumn(part, F.pmod(F.spark_partition_id(), F.lit(MAX_PARTS))).withColumn(mix, F.xxhash64(F.lit(seed), *keys)),
+        # stored, so that the partitions that are counted are those dealt out, and a row keeps its number
+        df.withColumn(part, F.pmod(F.spark_partition_id(), F.lit(MAX_PARTS))).withColumn(
+            mix, F.xxhash64(F.lit(seed), F.monotonically_increasing_id())
+        ),
         "shards",
     )
     counts = {r[0]: r[1] for r in rows.groupBy(part).count().collect()}
@@ -134,8 +133,8 @@ def digest_columns(id_column: str, text_column: str) -> list[Column]:
     return [F.col(id_column).alias("doc_id"), (F.length(text) + 1).cast("bigint").alias("size"), F.crc32(text).alias("text_crc32")]
 
 
-def write_shards(df: DataFrame, path: str, shards: int = 16, seed: int = 1, key: Sequence[str] = ()) -> None:
+def write_shards(df: DataFrame, path: str, shards: int = 16, seed: int = 1) -> None:
     """Write the shuffled rows as Parquet, one folder per shard. Files hold consecutive slots in order, and a shard may
     have several: they are cut by ranges of slots, so that no shard is written by one task."""
-    placed = shuffle_to_shards(df, shards, seed, key)
+    placed = shuffle_to_shards(df, shards, seed)
     placed.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

@@ -240,6 +240,24 @@ def test_shuffle_is_uniform(spark):
     assert ((seen - 10) ** 2 / 7.5).sum() < 40 * 3 + 6 * (2 * 40 * 3) ** 0.5
 
 
+def test_equal_rows_are_spread_like_any_others(spark):
+    """A third of all rows are one row: each shard gets its hypergeometric share, and runs of it are as short as chance has it."""
+    n, same, shards = 6000, 2000, 16
+    rows = spark.range(n, numPartitions=6).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("v"), F.lit(None).cast("string").alias("s"))
+    placed = sharding.shuffle_to_shards(rows, shards, block_rows=100).collect()
+    counts = Counter(r["shard"] for r in placed if r["v"] == -1)
+    assert sum(counts.values()) == same and set(Counter(r["shard"] for r in placed).values()) == {n // shards}
+    p, size = same / n, n // shards
+    spread = (size * p * (1 - p) * (n - size) / (n - 1)) ** 0.5
+    assert all(abs(counts[s] - size * p) < 5 * spread for s in range(shards))
+    chi = sum((counts[s] - size * p) ** 2 for s in range(shards)) / spread**2
+    assert chi < 15 + 6 * (2 * 15) ** 0.5
+    # neighbouring slots hold the row together about as often as independent places would
+    order = [r["v"] == -1 for r in sorted(placed, key=lambda r: (r["shard"], r["slot"]))]
+    together = sum(a and b for a, b in zip(order, order[1:]))
+    assert abs(together - n * p * p) < 6 * (n * p * p) ** 0.5
+
+
 def test_written_shards_are_read_back_in_order(spark, tmp_path):
     rows = spark.range(100)
     path = str(tmp_path / "shards")
