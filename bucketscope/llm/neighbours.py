@@ -39,6 +39,13 @@ def hadamard(rows: np.ndarray) -> np.ndarray:
     return rows / np.sqrt(width)
 
 
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Rows divided by the power of two next to their largest component, which changes no cosine: squares of it neither
+    overflow nor vanish."""
+    exponents = np.frexp(np.abs(vectors).max(axis=1, initial=0.0))[1]
+    return np.ldexp(vectors, -exponents[:, None])
+
+
 def rotated(vectors: np.ndarray, table: int, seed: int) -> np.ndarray:
     width = 1 << max(0, int(vectors.shape[1] - 1).bit_length())
     rows = np.zeros((len(vectors), width))
@@ -59,8 +66,8 @@ def nearest_axes(vectors: np.ndarray, table: int, seed: int, probes: int = 1) ->
 def usable(vector: Column) -> Column:
     """Vectors that take part: not null or empty, all components finite, length above zero."""
     finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
-    length = F.aggregate(vector, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    return vector.isNotNull() & F.coalesce((F.size(vector) > 0) & finite, F.lit(False)) & F.coalesce(length > 0, F.lit(False))
+    some = F.exists(vector, lambda x: x != 0)
+    return vector.isNotNull() & F.coalesce(finite, F.lit(False)) & F.coalesce(some, F.lit(False))
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -78,7 +85,7 @@ def bucketed(rows: DataFrame, tables: int, probes: int, seed: int) -> DataFrame:
             for dim in np.unique(sizes):
                 at = np.flatnonzero(sizes == dim)
                 own = batch.take(pa.array(at))
-                vectors = _matrix(own.column(1)).astype(np.float64)
+                vectors = scaled(_matrix(own.column(1)).astype(np.float64))
                 for place in range(tables):
                     axes = nearest_axes(vectors, place, seed, probes)
                     n = axes.shape[1]
@@ -115,7 +122,7 @@ def _best_in_block(k: int):
         query_ids, ids = (t.column("id").to_numpy() for t in (queries, rows))
         if not len(query_ids) or not len(ids):
             return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        q, c = (_matrix(t.column("vector")).astype(np.float64) for t in (queries, rows))
+        q, c = (scaled(_matrix(t.column("vector")).astype(np.float64)) for t in (queries, rows))
         by_id = np.argsort(ids, kind="stable")
         ids, c = ids[by_id], c[by_id]
         about = (q / np.sqrt((q**2).sum(axis=1))[:, None]) @ (c / np.sqrt((c**2).sum(axis=1))[:, None]).T

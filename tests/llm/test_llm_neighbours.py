@@ -113,3 +113,11 @@ def test_rotations_keep_lengths():
 def test_transform_is_its_own_inverse(width):
     rows = np.random.default_rng(width).normal(size=(3, width))
     assert np.allclose(neighbours.hadamard(neighbours.hadamard(rows)), rows)
+
+
+def test_components_whose_squares_overflow_or_vanish(spark):
+    rows = [(0, [1e200, 2e200, 0.0]), (1, [1e-200, 2e-200, 0.0]), (2, [3.0, 6.0, 0.0]), (3, [-1e300, 1e300, 1e300]), (4, [0.0, 0.0, 1e-320]), (5, [0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = results(neighbours.nearest_neighbours(df, F.col("vec_id") == 0))
+    assert [i for i, _ in found[0]] == [1, 2, 3, 4]
+    assert [s for _, s in found[0]] == pytest.approx([1.0, 1.0, 1 / 15**0.5, 0.0])
