@@ -170,6 +170,7 @@ def write_archives(
             F.monotonically_increasing_id().alias("place"),
         ),
         "records",
+        "zstd",
     )
     total, volume = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
     shards = max(-(-volume // shard_bytes), min(FEW_SHARDS, -(-volume // min(shard_bytes, LEAST_SHARD_BYTES))), 1)
