@@ -1,12 +1,15 @@
 import datetime as dt
 import os
+import random
 
 import pytest
 from conftest import DAY, keys, row
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from bucketscope.plans import ranges
 from bucketscope.sources import inventory, tree
+from bucketscope.sources import targets as target_source
 from bucketscope.sources.targets import format_target, parse_target, under, under_targets
 
 
@@ -158,3 +161,41 @@ def test_inventory_csv(spark, tmp_path):
     assert second["checksum_algorithm"] == [] and second["is_latest"] is None
     with pytest.raises(ValueError):
         inventory.read_inventory(spark, str(tmp_path), "xml")
+
+
+def brute_targets(rows, wanted):
+    pairs = {(b, p or "") for b, p in wanted if b is not None}
+    return sorted((b, p, k, n) for b2, k, n in rows for b, p in pairs if b == b2 and k is not None and k.startswith(p))
+
+
+def test_nested_targets_as_key_intervals(spark, monkeypatch):
+    """Targets that hold each other, keys between them, buckets that begin alike, over many small ranges."""
+    rng = random.Random(4)
+    alphabet = ["a", "b", "/", "é", "\x00", "\U0001f600", "~"]
+    word = lambda most: "".join(rng.choice(alphabet) for _ in range(rng.randrange(most)))
+    names = ["x", "xa", "x/", "a", "é"]
+    rows = [(rng.choice(names), word(9), n) for n in range(3000)] + [("x", "a/hot" + "a" * (n % 3), n) for n in range(500)]
+    rows += [("x", None, 1), (None, "a", 2), ("zz", "", 3)]
+    wanted = [(rng.choice(names), word(5)) for _ in range(400)] + [("x", "a/hot"), ("x", "a/hotaa"), ("x", None), ("zz", None), (None, "a"), ("none", "b")]
+    df = spark.createDataFrame(rows, "bucket string, key string, n int")
+    targets = spark.createDataFrame(wanted, "bucket string, prefix string")
+    monkeypatch.setattr(ranges, "SAMPLES_PER_RANGE", 50)
+    for per_partition in (1, 60):
+        monkeypatch.setattr(target_source, "RANGES_PER_PARTITION", per_partition)
+        found = under_targets(df, targets, broadcast_bytes=0)
+        assert found.columns == ["bucket", "key", "n", "target_prefix"]
+        assert sorted((r["bucket"], r["target_prefix"], r["key"], r["n"]) for r in found.collect()) == brute_targets(rows, wanted)
+
+
+def test_wide_rows_are_shuffled_once_at_most(spark, rows):
+    """With a hundred prefix lengths: no row is multiplied before an exchange, and few matches are broadcast."""
+    df = rows(*[row("k" * n + "/x", bucket="b") for n in range(1, 120)])
+    plan = lambda found: found._jdf.queryExecution().executedPlan().toString()
+    targets = spark.createDataFrame([("b", "k" * n) for n in range(1, 101)], "bucket string, prefix string")
+    many = under_targets(df, targets, broadcast_bytes=0)
+    assert many.count() == sum(min(n, 100) for n in range(1, 120))
+    above, below = plan(many).split("SortMergeJoin")
+    assert "Generate explode" in above and "Exchange" not in above and "Generate" not in below
+    targets = spark.createDataFrame([("b", "k" * 118 + "x" * n) for n in range(100)], "bucket string, prefix string")
+    few = under_targets(df, targets, broadcast_bytes=5000)
+    assert few.count() == 2 and "BroadcastHashJoin" in plan(few) and "SortMergeJoin" not in plan(few)
