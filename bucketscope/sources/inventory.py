@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bucketscope.functions.scalars import fmt_ts
 from bucketscope.schema import BUCKET_SCHEMA, DELETE_MARKER, LISTING_SCHEMA, OBJECT
+from bucketscope.sources.layout import check_files, check_rows
 
 DIRECTORY_BUCKET_SUFFIX = "--x-s3"  # fixed value: name ending of directory buckets
 
@@ -28,55 +27,28 @@ def _conform(df: DataFrame, **values: Column) -> DataFrame:
     return df.select(columns)
 
 
-REQUIRED = ("bucket", "entry_type", "key", "size", "last_modified")
-
-
-def check_layout(found: T.StructType, where: str) -> None:
-    """Raise where files lack a column that every listing needs, or have one of another type.
-
-    Spark fills such columns with NULL, and filters would then drop every row.
-    """
-    known = {f.name: f.dataType for f in found.fields}
-    if missing := [c for c in REQUIRED if c not in known]:
-        raise ValueError(f"{where} has no column {', '.join(missing)}")
-    for field in LISTING_SCHEMA.fields:
-        if field.name in known and _kind(known[field.name]) != _kind(field.dataType):
-            raise ValueError(f"{where}: {field.name} is {known[field.name].simpleString()}, not {field.dataType.simpleString()}")
-
-
-def _kind(kind: T.DataType) -> str:
-    """Type names, with those as one that Spark reads into the listing's type."""
-    name = kind.simpleString()
-    return {"int": "bigint", "smallint": "bigint", "tinyint": "bigint", "timestamp_ntz": "timestamp"}.get(name, name)
-
-
-def _check_json(spark: SparkSession, path: str) -> None:
-    """Names in the first records; types are enforced as the rows are read."""
-    for (line,) in spark.read.text(path).where("value rlike '[{]'").limit(20).collect():
-        if missing := [c for c in REQUIRED if c not in json.loads(line)]:
-            raise ValueError(f"{path} has no field {', '.join(missing)}")
-
-
 def read_inventory(spark: SparkSession, path: str, form: str = "parquet", line_breaks: bool = False) -> DataFrame:
     """An inventory in listing columns from ``parquet``, ``orc``, ``json`` or ``csv`` files; no schema inference.
 
     CSV files have a header with the listing columns, and checksum algorithms joined by commas. With ``line_breaks``
-    their quoted keys may hold such; a file is then read by one task, without it in splits. Files that lack a required
-    column, or have it with another type, raise ``ValueError``; the other columns may be absent and are then NULL.
+    their quoted keys may hold such; a file is then read by one task, without it in splits.
+
+    Parquet and ORC files have all their footers read, by tasks: one that lacks a required column, or has a column with
+    another type, raises ``ValueError``. In JSON and CSV a row without a required value fails the query that reads it. The
+    other columns may be absent and are then NULL.
     """
     if form in ("parquet", "orc"):
-        check_layout(spark.read.format(form).load(path).schema, path)
+        check_files(spark, path, form)
         return spark.read.schema(LISTING_SCHEMA).format(form).load(path)
     if form == "json":
-        _check_json(spark, path)
-        return spark.read.schema(LISTING_SCHEMA).option("mode", "FAILFAST").json(path)
+        return check_rows(spark.read.schema(LISTING_SCHEMA).option("mode", "FAILFAST").json(path))
     if form != "csv":
         raise ValueError(f"unknown inventory form {form!r}")
     flat = T.StructType([
         T.StructField(f.name, T.StringType()) if f.name == "checksum_algorithm" else f for f in LISTING_SCHEMA.fields
     ])
     options = {"header": True, "mode": "FAILFAST", "escape": '"', "enforceSchema": False, "multiLine": line_breaks}
-    rows = spark.read.schema(flat).options(**options).csv(path)
+    rows = check_rows(spark.read.schema(flat).options(**options).csv(path))
     listed = F.coalesce(F.split("checksum_algorithm", ","), F.array().cast("array<string>"))
     return rows.withColumns({"checksum_algorithm": listed, "e_tag": F.coalesce("e_tag", F.lit(""))})
 

@@ -13,7 +13,7 @@ from bucketscope.functions.keys import prefix_at_depth
 from bucketscope.operators.filters import FilterConfig, apply_filters
 from bucketscope.operators.summary import total_columns
 from bucketscope.schema import PREFIX
-from bucketscope.sources.inventory import check_layout
+from bucketscope.sources.layout import check_files, check_rows
 from bucketscope.sources.targets import under
 
 SALTS = 16
@@ -22,17 +22,18 @@ SALTS = 16
 def read_stream(spark: SparkSession, path: str, schema: StructType, files_per_trigger: int | None = None) -> DataFrame:
     """Inventory files as a stream; ``files_per_trigger`` bounds each micro-batch.
 
-    Files that are there must have every column of ``schema`` that listings need, with its type: the stream would go on
-    with NULLs. Files with another layout that arrive later are not looked at.
+    ``schema`` holds the columns that listings need. Files that are there must have them all, with their types, or
+    ``ValueError`` is raised. Of those that arrive later, a row without a value that listings need stops the stream, before
+    anything of its micro-batch is committed.
     """
     if not _path(spark, path).exists():
         raise ValueError(f"no inventory at {path}")
     if has_files(spark, path):
-        check_layout(spark.read.parquet(path).schema, path)
+        check_files(spark, path, "parquet")
     reader = spark.readStream.schema(schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(path)
+    return check_rows(reader.parquet(path))
 
 
 def stream_listing(sdf: DataFrame, config: FilterConfig = FilterConfig(), prefix: str | None = None) -> DataFrame:

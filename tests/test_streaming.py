@@ -99,6 +99,21 @@ def test_a_foreign_layout_stops_the_stream_at_its_start(spark, inventory, tmp_pa
         read_stream(spark, str(tmp_path / "absent"), LISTING_SCHEMA)
 
 
+def test_a_foreign_file_that_arrives_later_stops_the_stream(spark, rows, inventory, tmp_path):
+    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+    listed = read_stream(spark, inventory, LISTING_SCHEMA)
+    run = lambda: append_to(stream_listing(listed, FilterConfig(larger_size=0), "p"), out, state).awaitTermination()
+    run()
+    before = spark.read.parquet(out).count()
+    assert before == 150
+    batch(rows, 150, 20).withColumnRenamed("key", "object_key").coalesce(1).write.mode("append").parquet(inventory)
+    with pytest.raises(StreamingQueryException, match="without a value"):
+        run()
+    assert spark.read.parquet(out).count() == before
+    with pytest.raises(ValueError, match="no column key"):
+        read_stream(spark, inventory, LISTING_SCHEMA)
+
+
 def test_a_failing_filter_stops_the_stream(spark, inventory, tmp_path):
     rows = read_stream(spark, inventory, LISTING_SCHEMA)
     broken = rows.withColumn("key", F.when(F.col("size") == 7, F.raise_error(F.lit("no match possible"))).otherwise(F.col("key")))

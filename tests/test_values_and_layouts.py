@@ -7,13 +7,17 @@ from zoneinfo import ZoneInfo
 
 import pytest
 from conftest import UTC, row
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from bucketscope.functions.regex import to_java
 from bucketscope.functions.scalars import fmt_size, fmt_ts, parse_size
 from bucketscope.plans.writer import write_listing
+from bucketscope.schema import LISTING_SCHEMA
 from bucketscope.session import is_local
-from bucketscope.sources.inventory import read_inventory
+from bucketscope.sources import layout
+from bucketscope.sources.inventory import objects, read_inventory
+from bucketscope.sources.targets import under
 
 
 @pytest.fixture(params=["UTC", "America/New_York", "Asia/Kolkata"])
@@ -72,9 +76,78 @@ def test_inventories_with_another_layout_are_refused(spark, rows, tmp_path):
         read_inventory(spark, typed)
     assert read_inventory(spark, partial).where("owner_id is null").count() == 2
     lines = tmp_path / "rows.json"
-    lines.write_text(json.dumps({"bucket": "b", "object_key": "a", "entry_type": "OBJECT", "size": 1, "last_modified": "2024-01-01T00:00:00Z"}) + "\n")
-    with pytest.raises(ValueError, match="no field key"):
-        read_inventory(spark, str(lines), "json")
+    lines.write_text(json.dumps(JSON_ROW | {"object_key": "a"}) + "\n")
+    with pytest.raises(PySparkException, match="without a value"):
+        read_inventory(spark, str(lines), "json").count()
+
+
+JSON_ROW = {"bucket": "b", "entry_type": "OBJECT", "size": 1, "last_modified": "2024-01-01T00:00:00Z"}
+
+
+@pytest.mark.parametrize("form", ["parquet", "orc"])
+def test_one_foreign_file_among_many_is_found(spark, rows, tmp_path, form):
+    path = str(tmp_path / "t")
+    good = rows(*[row(f"k{n}", n) for n in range(40)])
+    good.repartition(6).write.format(form).save(path)
+    assert read_inventory(spark, path, form).count() == 40
+    good.withColumn("size", F.col("size").cast("int")).write.format(form).mode("append").save(path)
+    assert read_inventory(spark, path, form).count() == 80
+    for n, other in enumerate([good.withColumnRenamed("key", "object_key"), good.withColumn("is_latest", F.lit("x"))]):
+        copy = str(tmp_path / f"copy{n}")
+        good.repartition(6).write.format(form).save(copy)
+        other.coalesce(1).write.format(form).mode("append").save(copy)
+        with pytest.raises(ValueError, match=["no column key", "is_latest is string"][n]):
+            read_inventory(spark, copy, form)
+    with pytest.raises(Exception):
+        read_inventory(spark, str(tmp_path / "none"), form)
+
+
+def test_columns_may_come_from_directories(spark, rows, tmp_path):
+    path = str(tmp_path / "t")
+    rows(*[row(f"k{n}", n, bucket=f"b{n % 2}") for n in range(10)]).write.partitionBy("bucket").parquet(path)
+    back = read_inventory(spark, path)
+    assert sorted((r["bucket"], r["key"]) for r in back.collect()) == sorted((f"b{n % 2}", f"k{n}") for n in range(10))
+
+
+def test_every_distinct_layout_is_seen_once(spark, rows, tmp_path):
+    path = str(tmp_path / "t")
+    good = rows(*[row(f"k{n}", n) for n in range(40)])
+    good.repartition(7).write.parquet(path)
+    good.drop("owner_id").repartition(2).write.mode("append").parquet(path)
+    found = layout.layouts(spark, path, "parquet")
+    assert sorted(files for _, _, files in found) == [2, 7]
+    assert sorted("owner_id" in columns for _, columns, _ in found) == [False, True]
+    # what Spark alone can say of them
+    by_rows = layout._layouts_by_rows(spark, path, "parquet")
+    assert [files for _, _, files in by_rows] == [9]
+    layout.check_columns(by_rows[0][1], path)
+    good.withColumnRenamed("key", "object_key").coalesce(1).write.mode("append").parquet(path)
+    lacking = [c for _, c, _ in layout._layouts_by_rows(spark, path, "parquet") if "key" not in c]
+    assert len(lacking) == 1
+    with pytest.raises(ValueError, match="no column key"):
+        layout.check_columns(lacking[0], path)
+
+
+def test_json_that_changes_late_stops_the_read(spark, tmp_path):
+    lines = [json.dumps(JSON_ROW | {"key" if n < 500 else "object_key": f"k{n}"}) for n in range(501)]
+    (tmp_path / "t.json").write_text("\n".join(lines) + "\n")
+    found = read_inventory(spark, str(tmp_path), "json")
+    for rows in (found, objects(found), under(found, "k1"), found.where("key like 'k2%'").select("size")):
+        with pytest.raises(PySparkException, match="without a value"):
+            rows.collect()
+    (tmp_path / "t.json").write_text("\n".join(lines[:500]) + "\n")
+    assert objects(read_inventory(spark, str(tmp_path), "json")).count() == 500
+    # directories need no date, delete markers no size
+    kinds = [{"entry_type": "PREFIX", "last_modified": None, "size": 0}, {"entry_type": "DELETE_MARKER", "size": None}]
+    (tmp_path / "t.json").write_text("\n".join(json.dumps(JSON_ROW | {"key": "k"} | k) for k in kinds) + "\n")
+    assert read_inventory(spark, str(tmp_path), "json").count() == 2
+
+
+def test_csv_rows_without_a_key_stop_the_read(spark, tmp_path):
+    names = LISTING_SCHEMA.fieldNames()
+    (tmp_path / "t.csv").write_text(",".join(names) + "\n" + "b,OBJECT,k,0,2024-01-15T10:30:00Z,,,,,,,,,,\n" + "b,OBJECT,,0,2024-01-15T10:30:00Z,,,,,,,,,,\n")
+    with pytest.raises(PySparkException, match="without a value"):
+        objects(read_inventory(spark, str(tmp_path), "csv")).where("key like 'k%'").collect()
 
 
 def test_a_typed_listing_has_no_header_or_total(rows, tmp_path):
