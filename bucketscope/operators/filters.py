@@ -44,6 +44,20 @@ class FilterConfig:
     larger_size: int | str | None = None
     storage_class: tuple[str, ...] | None = None
 
+    def key_head(self) -> str | None:
+        """Text that every key passing the patterns begins with, where one can be told."""
+        return literal_head(self.include_regex) if self.include_regex else None
+
+    @staticmethod
+    def instant(when: dt.datetime) -> Column:
+        return F.lit(when if when.tzinfo else when.replace(tzinfo=dt.timezone.utc))
+
+    @staticmethod
+    def size_value(size: int | str) -> Column:
+        amount = parse_size(size) if isinstance(size, str) else size
+        # sizes in tables are signed 64-bit, so any larger bound compares as the largest decimal would
+        return F.lit(amount) if amount < 2**63 else F.lit(str(amount)).cast("decimal(20,0)")
+
     def predicates(self) -> dict[str, Column]:
         """One test per given filter, by name, in the order they are applied; directory rows are not considered."""
         marker = F.col("entry_type") == DELETE_MARKER
@@ -53,13 +67,13 @@ class FilterConfig:
         if self.exclude_regex is not None:
             tests["exclude_regex"] = ~F.col("key").rlike(to_java(self.exclude_regex))
         if self.mtime_before is not None:
-            tests["mtime_before"] = F.col("last_modified") < _instant(self.mtime_before)
+            tests["mtime_before"] = F.col("last_modified") < self.instant(self.mtime_before)
         if self.mtime_after is not None:
-            tests["mtime_after"] = F.col("last_modified") >= _instant(self.mtime_after)
+            tests["mtime_after"] = F.col("last_modified") >= self.instant(self.mtime_after)
         if self.smaller_size is not None:
-            tests["smaller_size"] = marker | (F.col("size") < _bytes(self.smaller_size))
+            tests["smaller_size"] = marker | (F.col("size") < self.size_value(self.smaller_size))
         if self.larger_size is not None:
-            tests["larger_size"] = marker | (F.col("size") >= _bytes(self.larger_size))
+            tests["larger_size"] = marker | (F.col("size") >= self.size_value(self.larger_size))
         if self.storage_class is not None:
             tests["storage_class"] = marker | _class_in(self.storage_class)
         return tests
@@ -74,7 +88,7 @@ class FilterConfig:
         tests = self.predicates()
         patterns = [tests.pop(name) for name in ("include_regex", "exclude_regex") if name in tests]
         comparisons = list(tests.values())
-        head = literal_head(self.include_regex) if self.include_regex else None
+        head = self.key_head()
         if head:
             comparisons.append(F.col("key").startswith(head))
         condition = F.lit(True)
@@ -85,16 +99,6 @@ class FilterConfig:
         return condition
 
 
-def _bytes(size: int | str) -> Column:
-    amount = parse_size(size) if isinstance(size, str) else size
-    # sizes in tables are signed 64-bit, so any larger bound compares as the largest decimal would
-    return F.lit(amount) if amount < 2**63 else F.lit(str(amount)).cast("decimal(20,0)")
-
-
-def _instant(when: dt.datetime) -> Column:
-    return F.lit(when if when.tzinfo else when.replace(tzinfo=dt.timezone.utc))
-
-
 def _class_in(classes: tuple[str, ...]) -> Column:
     unknown = [c for c in classes if c not in STORAGE_CLASSES]
     if unknown:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from bucketscope.functions.keys import after_prefix, key_depth, prefix_at_depth, slashes
 from bucketscope.schema import DELETE_MARKER, OBJECT, PREFIX
+from bucketscope.session import setting
 from bucketscope.sources.targets import under
 
 DISCOVERY_DEPTH = 2  # fixed value: default number of levels discovered
@@ -125,7 +126,11 @@ def repartition_by_prefix(df: DataFrame, n: int | None = None) -> DataFrame:
 
 
 def write_inventory(df: DataFrame, path: str, n: int | None = None, mode: str = "errorifexists") -> None:
-    """Store an inventory in key order, so that a scan of one bucket or prefix skips the other files and row groups."""
+    """Store an inventory in key order, so that a scan of one bucket or prefix skips the other files and row groups.
+
+    Dates are stored as microseconds: the older form that Spark writes by itself has no ranges, so no date test could skip.
+    """
     ranged = repartition_by_prefix(df, n)
     order = [c for c in ("bucket", "key", "version_id") if c in df.columns]
-    ranged.sortWithinPartitions(*order).write.mode(mode).parquet(path)
+    with setting(df.sparkSession, "spark.sql.parquet.outputTimestampType", "TIMESTAMP_MICROS"):
+        ranged.sortWithinPartitions(*order).write.mode(mode).parquet(path)
