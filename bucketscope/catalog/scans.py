@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,12 +11,12 @@ from bucketscope import fixtures
 from bucketscope.catalog.registry import query
 from bucketscope.catalog.text import stamp
 from bucketscope.functions.scalars import fmt_ts
-from bucketscope.operators.filters import FilterConfig, apply_filters
+from bucketscope.operators.filters import FilterConfig
 from bucketscope.operators.hierarchy import repartition_by_prefix
 from bucketscope.plans.display import Display
 from bucketscope.plans.writer import write_listing
 from bucketscope.session import scratch
-from bucketscope.sources import inventory, ndjson, tree
+from bucketscope.sources import inventory, manifest, ndjson, tree
 from bucketscope.sources.targets import format_target, parse_target, under, under_targets
 
 
@@ -242,21 +244,49 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "live_tree",
-    f"""select concat('bucket=', bucket, '/year=', cast(year(last_modified) as varchar), '/') as prefix,
-cast(sum(length(version_id) + 1) as bigint) as total_size from r group by 1""",
+    "scan_chosen_files",
+    """select bucket, entry_type, key, size, version_id from r where bucket = 'bkt-2' and starts_with(key, 'data/n/199')
+and (entry_type = 'DELETE_MARKER' or (size >= 2048 and (storage_class is null or storage_class in ('STANDARD', 'GLACIER'))))
+and last_modified >= timestamp '1996-01-01'""",
     ("r",),
 )
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = scratch(spark, "tree")
-    rows = fixtures.versions(spark, sf_dir)
-    lines = rows.select("bucket", F.year("last_modified").alias("year"), F.col("version_id").alias("value"))
-    lines.write.partitionBy("bucket", "year").text(path)
-    tree.register(spark)
-    listed = spark.read.format("object_tree").option("path", path).option("depth", 2).option("tasks", 8).load()
-    listed = listed.withColumns({"bucket": F.lit(""), "entry_type": F.lit("OBJECT")})
-    written = apply_filters(listed, FilterConfig(include_regex=r"/part-[^/]*\.txt$"))
-    return written.groupBy(F.regexp_extract("key", "^(.*/)", 1).alias("prefix")).agg(F.sum("size").alias("total_size"))
+    asked = FilterConfig(larger_size="2KiB", storage_class=("STANDARD", "GLACIER"), mtime_after=dt.datetime(1996, 1, 1))
+    found = manifest.scan(spark, fixtures.inventory_path(spark, sf_dir), "bkt-2", "data/n/199", asked)
+    return found.select("bucket", "entry_type", "key", "size", "version_id")
+
+
+SLASHES = "cast(length(key) - length(replace(key, '/', '')) as int)"
+
+
+@query("live_tree", f"select key, size, 'OBJECT' as entry_type, {SLASHES} + 1 as key_depth from files", ("files",))
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # small budgets, so that the tree takes several passes
+    listed = tree.walk_tree(spark, fixtures.tree_path(spark, sf_dir), tasks=8, first_budget=200, flat_files=1000)
+    return listed.select("key", "size", "entry_type", "key_depth")
+
+
+@query(
+    "live_tree_levels",
+    f"""select key, size, 'OBJECT' as entry_type from files where {SLASHES} < 4 and starts_with(key, 'bkt-1/da')
+union all select distinct regexp_extract(key, '^([^/]*/){{4}}', 0), 0, 'PREFIX' from files
+where {SLASHES} >= 4 and starts_with(key, 'bkt-1/da')""",
+    ("files",),
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = tree.walk_tree(spark, fixtures.tree_path(spark, sf_dir), "bkt-1/da", max_depth=3, tasks=8)
+    return listed.select("key", "size", "entry_type")
+
+
+@query(
+    "live_tree_filtered",
+    f"select key, size from files where starts_with(key, 'bkt-1/data/r/199') and {SLASHES} <= 5 and key >= 'bkt-1/data/r/1994/' and size > 14",
+    ("files",),
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = tree.object_tree(spark, fixtures.tree_path(spark, sf_dir), tasks=8)
+    asked = listed.where("key like 'bkt-1/data/r/199%' and key_depth <= 6 and key >= 'bkt-1/data/r/1994/' and size > 14")
+    return asked.select("key", "size")
 
 
 @query(

@@ -6,15 +6,18 @@ window, Spark an aggregation, because a key with very many versions would put a
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bucketscope.operators.hierarchy import list_recursive, write_inventory
+from bucketscope.operators.hierarchy import list_recursive
 from bucketscope.operators.versions import current_view
 from bucketscope.schema import DELETE_MARKER, LISTING_SCHEMA, OBJECT, PAGE_LOG_SCHEMA, PREFIX
 from bucketscope.session import scratch
+from bucketscope.sources.manifest import store_inventory
 
 BUCKET = "concat('bkt-', cast(l_suppkey % 5 as string), case when l_suppkey % 5 = 4 then '--x-s3' else '' end)"
 KEY = """case l_partkey % 50
@@ -149,7 +152,7 @@ def inventory_path(spark: SparkSession, sf_dir: str) -> str:
     Listings are made to run over stored inventories, so the queries do the same: filters and column choice reach the
     scan, and the files give it its parallelism.
     """
-    return _written(spark, sf_dir, "inventory", lambda rows, path: write_inventory(derive_versions(rows), path))
+    return _written(spark, sf_dir, "inventory", lambda rows, path: store_inventory(derive_versions(rows), path))
 
 
 def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,6 +172,38 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.unionByName(folded)
 
 
+def tree_path(spark: SparkSession, sf_dir: str) -> str:
+    """A directory tree of the current objects, written by tasks, once per application: ``bucket/key``, with the version as
+    content. Keys that end in a slash have no file."""
+    where = (spark.sparkContext.applicationId, sf_dir, "tree")
+    if where not in _PATHS:
+        path = scratch(spark, "objects")
+
+        def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            system, root = fs.FileSystem.from_uri(path)
+            made: set[str] = set()
+            for batch in batches:
+                for key, content in zip(*[column.to_pylist() for column in batch.columns]):
+                    file = f"{root}/{key}"
+                    folder = file.rsplit("/", 1)[0]
+                    if folder not in made:
+                        system.create_dir(folder, recursive=True)
+                        made.add(folder)
+                    with system.open_output_stream(file, compression=None) as out:
+                        out.write(content.encode())
+                yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+        rows = objects_with_versions(spark, sf_dir).where(~F.col("key").endswith("/"))
+        named = rows.select(F.concat_ws("/", "bucket", "key").alias("key"), "version_id")
+        named.mapInArrow(write, "n long").agg(F.sum("n")).collect()
+        _PATHS[where] = path
+    return _PATHS[where]
+
+
+def objects_with_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return versions(spark, sf_dir).where((F.col("entry_type") == OBJECT) & F.col("is_latest"))
+
+
 def buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     supplier, nation = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "nation")
     return supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).selectExpr(*_expressions(BUCKET_COLUMNS))
@@ -223,6 +258,8 @@ VIEWS = {
     "versions": _MARKED,
     "objects": f"select * exclude (version_id, is_latest) from versions where is_latest and entry_type = '{OBJECT}'",
     "entries": _ENTRIES,
+    "files": f"select concat_ws('/', bucket, key) as key, cast(length(version_id) as bigint) as size from versions "
+    f"where is_latest and entry_type = '{OBJECT}' and key not like '%/'",
     "buckets": _select(BUCKET_COLUMNS, "supplier join nation on s_nationkey = n_nationkey"),
     "targets": "select distinct * from (" + _select(TARGET_COLUMNS, "orders") + ") t",
     "uris": "select url, concat('s3://', regexp_replace(url, '^https?://', '')) as target from pages",
@@ -234,7 +271,7 @@ VIEWS = {
     + f"select {', '.join(PAGE_KEYS)}, {', '.join(_expressions(PAGE_VALUES))} from ("
     + f"select {', '.join(_expressions(PAGE_KEYS))}, l_partkey from lineitem) k group by {', '.join(PAGE_KEYS)}) p",
 }
-NEEDS = {"entries": ["r", "versions"], "objects": ["r", "versions"], "versions": ["r"]}
+NEEDS = {"entries": ["r", "versions"], "files": ["r", "versions"], "objects": ["r", "versions"], "versions": ["r"]}
 
 
 def with_views(query: str, *views: str) -> str:

@@ -1,0 +1,220 @@
+"""Live listings: every file once, directories that cannot match unopened, walks in passes."""
+
+import datetime as dt
+import os
+
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import EqualTo, GreaterThan, GreaterThanOrEqual, In, IsNotNull, LessThan, LessThanOrEqual, StringEndsWith, StringStartsWith
+
+from bucketscope.sources import tree
+
+NAMES = ["top", "_hidden", ".dot", "a/1", "a/b/2", "a/b/c/3", "a/_x/4", "a0/x", "a-b/y", "d/é\n5", "d/e/f/g/h/6"]
+
+
+def make(root, names=NAMES):
+    for n, name in enumerate(names):
+        file = root / name
+        file.parent.mkdir(parents=True, exist_ok=True)
+        file.write_bytes(b"x" * n)
+        os.utime(file, (1_700_000_000 + n, 1_700_000_000 + n))
+    (root / "empty").mkdir(exist_ok=True)
+    return str(root)
+
+
+def listed(df):
+    return {r["key"]: (r["size"], r["last_modified"].timestamp()) for r in df.collect()}
+
+
+WHOLE = {name: (n, 1_700_000_000 + n) for n, name in enumerate(NAMES)}
+
+
+@pytest.mark.parametrize("budget, flat, tasks", [(20_000, 50_000, 8), (1, 50_000, 3), (3, 1, 2), (1, 0, 1)])
+def test_walk_lists_every_file_once(spark, tmp_path, budget, flat, tasks):
+    found = tree.walk_tree(spark, make(tmp_path), tasks=tasks, first_budget=budget, flat_files=flat)
+    assert found.count() == len(NAMES) and listed(found) == WHOLE
+    assert {r["key"]: r["key_depth"] for r in found.collect()} == {n: n.count("/") + 1 for n in NAMES}
+
+
+@pytest.mark.parametrize("prefix", ["a", "a/", "a/b", "a/b/c/3", "d/é", "none", "top", "a/b/c/3/deeper", ""])
+def test_prefixes_are_literal(spark, tmp_path, prefix):
+    path = make(tmp_path)
+    wanted = {k: v for k, v in WHOLE.items() if k.startswith(prefix)}
+    assert listed(tree.walk_tree(spark, path, prefix, first_budget=2)) == wanted
+    assert listed(tree.object_tree(spark, path, prefix)) == wanted
+    assert listed(tree.object_tree(spark, path).where(F.col("key").startswith(prefix))) == wanted
+
+
+def folded(names, prefix, levels):
+    start = prefix.rfind("/") + 1
+    out = set()
+    for name in names:
+        if name.startswith(prefix):
+            parts = name[start:].split("/")
+            out.add(name if len(parts) <= levels else name[:start] + "/".join(parts[:levels]) + "/")
+    return out
+
+
+@pytest.mark.parametrize("prefix, levels", [("", 1), ("", 2), ("a", 1), ("a/", 1), ("d/", 3), ("", 9)])
+def test_depth_limits_give_directories_unopened(spark, tmp_path, prefix, levels):
+    path = make(tmp_path)
+    wanted = folded([*NAMES, *(["empty/"] if "empty".startswith(prefix) else [])], prefix, levels)
+    wanted -= {"empty/"} if levels > 1 else set()
+    for budget in (1, 1000):
+        found = tree.walk_tree(spark, path, prefix, levels, first_budget=budget).collect()
+        assert {r["key"] for r in found} == wanted and len(found) == len(wanted)
+        assert all((r["entry_type"] == "PREFIX") == r["key"].endswith("/") for r in found)
+    for depth in (0, 1, 2):
+        found = tree.object_tree(spark, path, prefix, levels, depth)
+        assert sorted(r["key"] for r in found.collect()) == sorted(wanted)
+    with pytest.raises(ValueError):
+        tree.walk_tree(spark, path, max_depth=0)
+
+
+def opened(monkeypatch, path, filters, **options):
+    """Directories that a listing with these filters opens, those the driver opens first, and the keys it finds."""
+    real, seen = os.scandir, []
+    monkeypatch.setattr(tree.os, "scandir", lambda p: (seen.append(os.path.relpath(p, path)), real(p))[1])
+    reader = tree.PushingTreeReader(path, options.pop("depth", 1), 4, **options)
+    left = list(reader.pushFilters(filters))
+    parts = reader.partitions()
+    driver = len(seen)
+    keys = [k for part in parts for batch in reader.read(part) for k in batch.column(0).to_pylist()]
+    monkeypatch.setattr(tree.os, "scandir", real)
+    return set(seen), driver, keys, left
+
+
+def test_directories_that_cannot_match_are_not_opened(monkeypatch, tmp_path):
+    path = make(tmp_path)
+    key, depth, size = ("key",), ("key_depth",), ("size",)
+    every = {".", "a", "a/b", "a/b/c", "a/_x", "a0", "a-b", "d", "d/e", "d/e/f", "d/e/f/g", "d/e/f/g/h", "empty"}
+    dirs, driver, keys, left = opened(monkeypatch, path, [])
+    assert (dirs, driver, sorted(keys), left) == (every, 1, sorted(NAMES), [])
+    dirs, driver, keys, left = opened(monkeypatch, path, [IsNotNull(key), StringStartsWith(key, "a/b/")])
+    assert (dirs, driver, sorted(keys), left) == ({"a/b", "a/b/c"}, 1, ["a/b/2", "a/b/c/3"], [])
+    dirs, _, keys, left = opened(monkeypatch, path, [StringStartsWith(key, "a")])
+    assert (dirs, left) == ({".", "a", "a/b", "a/b/c", "a/_x", "a0", "a-b"}, []) and len(keys) == 6
+    dirs, _, keys, _ = opened(monkeypatch, path, [LessThanOrEqual(depth, 2)])
+    assert dirs == {".", "a", "a0", "a-b", "d", "empty"} and sorted(keys) == sorted(n for n in NAMES if n.count("/") < 2)
+    dirs, _, keys, _ = opened(monkeypatch, path, [GreaterThanOrEqual(key, "a/b"), LessThan(key, "b")])
+    assert dirs == {".", "a", "a/b", "a/b/c", "a0"} and sorted(keys) == ["a/b/2", "a/b/c/3", "a0/x"]
+    dirs, _, keys, left = opened(monkeypatch, path, [EqualTo(key, "a/b/2"), GreaterThan(size, 99)])
+    assert dirs == {".", "a", "a/b"} and keys == [] and left == []
+    dirs, _, keys, left = opened(monkeypatch, path, [In(key, ("a/b/2", "a0/x", None))])
+    assert dirs == {".", "a", "a/b", "a/b/c", "a0"} and set(keys) >= {"a/b/2", "a0/x"} and len(left) == 1
+    dirs, _, keys, _ = opened(monkeypatch, path, [StringStartsWith(key, "a/"), StringStartsWith(key, "d/")])
+    assert dirs == set() and keys == []
+    other = StringEndsWith(key, "x")
+    assert opened(monkeypatch, path, [other, GreaterThan(key, "b")])[3] == [other]
+    dirs, driver, keys, _ = opened(monkeypatch, path, [], prefix="d/", max_depth=1)
+    assert dirs == {"d"} and driver == 1 and sorted(keys) == ["d/e/", "d/é\n5"]
+
+
+def test_filters_leave_the_plan(spark, tmp_path):
+    """Spark neither keeps the pushed conditions nor gets rows that fail them."""
+    path = make(tmp_path)
+    source = tree.object_tree(spark, path)
+    found = source.where("key like 'a/%' and key_depth <= 3 and size >= 4 and key like '%2'")
+    assert [r["key"] for r in found.collect()] == ["a/b/2"]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    filters = [line for line in plan.splitlines() if "Filter" in line and "BatchScan" not in line]
+    assert len(filters) == 1 and "EndsWith" in filters[0] and "StartsWith" not in filters[0] and "key_depth" not in filters[0]
+    for condition in ("key > 'a/b' and key <= 'd'", "key_depth = 2", "key_depth > 2 or size < 2", "size between 2 and 5", "key in ('top', 'a/1')", "not key like 'a%'"):
+        assert {r["key"] for r in source.where(condition).collect()} == {
+            r["key"] for r in spark.createDataFrame([(k, s, k.count("/") + 1) for k, (s, _) in WHOLE.items()], "key string, size long, key_depth int").where(condition).collect()
+        }
+
+
+def test_a_query_gets_no_filters_of_another(spark, tmp_path):
+    """What one query pushes must not stay with the source when the next has other filters, or none."""
+    path = make(tmp_path)
+    tree.register(spark)
+    for source in (tree.object_tree(spark, path), spark.read.format("object_tree").option("path", path).load()):
+        assert source.where("key like 'a/%'").count() == 4
+        assert source.count() == len(NAMES)
+        assert source.where("key like 'd/%'").count() == 2
+        assert source.where("size = 0 or key = 'top'").count() == 1
+        assert source.where("key_depth = 1").count() == 3 and source.where("length(key) > 0").count() == len(NAMES)
+
+
+def test_a_hundred_thousand_directories(spark, tmp_path):
+    for a in range(100):
+        os.mkdir(tmp_path / f"{a:02d}")
+        for b in range(100):
+            os.mkdir(tmp_path / f"{a:02d}" / f"{b:02d}")
+            for c in range(10):
+                os.mkdir(tmp_path / f"{a:02d}" / f"{b:02d}" / str(c))
+        (tmp_path / f"{a:02d}" / "07" / "3" / "file").write_bytes(b"12345")
+    found = tree.walk_tree(spark, str(tmp_path), tasks=8, first_budget=2000).collect()
+    assert sorted(r["key"] for r in found) == [f"{a:02d}/07/3/file" for a in range(100)] and {r["size"] for r in found} == {5}
+
+
+def test_a_deep_chain_takes_few_passes(spark, tmp_path):
+    deep = tmp_path
+    for _ in range(400):
+        deep = deep / "d"
+    deep.mkdir(parents=True)
+    (deep / "f").write_bytes(b"1")
+    started = dt.datetime.now()
+    found = tree.walk_tree(spark, str(tmp_path), first_budget=50).collect()
+    assert [(r["key"], r["key_depth"]) for r in found] == [("d/" * 400 + "f", 401)]
+    assert (dt.datetime.now() - started).total_seconds() < 60
+
+
+def test_a_flat_directory_is_dealt_out_by_names(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tree, "NAMES_PER_TASK", 300)
+    for n in range(2000):
+        (tmp_path / f"f{n:04d}").write_bytes(b"x" * (n % 7))
+    found = tree.walk_tree(spark, str(tmp_path), tasks=4, flat_files=100)
+    assert listed(found).keys() == {f"f{n:04d}" for n in range(2000)}
+    assert {r["key"]: r["size"] for r in found.collect()} == {f"f{n:04d}": n % 7 for n in range(2000)}
+
+
+KEYS = {"photos/": 0, "photos/1": 1, "photos//2": 2, "a//b/c": 3, "//x": 4, "plain": 5, "deep/er/": 0, "deep/er/k": 6}
+
+
+def object_store(keys):
+    """Connects to an object store of these keys: directories are what keys share, a key may end in a slash or hold an
+    empty name. Made in a function, so that tasks get it by value."""
+    from pyarrow import fs
+
+    class Objects(fs.FileSystemHandler):
+        def get_type_name(self):
+            return "objects"
+
+        def get_file_info_selector(self, selector):
+            prefix = selector.base_dir.removeprefix("store").removeprefix("/") + "/" if selector.base_dir != "store" else ""
+            out, seen = [], set()
+            for key, size in keys.items():
+                if not key.startswith(prefix):
+                    continue
+                name, slash, _ = key[len(prefix) :].partition("/")
+                if not slash:
+                    out.append(fs.FileInfo(f"{selector.base_dir}/{name}", fs.FileType.File, size=size, mtime_ns=10**18))
+                elif name not in seen:
+                    seen.add(name)
+                    out.append(fs.FileInfo(f"{selector.base_dir}/{name}", fs.FileType.Directory))
+            return out
+
+        def get_file_info(self, paths):
+            raise NotImplementedError
+
+        create_dir = delete_dir = delete_dir_contents = delete_root_dir_contents = delete_file = move = copy_file = get_file_info
+        open_input_stream = open_input_file = open_output_stream = open_append_stream = normalize_path = get_file_info
+
+    return lambda path: (fs.PyFileSystem(Objects()), "store")
+
+
+def test_marker_objects_and_empty_names(spark):
+    for budget in (1, 1000):
+        found = tree.walk_tree(spark, "objects://store", connect=object_store(KEYS), first_budget=budget).collect()
+        assert {r["key"]: r["size"] for r in found} == KEYS and len(found) == len(KEYS)
+    under = tree.walk_tree(spark, "objects://store", "photos/", connect=object_store(KEYS)).collect()
+    assert sorted(r["key"] for r in under) == ["photos/", "photos//2", "photos/1"]
+
+
+def test_what_is_not_there_is_empty(spark, tmp_path):
+    assert tree.walk_tree(spark, str(tmp_path / "none")).count() == 0
+    assert tree.walk_tree(spark, f"file://{tmp_path}").count() == 0
+    assert tree._batch([("k", 1, 2, "OBJECT", 1)]).schema.field("last_modified").type == pa.timestamp("us", "UTC")
