@@ -10,7 +10,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from bucketscope.functions.regex import literal_head, to_java
+from bucketscope.functions.regex import compile_pattern, to_java
 from bucketscope.functions.scalars import parse_size
 from bucketscope.schema import DELETE_MARKER, OBJECT, PREFIX
 
@@ -44,9 +44,24 @@ class FilterConfig:
     larger_size: int | str | None = None
     storage_class: tuple[str, ...] | None = None
 
+    def __post_init__(self) -> None:
+        """A malformed pattern is refused here, before any row is read."""
+        for pattern in (self.include_regex, self.exclude_regex):
+            if pattern is not None:
+                compile_pattern(pattern)
+
     def key_head(self) -> str | None:
         """Text that every key passing the patterns begins with, where one can be told."""
-        return literal_head(self.include_regex) if self.include_regex else None
+        return compile_pattern(self.include_regex).begins if self.include_regex else None
+
+    def key_texts(self) -> list[Column]:
+        """Tests for the text that every key passing the patterns holds; unlike a pattern, they reach the scan."""
+        if not self.include_regex:
+            return []
+        found, key = compile_pattern(self.include_regex), F.col("key")
+        tests = [key.startswith(found.begins)] if found.begins else []
+        tests += [key.endswith(found.ends)] if found.ends else []
+        return tests + [key.contains(text) for text in found.holds[:1]]
 
     @staticmethod
     def instant(when: dt.datetime) -> Column:
@@ -88,9 +103,7 @@ class FilterConfig:
         tests = self.predicates()
         patterns = [tests.pop(name) for name in ("include_regex", "exclude_regex") if name in tests]
         comparisons = list(tests.values())
-        head = self.key_head()
-        if head:
-            comparisons.append(F.col("key").startswith(head))
+        comparisons += self.key_texts()
         condition = F.lit(True)
         if comparisons:
             condition = (kind == PREFIX) | reduce(and_, comparisons)
