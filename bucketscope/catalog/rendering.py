@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bucketscope import fixtures
+from bucketscope.catalog.orders import TIES, TOTALS
 from bucketscope.catalog.registry import query
 from bucketscope.catalog.text import escaped, human, padded, stamp
 from bucketscope.functions.scalars import escape_ctl, fmt_size, fmt_size_split, fmt_ts
@@ -21,7 +22,7 @@ from bucketscope.plans.render import (
     to_lines,
     to_tsv,
 )
-from bucketscope.plans.writer import write_listing
+from bucketscope.plans.writer import read_lines, read_with_summary, write_buckets, write_listing, write_with_summary
 from bucketscope.session import scratch
 from bucketscope.sources.ndjson import RECORD_SCHEMA
 
@@ -295,13 +296,41 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "write_listing",
-    f"""select concat_ws(chr(9), 'DATE', 'SIZE', 'KEY') as value
-union all select concat_ws(chr(9), {DATE}, {SIZE}, {escaped('key')}) from entries e
-union all select '' union all select concat('Total:', chr(9), n, chr(9), 'objects', chr(9), s, chr(9), 'bytes')
-from ({STATS}) t""",
+    f"""select row_number() over (order by section, key asc, {TIES}) as pos, value from (
+select 0 as section, concat_ws(chr(9), 'DATE', 'SIZE', 'KEY') as value, null as bucket, null as key, null as version_id, null as entry_type
+union all select 1, concat_ws(chr(9), {DATE}, {SIZE}, {escaped('key')}), bucket, key, version_id, entry_type from entries e
+union all select 2, '', null, null, null, null
+union all select 3, concat('Total:', chr(9), n, chr(9), 'objects', chr(9), s, chr(9), 'bytes'), null, null, null, null
+from ({STATS}) t) l""",
     ("entries",),
 )
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "written")
     write_listing(fixtures.entries(spark, sf_dir), path, "tsv", with_header=True, summary=True)
-    return spark.read.text(path)
+    return read_lines(spark, path)
+
+
+@query(
+    "write_with_summary",
+    f"""select bucket, entry_type, key, size, version_id, 0 as section, null as total_objects, null as total_size,
+null as total_delete_markers from entries e union all select null, null, null, null, null, 1, {TOTALS} from entries e""",
+    ("entries",),
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "totalled")
+    rows = fixtures.entries(spark, sf_dir).select("bucket", "entry_type", "key", "size", "version_id")
+    write_with_summary(rows, path)
+    return read_with_summary(spark, path)
+
+
+@query(
+    "write_buckets",
+    f"""select row_number() over (order by section, creation_date asc nulls first, name) as pos, value from (
+select 0 as section, null as creation_date, null as name, concat_ws(chr(9), 'DATE', 'REGION', 'BUCKET') as value
+union all select 1, creation_date, name, concat_ws(chr(9), {', '.join(list(B_CELLS.values())[:3])}) from buckets b) l""",
+    ("buckets",),
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "buckets")
+    write_buckets(fixtures.buckets(spark, sf_dir), path, "tsv", sort=["date"], with_header=True)
+    return read_lines(spark, path)

@@ -17,7 +17,7 @@ from bucketscope.plans.render import (
     to_lines,
     to_tsv,
 )
-from bucketscope.plans.writer import write_listing
+from bucketscope.plans.writer import read_lines, read_with_summary, write_buckets, write_listing, write_with_summary
 from bucketscope.schema import BUCKET_SCHEMA
 from bucketscope.sources.ndjson import read_listing_json, read_summary_json
 
@@ -138,6 +138,70 @@ def test_written_lines_are_in_order_across_files(spark, rows, tmp_path):
     assert lines[0] == "KEY" and lines[-2].startswith("Total:") and len(lines) == 504
 
 
+def test_the_total_is_counted_as_the_rows_are_written(spark, rows, tmp_path, monkeypatch):
+    """One evaluation of the input without a sort; with one, none beside that which samples its ranges."""
+    seen = spark.sparkContext.accumulator(0)
+    base = rows(*[row(f"k{n}", n) for n in range(50)], row("m", entry_type="DELETE_MARKER"), row("p/", entry_type="PREFIX"))
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    watched = base.mapInArrow(count, base.schema)
+    write_listing(watched, str(tmp_path / "any"), "tsv", Display(versions=True), sort=None, summary=True)
+    assert seen.value == 52
+    assert written(tmp_path / "any")[-2] == "Total:\t50\tobjects\t1225\tbytes\t1\tdelete markers"
+    write_with_summary(watched, str(tmp_path / "typed"))
+    assert seen.value == 104
+    back = read_with_summary(spark, str(tmp_path / "typed"))
+    assert sorted(map(str, back.where("section = 0").select(base.columns).collect())) == sorted(map(str, base.collect()))
+    total = back.where("section = 1").first()
+    assert (total["total_objects"], total["total_size"], total["total_delete_markers"], total["key"]) == (50, 1225, 1, None)
+    write_listing(watched, str(tmp_path / "sorted"), "lines", summary=True)
+    assert seen.value <= 104 + 2 * 52
+    assert written(tmp_path / "sorted")[-2] == "Total: 50 objects 1225 bytes"
+
+
+def test_a_failed_write_leaves_no_listing(spark, rows, tmp_path):
+    base = rows(*[row(f"k{n}", n) for n in range(20)])
+    broken = base.withColumn("key", F.when(F.col("size") == 13, F.raise_error(F.lit("no"))).otherwise(F.col("key")))
+    for write in (lambda p: write_listing(broken, p, "tsv", sort=None, summary=True), lambda p: write_with_summary(broken, p)):
+        with pytest.raises(Exception, match="no"):
+            write(str(tmp_path / "out"))
+        assert list(tmp_path.iterdir()) == []
+    write_listing(base, str(tmp_path / "out"), "lines")
+    with pytest.raises(ValueError, match="already exists"):
+        write_listing(base, str(tmp_path / "out"), "lines")
+    write_listing(base.where("size > 9"), str(tmp_path / "out"), "lines", mode="ignore")
+    assert len(written(tmp_path / "out")) == 21
+    write_listing(base.where("size > 9"), str(tmp_path / "out"), "lines", mode="overwrite")
+    assert len(written(tmp_path / "out")) == 11
+    with pytest.raises(ValueError, match="mode"):
+        write_listing(base, str(tmp_path / "out"), "lines", mode="append")
+    # a failed overwrite keeps what was there
+    with pytest.raises(Exception, match="no"):
+        write_listing(broken, str(tmp_path / "out"), "lines", mode="overwrite")
+    assert len(written(tmp_path / "out")) == 11 and [p.name for p in tmp_path.iterdir()] == ["out"]
+
+
+def test_lines_are_read_with_their_places(spark, rows, tmp_path):
+    base = rows(*[row(f"k{n:03d}", n) for n in range(300)])
+    write_listing(base.repartition(7), str(tmp_path / "out"), "lines", with_header=True, summary=True)
+    found = [r["value"] for r in read_lines(spark, str(tmp_path / "out")).orderBy("pos").collect()]
+    assert found == ["KEY", *[f"k{n:03d}" for n in range(300)], "", "Total: 300 objects 44850 bytes"]
+    write_listing(base.limit(0), str(tmp_path / "none"), "lines", with_header=True, summary=True)
+    assert [r["value"] for r in read_lines(spark, str(tmp_path / "none")).orderBy("pos").collect()] == ["KEY", "", "Total: 0 objects 0 bytes"]
+
+
+def test_bucket_listings_are_written_in_one_call(spark, tmp_path):
+    buckets = spark.createDataFrame([("b", None, "eu", None, "o", "1"), ("a", DAY, "us", "arn", None, None)], BUCKET_SCHEMA)
+    write_buckets(buckets, str(tmp_path / "t"), "tsv", sort=["date"], with_header=True)
+    assert written(tmp_path / "t") == ["DATE\tREGION\tBUCKET", "\teu\tb", "2024-01-15T10:30:00Z\tus\ta", ""]
+    write_buckets(buckets, str(tmp_path / "l"), "lines", reverse=True)
+    assert written(tmp_path / "l") == ["b", "a", ""]
+
+
 def test_parquet_and_json_round_trip(spark, rows, tmp_path):
     df = sample(rows)
     write_listing(df, str(tmp_path / "table"), "parquet")
