@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bucketscope import fixtures
@@ -15,7 +15,7 @@ from bucketscope.operators.filters import FilterConfig
 from bucketscope.operators.hierarchy import repartition_by_prefix
 from bucketscope.plans.display import Display
 from bucketscope.plans.writer import write_listing
-from bucketscope.session import scratch
+from bucketscope.session import scratch, stored
 from bucketscope.sources import inventory, manifest, ndjson, tree
 from bucketscope.sources.targets import format_target, parse_target, under, under_targets
 
@@ -252,7 +252,7 @@ and last_modified >= timestamp '1996-01-01'""",
 )
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = FilterConfig(larger_size="2KiB", storage_class=("STANDARD", "GLACIER"), mtime_after=dt.datetime(1996, 1, 1))
-    found = manifest.scan(spark, fixtures.inventory_path(spark, sf_dir), "bkt-2", "data/n/199", asked)
+    found = manifest.scan(spark, fixtures.indexed_inventory_path(spark, sf_dir), "bkt-2", "data/n/199", asked)
     return found.select("bucket", "entry_type", "key", "size", "version_id")
 
 
@@ -291,9 +291,18 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "repartition_by_prefix",
-    "select bucket, key, size, version_id from r",
+    "select bucket, key, size, version_id, true as several, false as overlaps from r",
     ("r",),
 )
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fixtures.versions(spark, sf_dir)
-    return repartition_by_prefix(rows.select("bucket", "key", "size", "version_id"), 8)
+    """Each row with whether its partition's range of keys meets that of another, and whether there are several at all."""
+    rows = fixtures.versions(spark, sf_dir).select("bucket", "key", "size", "version_id")
+    dealt = stored(repartition_by_prefix(rows, 8).withColumn("part", F.spark_partition_id()), "dealt")
+    place = F.struct("bucket", "key", "version_id")
+    # a row per partition
+    edges = dealt.groupBy("part").agg(F.min(place).alias("least"), F.max(place).alias("most"))
+    along = Window.orderBy("least")
+    met = F.coalesce(F.lag("most").over(along) >= F.col("least"), F.lit(False)) | F.coalesce(F.lead("least").over(along) <= F.col("most"), F.lit(False))
+    several = F.count(F.lit(1)).over(Window.partitionBy()) > 1
+    ranges = edges.select("part", several.alias("several"), met.alias("overlaps"))
+    return dealt.join(F.broadcast(ranges), "part").drop("part")

@@ -1,7 +1,8 @@
 """Inventory tables derived from the test tables, for Spark and as SQL text for the check engine.
 
 Row-level expressions are shared by both engines. What differs is how the latest version of a key is found: SQL uses a
-window, Spark an aggregation, because a key with very many versions would put a window's rows in one task.
+window, Spark the sort in which the table is stored, because a key with very many versions would put a window's rows in
+one task.
 """
 
 from __future__ import annotations
@@ -13,11 +14,11 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bucketscope.operators.hierarchy import list_recursive
+from bucketscope.operators.hierarchy import latest_marked, list_recursive, write_sorted
 from bucketscope.operators.versions import current_view
 from bucketscope.schema import DELETE_MARKER, LISTING_SCHEMA, OBJECT, PAGE_LOG_SCHEMA, PREFIX
 from bucketscope.session import scratch
-from bucketscope.sources.manifest import store_inventory
+from bucketscope.sources.manifest import write_manifest
 
 BUCKET = "concat('bkt-', cast(l_suppkey % 5 as string), case when l_suppkey % 5 = 4 then '--x-s3' else '' end)"
 KEY = """case l_partkey % 50
@@ -126,14 +127,16 @@ def _finish(df: DataFrame) -> DataFrame:
     return df.select([known.get(f.name, F.col(f.name)).cast(f.dataType).alias(f.name) for f in LISTING_SCHEMA.fields])
 
 
+#: columns that order versions and tell which is the latest of a key
+ORDERED = ("bucket", "key", "last_modified", "version_id")
+
+
 def derive_versions(lineitem: DataFrame) -> DataFrame:
-    """All versions and delete markers. The latest of each key is aggregated, and marked by a join on the unique triple."""
-    rows = lineitem.selectExpr(*_expressions(VERSION_COLUMNS))
-    newest = rows.groupBy("bucket", "key").agg(F.max(F.struct("last_modified", "version_id")).alias("newest"))
-    newest = newest.select("bucket", "key", F.col("newest.version_id").alias("version_id"), F.lit(True).alias("is_latest"))
-    # one row per key is too much to broadcast at scale
-    marked = rows.join(newest.hint("merge"), ["bucket", "key", "version_id"], "left")
-    return _finish(marked.withColumn("is_latest", F.coalesce("is_latest", F.lit(False))))
+    """All versions and delete markers in key order, the latest of each key marked. Only what the order needs is derived
+    before the exchange."""
+    keyed = lineitem.select("*", *[F.expr(VERSION_COLUMNS[name]).alias(name) for name in ORDERED])
+    others = {name: text for name, text in VERSION_COLUMNS.items() if name not in ORDERED}
+    return _finish(latest_marked(keyed).selectExpr(*ORDERED, "is_latest", *_expressions(others)))
 
 
 def _written(spark: SparkSession, sf_dir: str, name: str, write: Callable[[DataFrame, str], None]) -> str:
@@ -152,7 +155,17 @@ def inventory_path(spark: SparkSession, sf_dir: str) -> str:
     Listings are made to run over stored inventories, so the queries do the same: filters and column choice reach the
     scan, and the files give it its parallelism.
     """
-    return _written(spark, sf_dir, "inventory", lambda rows, path: store_inventory(derive_versions(rows), path))
+    return _written(spark, sf_dir, "inventory", lambda rows, path: write_sorted(derive_versions(rows), path))
+
+
+def indexed_inventory_path(spark: SparkSession, sf_dir: str) -> str:
+    """The same files, with their index."""
+    path = inventory_path(spark, sf_dir)
+    where = (spark.sparkContext.applicationId, sf_dir, "index")
+    if where not in _PATHS:
+        write_manifest(spark, path)
+        _PATHS[where] = path
+    return path
 
 
 def versions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bucketscope.functions.keys import after_prefix, key_depth, prefix_at_depth, slashes
+from bucketscope.plans.ranges import instant_text, mark_last
 from bucketscope.schema import DELETE_MARKER, OBJECT, PREFIX
 from bucketscope.session import setting
 from bucketscope.sources.targets import under
@@ -125,12 +126,30 @@ def repartition_by_prefix(df: DataFrame, n: int | None = None) -> DataFrame:
     return df.repartitionByRange(n, *by) if n else df.repartitionByRange(*by)
 
 
-def write_inventory(df: DataFrame, path: str, n: int | None = None, mode: str = "errorifexists") -> None:
+def write_inventory(
+    df: DataFrame, path: str, n: int | None = None, mode: str = "errorifexists", mark_latest: bool = False
+) -> None:
     """Store an inventory in key order, so that a scan of one bucket or prefix skips the other files and row groups.
 
+    ``mark_latest`` sets ``is_latest`` for the last version of each key by date, then version, in the same sort.
+    """
+    if mark_latest:
+        rows = latest_marked(df.drop("is_latest"), n).select(df.columns)
+    else:
+        order = [c for c in ("bucket", "key", "version_id") if c in df.columns]
+        rows = repartition_by_prefix(df, n).sortWithinPartitions(*order)
+    write_sorted(rows, path, mode)
+
+
+def latest_marked(df: DataFrame, n: int | None = None) -> DataFrame:
+    """Versions in key order, by date and version within a key, with ``is_latest`` for the last of each key. One exchange."""
+    return mark_last(df, ["bucket", "key"], [instant_text(F.col("last_modified")), F.col("version_id")], "is_latest", n)
+
+
+def write_sorted(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Store rows that are in key order already.
+
     Dates are stored as microseconds: the older form that Spark writes by itself has no ranges, so no date test could skip.
     """
-    ranged = repartition_by_prefix(df, n)
-    order = [c for c in ("bucket", "key", "version_id") if c in df.columns]
     with setting(df.sparkSession, "spark.sql.parquet.outputTimestampType", "TIMESTAMP_MICROS"):
-        ranged.sortWithinPartitions(*order).write.mode(mode).parquet(path)
+        df.write.mode(mode).parquet(path)

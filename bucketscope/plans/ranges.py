@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Sampled rows per range, which bounds what comes to the driver.
@@ -30,3 +32,35 @@ def range_of(value: Column, cuts: list[str]) -> Column:
     block = F.size(F.filter(first, lambda s: s <= value)) - 1
     inside = F.get(F.lit(blocks).cast("array<array<string>>"), block)
     return F.when(block < 0, 0).otherwise(block * step + F.size(F.filter(inside, lambda s: s <= value)))
+
+
+def _in_order(value: Column) -> Column:
+    """A text as part of a longer one that is in the order of its parts: no part is the beginning of another."""
+    return F.concat(F.replace(F.coalesce(value, F.lit("")), F.lit("\x00"), F.lit("\x00\x01")), F.lit("\x00\x00"))
+
+
+def instant_text(moment: Column) -> Column:
+    """A timestamp as digits in its order; a null one first."""
+    micros = F.unix_micros(moment) + F.lit(1 << 62)
+    return F.coalesce(F.lpad(micros.cast("string"), 19, "0"), F.lit(""))
+
+
+def mark_last(df: DataFrame, group: Sequence[str], order: Sequence[Column], name: str, ranges: int | None = None) -> DataFrame:
+    """The rows with ``name``: whether a row is the last of its group in the order of some texts.
+
+    One exchange and no join. The rows are cut into ranges of group and order by splitters, so a group of any size is in as
+    many ranges as it fills; each range is sorted, and a row looks at the one after it. The row after the last of a range is
+    the splitter that begins the next: a splitter is a row of the table. The result is sorted, a partition per range, in the
+    order of the ranges. Null group values count as empty. Rows equal in group and order are marked together or one by one,
+    as they come.
+    """
+    spark = df.sparkSession
+    ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    whole = F.concat(*[_in_order(F.col(g)) for g in group])
+    placed = df.select("*", whole.alias("_group"), F.concat(whole, *[_in_order(o) for o in order]).alias("_address"))
+    cuts = splitters(placed, "_address", ranges)
+    ranged = placed.withColumn("_range", range_of(F.col("_address"), cuts).cast("int"))
+    ranged = ranged.repartitionById(len(cuts) + 1, "_range")
+    along = Window.partitionBy("_range").orderBy("_address")
+    following = F.coalesce(F.lead("_address").over(along), F.get(F.lit(cuts).cast("array<string>"), F.col("_range")), F.lit(""))
+    return ranged.withColumn(name, ~following.startswith(F.col("_group"))).drop("_group", "_address", "_range")

@@ -82,11 +82,11 @@ def write_manifest(spark: SparkSession, path: str) -> None:
     nothing is written, and listings read every file."""
     ship_package(spark)
     new = _unknown(data_files(spark, path), read_manifest(spark, path))
-    first = new.first()
-    if first is None:
+    files, example = new.agg(F.count(F.lit(1)), F.min("file")).first()
+    if not files:
         return
     try:
-        fs.FileSystem.from_uri(first["file"])
+        fs.FileSystem.from_uri(example)
     except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
         return
 
@@ -95,13 +95,16 @@ def write_manifest(spark: SparkSession, path: str) -> None:
             rows = [file_ranges(*row) for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_pylist(rows, schema=_ARROW_SCHEMA)
 
-    dealt = new.repartition(max(1, -(-new.count() // FILES_PER_TASK)))
+    dealt = new.repartition(-(-files // FILES_PER_TASK))
     dealt.mapInArrow(read, MANIFEST_SCHEMA).write.mode("append").parquet(_place(path))
 
 
-def store_inventory(df: DataFrame, path: str, n: int | None = None, mode: str = "errorifexists") -> None:
-    """Store an inventory in key order with its index, so that listings open only the files that can match."""
-    write_inventory(df, path, n, mode)
+def store_inventory(
+    df: DataFrame, path: str, n: int | None = None, mode: str = "errorifexists", mark_latest: bool = False
+) -> None:
+    """Store an inventory in key order with its index, so that listings open only the files that can match; see
+    :func:`~bucketscope.operators.hierarchy.write_inventory`."""
+    write_inventory(df, path, n, mode, mark_latest)
     write_manifest(df.sparkSession, path)
 
 
