@@ -86,7 +86,7 @@ def _sorted_runs(rows: DataFrame, splitters: list[str]) -> DataFrame:
     run = Window.partitionBy("bucket", "run")
     best = F.struct((-F.col("chars")).alias("chars"), F.col("doc_id").isNull().alias("none"), "doc_id")
     return runs.select(
-        "bucket", "run", "doc_id", "digest", "first_text", "last_text",
+        "bucket", "run", "doc_id", "digest", "chars", "first_text", "last_text",
         F.count(F.lit(1)).over(run).alias("run_size"), F.min(best).over(run).alias("best"),
     )
 
@@ -136,8 +136,8 @@ def exact_duplicates(
     """One row per document: ``doc_id, keep_id, group_size, kept, text_sha256``.
 
     Of equal texts the one with the most code points in its original text stays, then the smallest identifier (a null
-    one last). A null text counts as empty; all blank texts are one group. A row repeated whole is a group of its own
-    rows, of which each has the kept identifier. Other columns are not read. An empty table gives no rows.
+    one last); another row of its identifier that is shorter does not. A null text counts as empty; all blank texts are one
+    group. Rows that repeat identifier and length of the row that stays are kept too. Other columns are not read. An empty table gives no rows.
     """
     spark = docs.sparkSession
     rows = _rows(docs, id_column, text_column)
@@ -146,12 +146,14 @@ def exact_duplicates(
     # at most two rows per bucket, and the number of buckets is a parameter
     edges = F.broadcast(_across_buckets(runs))
     found = runs.drop("first_text", "last_text").join(edges, ["bucket", "run"], "left")
-    keep = F.coalesce("whole_best", "best")["doc_id"]
+    best = F.coalesce("whole_best", "best")
+    keep = best["doc_id"]
+    stays = F.col("doc_id").eqNullSafe(keep) & (F.col("chars") == -best["chars"])
     return found.select(
         "doc_id",
         keep.alias("keep_id"),
         F.coalesce("whole_size", "run_size").alias("group_size"),
-        F.col("doc_id").eqNullSafe(keep).alias("kept"),
+        stays.alias("kept"),
         F.col("digest").alias("text_sha256"),
     )
 

@@ -145,3 +145,12 @@ def test_join_groups_serves_hot_and_small_groups(spark):
     assert hot_size(1000) == 64 and hot_size(10**8) == 10**4
     found = join_groups(rows, groups, ["g"], "n", 1000).collect()
     assert {(r["id"], r["least"]) for r in found} == {(i, 0 if i < 600 else i) for i in range(1000)}
+
+
+def test_a_shorter_row_of_the_identifier_that_stays_goes(spark):
+    docs = spark.createDataFrame([(1, "a b"), (1, "ab"), (2, "a  b"), (3, "x"), (3, "x")], "doc_id long, text string")
+    found = sorted((r["doc_id"], r["keep_id"], r["kept"]) for r in exact_dedup.exact_duplicates(docs).collect())
+    assert found == [(1, 2, False), (1, 2, False), (2, 2, True), (3, 3, True), (3, 3, True)]
+    docs = spark.createDataFrame([(1, "a b"), (1, "ab")], "doc_id long, text string")
+    assert sorted(r["kept"] for r in exact_dedup.exact_duplicates(docs).collect()) == [False, True]
+    assert [r["text"] for r in exact_dedup.drop_duplicates(docs).collect()] == ["a b"]
