@@ -10,6 +10,7 @@ For scoring, vectors and layer collapse into one number per bucket, and a word i
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -24,14 +25,17 @@ from bucketscope.llm.common import free_name, in_python
 BUCKETS = 1 << 16
 DIMENSIONS = 8
 GRAM_SIZES = (2, 3, 4)
-#: Labelled documents used for training, about: those with the smallest hashes. The only bound on what is learned from.
+#: Labelled documents used for training, about: those with the smallest hashes. Of identifiers that repeat, up to twice
+#: as many rows. The only bounds on what is learned from.
 TRAINING_DOCUMENTS = 5000
 EPOCHS = 4
 #: Steps at least, so that few labelled documents are seen more often.
 LEAST_STEPS = 12_000
 RATE = 1.0
-#: Distinct words that a task remembers.
+#: Distinct words that a task remembers; those of more than LONG_WORD characters by a digest, and their buckets piecewise.
 CACHED = 400_000
+LONG_WORD = 64
+PIECE = 1 << 16
 FOLDS = 5
 
 
@@ -52,6 +56,18 @@ def word_buckets(word: str) -> list[int]:
     return out
 
 
+def pieces(word: str) -> Iterator[list[int]]:
+    """The buckets of a word of any length, some at a time."""
+    if len(word) <= PIECE:
+        yield word_buckets(word)
+        return
+    crc, mask, marked = zlib.crc32, BUCKETS - 1, f"<{word}>"
+    yield [crc(b"w" + word.encode()) & mask]
+    for n in GRAM_SIZES:
+        for at in range(0, len(marked) - n + 1, PIECE):
+            yield [crc(marked[i : i + n].encode()) & mask for i in range(at, min(at + PIECE, len(marked) - n + 1))]
+
+
 SAME_WORD = zlib.crc32(b"\x00same") & (BUCKETS - 1)
 
 
@@ -63,10 +79,14 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     counts: dict[str, int] = {}
     for word in words:
         counts[word] = counts.get(word, 0) + 1
-    each = [word_buckets(w) for w in counts]
-    weight = np.repeat(list(counts.values()), [len(e) for e in each])
+    short = [w for w in counts if len(w) <= PIECE]
+    each = [word_buckets(w) for w in short]
+    weight = np.repeat([counts[w] for w in short], [len(e) for e in each])
     same = sum(a == b for a, b in zip(words, words[1:]))
     total = np.bincount(np.fromiter(chain.from_iterable(each), np.int64), weight, BUCKETS)
+    for word in (w for w in counts if len(w) > PIECE):
+        for piece in pieces(word):
+            total += counts[word] * np.bincount(piece, minlength=BUCKETS)
     total[SAME_WORD] += same
     buckets = np.flatnonzero(total)
     return buckets.astype(np.int32), (total[buckets] / total.sum()).astype(np.float32)
@@ -101,21 +121,19 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = EPOCHS,
     return np.append(odds, float(bias[1] - bias[0]))
 
 
-def fit(
+def training_features(
     docs: DataFrame,
     labels: DataFrame,
     label_column: str = "quality",
     id_column: str = "doc_id",
     text_column: str = "text",
     training_documents: int = TRAINING_DOCUMENTS,
-) -> np.ndarray:
-    """A model from the labelled documents outside the held-out fold.
-
-    Labels other than 0 and 1, null ones and those without a document are not used; a document with several label rows
-    counts once for each. Without any, the model scores everything 0.5.
-    """
+) -> DataFrame:
+    """``_id, _label, buckets, shares`` of the documents to learn from, about ``training_documents`` and no more than twice
+    as many rows."""
     known = labels.select(F.col(id_column).alias("_id"), F.col(label_column).cast("int").alias("_label"))
-    known = known.where(F.col("_label").isin(0, 1) & F.col("_id").isNotNull() & ~held_out(F.col("_id")))
+    # a label is counted once, however many rows say it
+    known = known.where(F.col("_label").isin(0, 1) & F.col("_id").isNotNull() & ~held_out(F.col("_id"))).distinct()
     share = min(1.0, training_documents / max(1, known.count()))
     chosen = known.where(F.pmod(F.xxhash64(F.lit("train"), "_id"), F.lit(1 << 40)) < int(share * (1 << 40)))
     texts = docs.select(F.col(id_column).alias("_id"), F.col(text_column).alias("_text"))
@@ -134,13 +152,26 @@ def fit(
                 ["_id", "_label", "buckets", "shares"],
             )
 
+    kind = sample.schema["_id"].dataType.simpleString()
+    ready = in_python(sample).mapInArrow(featurise, f"_id {kind}, _label int, buckets binary, shares binary")
+    # where few identifiers have very many rows: no more of them than of as many documents
+    return ready.orderBy(F.xxhash64("_id", "_label", "buckets")).limit(2 * training_documents)
+
+
+def fit(docs: DataFrame, labels: DataFrame, **options) -> np.ndarray:
+    """A model from the labelled documents outside the held-out fold; the options are those of :func:`training_features`.
+
+    Labels other than 0 and 1, null ones and those without a document are not used; a document with both labels
+    counts once for each, and rows that repeat an identifier are documents of their own. Without any, the model scores
+    everything 0.5. Columns may have any names beside those given.
+    """
+
     def learn(group: pa.Table) -> pa.Table:
         rows = sorted(zip(*[group.column(c).to_pylist() for c in ("_id", "_label", "buckets", "shares")]))
         model = train([(y, np.frombuffer(b, np.int32), np.frombuffer(s, np.float32)) for _, y, b, s in rows])
         return pa.table({"model": pa.array([model.tobytes()], pa.binary())})
 
-    kind = sample.schema["_id"].dataType.simpleString()
-    ready = in_python(sample).mapInArrow(featurise, f"_id {kind}, _label int, buckets binary, shares binary")
+    ready = training_features(docs, labels, **options)
     found = ready.groupBy(F.lit(0).alias("all")).applyInArrow(learn, "model binary").collect()
     return np.frombuffer(found[0][0], np.float64) if found else np.zeros(BUCKETS + 1)
 
@@ -160,9 +191,11 @@ class Scorer:
         self.table = np.zeros((2, 0))
 
     def add(self, word: str) -> int:
-        buckets = word_buckets(word)
-        self.sums.append(sum(map(self.odds.__getitem__, buckets)))
-        self.sizes.append(len(buckets))
+        total, size = 0.0, 0
+        for buckets in pieces(word):
+            total, size = total + sum(map(self.odds.__getitem__, buckets)), size + len(buckets)
+        self.sums.append(total)
+        self.sizes.append(size)
         return len(self.sums) - 1
 
     def __call__(self, text: str | None) -> float:
@@ -196,7 +229,13 @@ class _Rows(dict):
         self.scorer = scorer
 
     def __missing__(self, word: str) -> int:
-        found = self[word] = self.scorer.add(word)
+        if len(word) <= LONG_WORD:
+            found = self[word] = self.scorer.add(word)
+            return found
+        digest = hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+        found = self.get(digest)
+        if found is None:
+            found = self[digest] = self.scorer.add(word)
         return found
 
 
