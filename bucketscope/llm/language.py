@@ -24,6 +24,8 @@ MAX_LANGUAGES = 256
 UNKNOWN = "und"
 #: Code points of texts that are worked on together, unless one text is longer.
 AT_ONCE = 1 << 21
+#: Places of n-grams that are hashed together.
+SLICE = 1 << 21
 
 
 @lru_cache(maxsize=1)
@@ -32,8 +34,8 @@ def _letters() -> np.ndarray:
     return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
 
-def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all n-grams of the texts, and the text that each belongs to, in order of texts per n-gram size."""
+def _gram_slices(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Buckets of the n-grams of the texts and the text that each belongs to, those of SLICE places and one size at a time."""
     points = [np.frombuffer(t.lower().encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
     sizes = np.array([len(p) + 1 for p in points])
     owner = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
@@ -48,23 +50,25 @@ def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     keep[1:] |= letter[:-1]
     keep[starts] = True
     chars, letter, owner = chars[keep], letter[keep], np.append(owner, len(texts) - 1)[keep]
-    found, owners = [], []
     for n in GRAM_SIZES:
-        count = len(chars) - n + 1
-        if count <= 0:
-            continue
-        mixed = np.full(count, n, np.uint32)
-        inner = np.ones(count, bool)
-        for i in range(n):
-            mixed = (mixed ^ chars[i : i + count]) * np.uint32(0x9E3779B1)
-            mixed ^= mixed >> np.uint32(15)
-            if n == 1 or 0 < i < n - 1:
-                inner &= letter[i : i + count]
-        if n == 2:
-            inner &= letter[:count] | letter[1 : 1 + count]
-        found.append((mixed[inner] & np.uint32(BUCKETS - 1)).astype(np.int32))
-        owners.append(owner[:count][inner])
-    return np.concatenate(found) if found else np.zeros(0, np.int32), np.concatenate(owners) if owners else np.zeros(0, np.int32)
+        for at in range(0, len(chars) - n + 1, SLICE):
+            count = min(SLICE, len(chars) - n + 1 - at)
+            mixed = np.full(count, n, np.uint32)
+            inner = np.ones(count, bool)
+            for i in range(n):
+                mixed = (mixed ^ chars[at + i : at + i + count]) * np.uint32(0x9E3779B1)
+                mixed ^= mixed >> np.uint32(15)
+                if n == 1 or 0 < i < n - 1:
+                    inner &= letter[at + i : at + i + count]
+            if n == 2:
+                inner &= letter[at : at + count] | letter[at + 1 : at + 1 + count]
+            yield (mixed[inner] & np.uint32(BUCKETS - 1)).astype(np.int32), owner[at : at + count][inner]
+
+
+def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """All that :func:`_gram_slices` gives, as one."""
+    slices = list(_gram_slices(texts))
+    return tuple(np.concatenate([s[n] for s in slices]) if slices else np.zeros(0, np.int32) for n in (0, 1))
 
 
 def _blocks(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
@@ -98,7 +102,8 @@ def count_grams(docs: DataFrame, text_column: str, lang_column: str) -> DataFram
                     raise ValueError(f"more than {MAX_LANGUAGES} languages")
                 total[-1] += len(own)
                 for _, block in _blocks(own):
-                    total[:-1] += np.bincount(_grams(block)[0], minlength=BUCKETS)
+                    for buckets, _ in _gram_slices(block):
+                        total[:-1] += np.bincount(buckets, minlength=BUCKETS)
         for lang, total in counts.items():
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays(
@@ -136,8 +141,9 @@ def predict_texts(texts: list[str | None], langs: list[str], matrix: np.ndarray)
     out, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
     known = [i for i, t in enumerate(texts) if t and _has_letter(t)] if langs else []
     for first, block in _blocks([texts[i] for i in known]):
-        buckets, owner = _grams(block)
-        logs = np.stack([np.bincount(owner, row[buckets], len(block)) for row in matrix[:, :-1]], axis=1) + matrix[:, -1]
+        logs = np.tile(matrix[:, -1], (len(block), 1))
+        for buckets, owner in _gram_slices(block):
+            logs += np.stack([np.bincount(owner, row[buckets], len(block)) for row in matrix[:, :-1]], axis=1)
         best = logs.argmax(axis=1)
         share = 1 / np.exp(logs - logs.max(axis=1, keepdims=True)).sum(axis=1)
         for i, (b, s) in enumerate(zip(best, share)):
@@ -151,7 +157,8 @@ def identify(
     """One row per document: ``doc_id, lang_pred, score``, from what ``training`` says of texts and languages.
 
     A null text, an empty one, one without a letter, and any text where nothing was learned give ``und`` with score 0.
-    Texts of any length are read whole. An empty table gives no rows.
+    Texts of any length are read whole, in slices. Rows that repeat have their own rows; other columns are not read,
+    whatever their names. An empty table gives no rows.
     """
     langs, matrix = fit(training, text_column, lang_column)
     shared = docs.sparkSession.sparkContext.broadcast((langs, matrix))
