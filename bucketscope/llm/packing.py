@@ -26,8 +26,11 @@ from bucketscope.llm.common import in_python, running_total, stored
 
 CAPACITY = 2048
 END_ID = 0
-#: Distinct chunks of text whose ids a task remembers.
-CACHED = 1_000_000
+#: Bytes that a task spends on remembering the ids of chunks, and what an entry takes beside its text and ids. Chunks of
+#: more characters than LONG_CHUNK are not remembered.
+CACHE_BYTES = 160 << 20
+ENTRY_BYTES = 200
+LONG_CHUNK = 64
 #: Pieces of equal length are ranked in chunks of a uniform hash.
 CHUNKS = 256
 
@@ -96,16 +99,25 @@ class _Chunks(dict):
     """Ids of chunks, each after the text ``before`` it."""
 
     def __init__(self, encoder: Encoder, before: str):
-        self.encoder, self.before, self.odd = encoder, before, {}
+        self.encoder, self.before, self.odd, self.size = encoder, before, {}, 0
 
     def __missing__(self, chunk: str) -> bytes:
         if not chunk or chunk[0].isspace() or chunk[-1].isspace():
             raise _Odd
-        if len(self) >= CACHED:
-            self.clear()
-        found = self[chunk] = self._parts(chunk)
+        found = self._parts(chunk)
+        self._remember(self, chunk, found)
         return found
 
+    def _remember(self, where: dict[str, bytes], chunk: str, ids: bytes) -> None:
+        if len(chunk) > LONG_CHUNK:
+            return
+        self.size += ENTRY_BYTES + len(chunk) + len(ids)
+        if self.size > CACHE_BYTES:
+            self.clear()
+            self.odd.clear()
+            self.size = 0
+        where[chunk] = ids
+
     def _parts(self, chunk: str) -> bytes:
         """Ids of a new chunk, from those of its parts where pre-tokenisation splits it for certain."""
         line, newline, rest = chunk.partition("\n")
@@ -122,9 +134,8 @@ class _Chunks(dict):
         """Of a chunk that may hold any blanks."""
         found = self.get(chunk) or self.odd.get(chunk)
         if found is None:
-            if len(self.odd) >= CACHED:
-                self.odd.clear()
-            found = self.odd[chunk] = self.encoder.ids(self.before + chunk)
+            found = self.encoder.ids(self.before + chunk)
+            self._remember(self.odd, chunk, found)
         return found
 
 
