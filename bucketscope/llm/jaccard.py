@@ -48,15 +48,18 @@ WORD_COUNTERS = 1 << 18
 COUNTER_BLOCK = 1 << 16
 #: Entries of a block of columns.
 BLOCK_ENTRIES = 1 << 20
-#: Distinct words that a Python worker remembers.
+#: Distinct words that a Python worker remembers, none of more than LONG_WORD bytes.
 CACHED = 500_000
+LONG_WORD = 64
 
 
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHED:
-            self.clear()
-        found = self[word] = xxhash.xxh3_64_intdigest(word)
+        found = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= LONG_WORD:
+            if len(self) >= CACHED:
+                self.clear()
+            self[word] = found
         return found
 
 

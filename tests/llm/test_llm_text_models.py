@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from bucketscope.llm import language, licenses, pseudonyms, quality
+from bucketscope.llm import jaccard, language, licenses, pseudonyms, quality
 from bucketscope.llm.queries import QUERIES
 
 SF_DIR = "/root/testdata/sf0.01"
@@ -271,3 +271,51 @@ def test_pseudonyms_of_odd_rows_keep_columns(spark):
     assert found.columns == [*docs.columns, "n_replaced"]
     assert Counter(tuple(r)[:-1] for r in found.collect()) == Counter(map(tuple, docs.collect()))
     assert pseudonyms.pseudonymise(docs.limit(0), "k").count() == 0
+
+
+def test_memory_is_bounded_by_bytes(spark):
+    """Texts without blanks, which are one word each, leave nothing behind, and a very long one is worked on in slices."""
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    texts = ["".join(map(chr, rng.integers(0x4E00, 0x9FFF, 20_000))) for _ in range(60)]
+    scorer = quality.Scorer(np.zeros(quality.BUCKETS + 1))
+    hashes = jaccard._WordHashes()
+    tracemalloc.start()
+    for text in texts:
+        scorer(text)
+        hashes[text.encode()]
+    held = tracemalloc.get_traced_memory()[0]
+    assert len(hashes) == 0 and held < 1 << 20 and all(isinstance(k, bytes) and len(k) == 16 for k in scorer.rows)
+    long = "wort " * 1_000_000
+    tracemalloc.reset_peak()
+    langs, matrix = ["a", "b"], np.log(np.full((2, language.BUCKETS + 1), 0.1))
+    assert language.predict_texts([long], langs, matrix)[0] == ["a"]
+    assert tracemalloc.get_traced_memory()[1] < 60 * len(long)
+    tracemalloc.stop()
+
+
+@pytest.mark.parametrize("piece", [3, 50, 1 << 16])
+def test_long_words_have_the_buckets_of_short_ones(monkeypatch, piece):
+    words = ["x", "word", "änderung", "w" * 200 + "é" + "z" * 90]
+    wanted = [sorted(quality.word_buckets(w)) for w in words]
+    text = " ".join(words + ["word", "word"] + words[-1:] * 2)
+    before, score = quality.features(text), quality.Scorer(np.arange(quality.BUCKETS + 1) / 1e5)(text)
+    monkeypatch.setattr(quality, "PIECE", piece)
+    monkeypatch.setattr(quality, "LONG_WORD", 5)
+    assert [sorted(b for part in quality.pieces(w) for b in part) for w in words] == wanted
+    after = quality.features(text)
+    assert (before[0] == after[0]).all() and np.allclose(before[1], after[1])
+    assert quality.Scorer(np.arange(quality.BUCKETS + 1) / 1e5)(text) == pytest.approx(score)
+
+
+def test_training_rows_are_bounded(spark):
+    """An identifier with very many rows, and labels that repeat, bring no more rows to the training task than the bound."""
+    docs = spark.createDataFrame([(i, f"good text {i}") for i in range(40)] + [(2, f"many rows {i}") for i in range(3000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] * 5, "doc_id long, quality int")
+    out = {r["doc_id"] for r in docs.where(quality.held_out(F.col("doc_id"))).select("doc_id").distinct().collect()}
+    assert 2 not in out
+    found = quality.training_features(docs, labels, training_documents=50)
+    assert found.count() == 100
+    few = quality.training_features(docs.where("text like 'good%'"), labels, training_documents=50)
+    assert few.count() == 40 - len(out) == few.select("_id").distinct().count()
