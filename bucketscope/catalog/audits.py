@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from bucketscope import fixtures
 from bucketscope.catalog.filters import ALL, EVERY_STEP
 from bucketscope.catalog.orders import TOTALS
 from bucketscope.catalog.registry import query
 from bucketscope.catalog.text import boundary, level_rows, rel, slashes
-from bucketscope.operators.audit import audit_pages, estimate_requests, reconcile
+from bucketscope.operators.audit import audit_pages, differing_prefixes, estimate_requests, reconcile, reconcile_by_prefix
+from bucketscope.operators.filters import FilterConfig
 from bucketscope.operators.hierarchy import list_level
 from bucketscope.schema import LISTING_SCHEMA
 from bucketscope.session import scratch
 from bucketscope.streaming.listing import (
     append_to,
+    emit_prefixes,
+    read_prefixes,
     read_stream,
     read_totals,
     refresh_totals,
@@ -50,6 +56,45 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def _two_halves(spark: SparkSession, sf_dir: str, run: Callable[[DataFrame], StreamingQuery]) -> None:
+    """A stream over half of the versions, then, from its checkpoint, over the files that came meanwhile."""
+    path = scratch(spark, "arriving")
+    rows = fixtures.versions(spark, sf_dir)
+    late = F.pmod(F.xxhash64("version_id"), F.lit(2)) == 1
+    for half in (rows.where(~late), rows.where(late)):
+        half.write.mode("append").parquet(path)
+        run(read_stream(spark, path, LISTING_SCHEMA, files_per_trigger=4)).awaitTermination()
+
+
+@query(
+    "stream_listing_staged",
+    "select bucket, entry_type, key, size from (" + level_rows("objects", "", 2, where="bucket = 'bkt-1'")
+    + ") l where entry_type = 'PREFIX' or size >= 40960",
+    ("objects",),
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, state = scratch(spark, "emitted"), scratch(spark, "state")
+
+    def run(rows: DataFrame) -> StreamingQuery:
+        listed = stream_listing(rows, FilterConfig(larger_size="40KiB"), whole=False, bucket="bkt-1", max_depth=2)
+        return append_to(listed.select("bucket", "entry_type", "key", "size"), path, state)
+
+    _two_halves(spark, sf_dir, run)
+    return spark.read.parquet(path)
+
+
+@query(
+    "emit_prefixes",
+    f"""select distinct bucket, 'PREFIX' as entry_type, {boundary('data/', 2)} as key from r
+where starts_with(key, 'data/') and {slashes(rel('data/'))} >= 2""",
+    ("r",),
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, state = scratch(spark, "prefixes"), scratch(spark, "state")
+    _two_halves(spark, sf_dir, lambda rows: emit_prefixes(rows, path, state, "data/", 2))
+    return read_prefixes(spark, path)
+
+
 @query("stream_summary", f"select bucket, {TOTALS} from r group by bucket", ("r",))
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "totals")
@@ -118,19 +163,36 @@ union all select bucket, key, version_id from r where size % 10 = 1
 union all select bucket, concat(key, '.new'), version_id from r where size % 10 = 2"""
 
 
-@query(
-    "reconcile",
-    f"""select bucket, key, version_id, expected_count, actual_count, case when actual_count = 0 then 'missing'
+RECONCILED = f"""select bucket, key, version_id, expected_count, actual_count, case when actual_count = 0 then 'missing'
   when expected_count = 0 then 'unexpected' when actual_count > expected_count then 'duplicate' else 'missing' end as status
 from (select bucket, key, version_id, coalesce(e, 0) as expected_count, coalesce(a, 0) as actual_count from
   (select bucket, key, version_id, count(*) as e from r group by 1, 2, 3) x full outer join
   (select bucket, key, version_id, count(*) as a from ({ACTUAL}) y group by 1, 2, 3) z using (bucket, key, version_id)) c
-where expected_count <> actual_count""",
-    ("r",),
-)
-def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+where expected_count <> actual_count"""
+
+
+def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     expected = fixtures.versions(spark, sf_dir).select("bucket", "key", "version_id", "size")
     last = F.col("size") % 10
     added = expected.filter(last == 2).withColumn("key", F.concat("key", F.lit(".new")))
-    actual = expected.filter(last != 3).union(expected.filter(last == 1)).union(added)
-    return reconcile(expected, actual)
+    return expected, expected.filter(last != 3).union(expected.filter(last == 1)).union(added)
+
+
+@query("reconcile", RECONCILED, ("r",))
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reconcile(*_sides(spark, sf_dir))
+
+
+@query("reconcile_by_prefix", RECONCILED, ("r",))
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reconcile_by_prefix(*_sides(spark, sf_dir), depth=4)
+
+
+@query(
+    "differing_prefixes",
+    f"""select distinct bucket, lvl as level, case lvl when 0 then '' when 1 then {boundary('', 1)} else {boundary('', 2)} end as prefix
+from ({RECONCILED}) d join (select 0 as lvl union all select 1 union all select 2) n on lvl <= {slashes('key')}""",
+    ("r",),
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return differing_prefixes(*_sides(spark, sf_dir))

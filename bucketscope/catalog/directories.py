@@ -16,10 +16,12 @@ from bucketscope.operators.hierarchy import (
     list_recursive,
     objects_only,
 )
+from bucketscope.operators.prefix_table import PrefixTable
 from bucketscope.operators.versions import current_view, history
 from bucketscope.plans.listing import listing
 from bucketscope.plans.skew import line_numbers
 from bucketscope.operators.sorting import listing_order
+from bucketscope.session import scratch
 
 ENTRY = ("bucket", "entry_type", "key", "size", "last_modified")
 
@@ -95,13 +97,12 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("key", relative_key(F.col("key"), "data/a").alias("shown"))
 
 
-@query(
-    "discover_prefixes",
-    f"""select bucket, n as level, regexp_extract(key, case n when 1 then '^(([^/]*/){{1}})' when 2 then '^(([^/]*/){{2}})'
+DISCOVERED = f"""select bucket, n as level, regexp_extract(key, case n when 1 then '^(([^/]*/){{1}})' when 2 then '^(([^/]*/){{2}})'
   else '^(([^/]*/){{3}})' end, 1) as prefix, count(*) as object_count, cast(sum(size) as bigint) as total_size
-from objects join (select 1 as n union all select 2 union all select 3) l on {slashes('key')} >= n group by 1, 2, 3""",
-    ("objects",),
-)
+from objects join (select 1 as n union all select 2 union all select 3) l on {slashes('key')} >= n group by 1, 2, 3"""
+
+
+@query("discover_prefixes", DISCOVERED, ("objects",))
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return discover_prefixes(fixtures.objects(spark, sf_dir), depth=3)
 
@@ -143,3 +144,15 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("history_rows", f"select bucket, key, version_id, {stamp('last_modified', 'last_modified')} from versions", ("versions",))
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plain(history(fixtures.versions(spark, sf_dir)), "bucket", "key", "version_id", "last_modified")
+
+
+@query("discover_prefixes_by_deltas", DISCOVERED, ("objects",))
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of the objects and some that go again, then the other half: as a table kept over two inventories."""
+    rows = fixtures.objects(spark, sf_dir)
+    late = F.pmod(F.xxhash64("bucket", "key"), F.lit(2)) == 1
+    passing = rows.where("size % 5 = 0").withColumn("key", F.concat(F.lit("gone/"), F.col("key")))
+    table = PrefixTable(spark, scratch(spark, "prefix-table"), depth=3)
+    table.apply("first", rows.where(~late).unionByName(passing))
+    table.apply("second", rows.where(late), passing)
+    return table.discover()

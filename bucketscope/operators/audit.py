@@ -7,8 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bucketscope.operators.hierarchy import DISCOVERY_DEPTH, ancestors, prefix_counts
+from bucketscope.operators.hierarchy import DISCOVERY_DEPTH, ancestors, directory_of, prefix_counts
 from bucketscope.plans.skew import previous_values
+from bucketscope.session import stored
+from bucketscope.sources.targets import BROADCAST_BYTES, ROW_BYTES, under
 
 MAX_KEYS = 1000  # fixed value: largest page of a listing request
 
@@ -112,3 +114,69 @@ def reconcile(
         .when(F.col("actual_count") < F.col("expected_count"), "missing")
     )
     return counts.withColumn("status", status).filter(F.col("status").isNotNull())
+
+
+def _digests(df: DataFrame, on: Sequence[str], prefix: str, depth: int, sign: int) -> DataFrame:
+    """Per directory, cut at ``depth`` levels: how many rows, and sums of two hashes of the rows. The sums do not depend on
+    the order of the rows, and rows that repeat count each time. Tasks merge their rows before the shuffle."""
+    at, level = directory_of(F.col("key"), prefix, depth)
+    values = [part for c in on for part in (F.col(c), F.col(c).isNull())]
+    hashes = [F.xxhash64(F.lit(seed), *values).cast("decimal(20,0)") for seed in (1, 2)]
+    sums = [F.sum(h * sign).alias(f"digest_{n}") for n, h in enumerate(hashes)]
+    return under(df, prefix).groupBy("bucket", at.alias("prefix"), level.alias("level")).agg(F.count(F.lit(sign)).alias("rows"), *sums)
+
+
+def _differing(expected: DataFrame, actual: DataFrame, on: Sequence[str], prefix: str, depth: int) -> DataFrame:
+    sides = [_digests(df, on, prefix, depth, sign).withColumn("side", F.lit(sign)) for df, sign in ((expected, 1), (actual, -1))]
+    both = sides[0].unionByName(sides[1]).groupBy("bucket", "prefix", "level").agg(
+        F.coalesce(F.sum(F.when(F.col("side") == 1, F.col("rows"))), F.lit(0)).alias("expected_count"),
+        F.coalesce(F.sum(F.when(F.col("side") == -1, F.col("rows"))), F.lit(0)).alias("actual_count"),
+        F.sum("digest_0").alias("digest_0"),
+        F.sum("digest_1").alias("digest_1"),
+    )
+    same = (F.col("expected_count") == F.col("actual_count")) & (F.col("digest_0") == 0) & (F.col("digest_1") == 0)
+    return both.where(~same).drop("digest_0", "digest_1")
+
+
+def differing_prefixes(
+    expected: DataFrame,
+    actual: DataFrame,
+    on: Sequence[str] = ("bucket", "key", "version_id"),
+    prefix: str | None = None,
+    depth: int = DISCOVERY_DEPTH,
+) -> DataFrame:
+    """Directories down to ``depth`` levels below which two listings differ: ``bucket, level, prefix``.
+
+    Directories are compared by digests of their rows, so no key is shuffled. Two 64-bit sums and a count stand for the rows.
+    """
+    found = _differing(expected, actual, on, prefix or "", depth)
+    above = found.select("bucket", F.explode(ancestors(F.col("prefix"), prefix or "", F.col("level"), 0)).alias("at"))
+    return above.select("bucket", "at.level", "at.prefix").distinct()
+
+
+def reconcile_by_prefix(
+    expected: DataFrame,
+    actual: DataFrame,
+    on: Sequence[str] = ("bucket", "key", "version_id"),
+    prefix: str | None = None,
+    depth: int = DISCOVERY_DEPTH,
+    broadcast_bytes: int = BROADCAST_BYTES,
+) -> DataFrame:
+    """As :func:`reconcile` of what lies under ``prefix``, but only keys of directories whose digests differ are compared.
+
+    Equal inventories shuffle a row per directory and no key. The differing directories are broadcast where they take up to
+    ``broadcast_bytes``.
+    """
+    prefix = prefix or ""
+    found = stored(_differing(expected, actual, on, prefix, depth).select("bucket", F.col("prefix").alias("at")), "differing")
+    directories, taken = found.agg(F.count(F.lit(1)), F.sum(F.octet_length("bucket") + F.octet_length("at") + F.lit(ROW_BYTES))).first()
+    if not directories:
+        return reconcile(expected.limit(0), actual.limit(0), on)
+
+    def within(df: DataFrame) -> DataFrame:
+        placed = under(df, prefix).withColumn("at", directory_of(F.col("key"), prefix, depth)[0]).alias("rows")
+        chosen = (F.broadcast(found) if taken <= broadcast_bytes else found.hint("merge")).alias("chosen")
+        same = F.col("rows.bucket").eqNullSafe(F.col("chosen.bucket")) & F.col("rows.at").eqNullSafe(F.col("chosen.at"))
+        return placed.join(chosen, same, "left_semi").select(*on)
+
+    return reconcile(within(expected), within(actual), on)

@@ -66,22 +66,26 @@ def _head(text: Column, n: Column) -> Column:
     return F.call_function("substring_index", text, F.lit("/"), n.cast("int"))
 
 
+def directory_of(key: Column, prefix: str, depth: int) -> tuple[Column, Column]:
+    """The directory that a key under ``prefix`` lies in, cut at ``depth`` levels, and its level."""
+    rel = after_prefix(key, prefix)
+    level = F.least(slashes(rel), F.lit(depth))
+    at = F.when(level == 0, F.lit(prefix)).otherwise(F.concat(F.lit(prefix), _head(rel, level), F.lit("/")))
+    return at, level.cast("int")
+
+
 def prefix_counts(df: DataFrame, prefix: str, depth: int) -> DataFrame:
     """Rows per directory each key lies in, cut at ``depth`` levels: ``bucket, prefix, level, objects, size, markers``.
 
     This is the one pass over the keys. What needs counts for upper levels adds these rows up, so a hot directory
     costs one row per task in the shuffle.
     """
-    rel = after_prefix(F.col("key"), prefix)
-    level = F.least(slashes(rel), F.lit(depth))
-    at = F.when(level == 0, F.lit(prefix)).otherwise(
-        F.concat(F.lit(prefix), _head(rel, level), F.lit("/"))
-    )
+    at, level = directory_of(F.col("key"), prefix, depth)
     is_object = F.col("entry_type") == OBJECT
     return (
         under(df, prefix)
         .filter(F.col("entry_type") != PREFIX)
-        .groupBy("bucket", at.alias("prefix"), level.cast("int").alias("level"))
+        .groupBy("bucket", at.alias("prefix"), level.alias("level"))
         .agg(
             F.count_if(is_object).alias("objects"),
             F.sum(F.when(is_object, F.col("size")).otherwise(0)).alias("size"),

@@ -13,7 +13,7 @@ from bucketscope.sources.inventory import buckets, directory_buckets, objects, v
 from bucketscope.sources.inventory import with_optional
 
 
-def listing(
+def entries(
     df: DataFrame,
     bucket: str | None = None,
     prefix: str | None = None,
@@ -27,10 +27,8 @@ def listing(
     filters: FilterConfig = FilterConfig(),
     owner: bool = True,
     restore: bool = True,
-    sort: Sequence[str] | None = ("key",),
-    reverse: bool = False,
 ) -> DataFrame:
-    """A listing of an inventory table as one lazy DataFrame; ``sort=None`` leaves the rows in any order.
+    """The rows of a listing in any order; of a table or a stream.
 
     Directories come from the rows of the chosen mode before anything is hidden or filtered, so one that holds only
     delete markers is listed in version mode even where markers are hidden.
@@ -38,15 +36,30 @@ def listing(
     rows = version_rows(df, bucket) if versions else objects(df, bucket)
     rows = with_optional(rows, owner=owner, restore=restore, versions=versions)
     if recursive or max_depth is not None:
-        entries = list_recursive(rows, prefix, max_depth, marker)
+        found = list_recursive(rows, prefix, max_depth, marker)
     else:
-        entries = list_level(rows, prefix)
+        found = list_level(rows, prefix)
     if hide_markers:
-        entries = hide_delete_markers(entries)
+        found = hide_delete_markers(found)
     if objects_only:
-        entries = without_prefixes(entries)
-    entries = apply_filters(entries, filters)
-    return entries if sort is None else sort_listing(entries, sort, reverse, versions)
+        found = without_prefixes(found)
+    return apply_filters(found, filters)
+
+
+def listing(
+    df: DataFrame,
+    bucket: str | None = None,
+    prefix: str | None = None,
+    *,
+    sort: Sequence[str] | None = ("key",),
+    reverse: bool = False,
+    versions: bool = False,
+    **options,
+) -> DataFrame:
+    """A listing of an inventory table as one lazy DataFrame; ``sort=None`` leaves the rows in any order. The other options
+    are those of :func:`entries`."""
+    found = entries(df, bucket, prefix, versions=versions, **options)
+    return found if sort is None else sort_listing(found, sort, reverse, versions)
 
 
 def bucket_listing(

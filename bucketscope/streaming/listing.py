@@ -12,11 +12,16 @@ from pyspark.sql.types import StructType
 from bucketscope.functions.keys import prefix_at_depth
 from bucketscope.operators.filters import FilterConfig, apply_filters
 from bucketscope.operators.summary import total_columns
+from bucketscope.plans.listing import entries
 from bucketscope.schema import PREFIX
+from bucketscope.session import stored
 from bucketscope.sources.layout import check_files, check_rows
 from bucketscope.sources.targets import under
 
 SALTS = 16
+#: Folders of micro-batches that are merged into one.
+MERGED = 16
+PREFIX_SCHEMA = "bucket string, entry_type string, key string"
 
 
 def read_stream(spark: SparkSession, path: str, schema: StructType, files_per_trigger: int | None = None) -> DataFrame:
@@ -36,9 +41,21 @@ def read_stream(spark: SparkSession, path: str, schema: StructType, files_per_tr
     return check_rows(reader.parquet(path))
 
 
-def stream_listing(sdf: DataFrame, config: FilterConfig = FilterConfig(), prefix: str | None = None) -> DataFrame:
-    """Rows that pass, as they arrive; keeps no state."""
-    return apply_filters(under(sdf, prefix), config)
+def stream_listing(
+    sdf: DataFrame, config: FilterConfig = FilterConfig(), prefix: str | None = None, *, whole: bool = True, **options
+) -> DataFrame:
+    """Rows that pass, as they arrive; keeps no state.
+
+    With ``whole=False`` all stages of a listing take part, in its order: bucket, mode, directories, hidden markers, hidden
+    directories, filters (the options of :func:`~bucketscope.plans.listing.entries`, one level unless ``recursive`` or
+    ``max_depth`` is given). Directories are then told once each, from the first key below them, for which the stream
+    keeps those it has told; where they are too many for that, take :func:`emit_prefixes` and ``objects_only``.
+    """
+    if whole:
+        if options:
+            raise ValueError(f"options of a staged listing: {', '.join(sorted(options))}")
+        return apply_filters(under(sdf, prefix), config)
+    return entries(sdf, prefix=prefix, filters=config, **options)
 
 
 def stream_prefixes(sdf: DataFrame, prefix: str | None = None, depth: int = 1) -> DataFrame:
@@ -55,6 +72,74 @@ def stream_prefixes(sdf: DataFrame, prefix: str | None = None, depth: int = 1) -
     return once.select("bucket", F.lit(PREFIX).alias("entry_type"), F.col("at").alias("key"))
 
 
+def emit_prefixes(sdf: DataFrame, path: str, checkpoint: str, prefix: str | None = None, depth: int = 1) -> StreamingQuery:
+    """Process what is available and write each directory at the boundary once below ``path``, with no stream state.
+
+    What was written is what was seen: the directories of a micro-batch are looked up in the folders of those before it,
+    and the new ones become a folder of their own, so a batch that runs again finds the same and overwrites itself. Folders
+    are sorted, and a batch reads only the part of them between its first and last directory. After ``MERGED`` folders they
+    are merged into one. :func:`read_prefixes` reads what is complete.
+    """
+    _checked(sdf.sparkSession, path, checkpoint, None)
+    prefix = prefix or ""
+    found = under(sdf, prefix).select("bucket", prefix_at_depth(F.col("key"), prefix, depth).alias("key"))
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        _merge(spark, path, batch_id)
+        new = stored(batch.where("key is not null").distinct(), "prefixes")
+        least, most = new.agg(F.min(F.struct("bucket", "key")), F.max(F.struct("bucket", "key"))).first()
+        before = _seen(spark, path, batch_id)
+        if before is not None and least is not None:
+            place = F.col("bucket").between(least["bucket"], most["bucket"])
+            if least["bucket"] == most["bucket"]:
+                place = place & F.col("key").between(least["key"], most["key"])
+            again = before.where(place).select("bucket", "key").join(new, ["bucket", "key"], "left_semi")
+            new = new.join(again, ["bucket", "key"], "left_anti")
+        rows = new.select("bucket", F.lit(PREFIX).alias("entry_type"), "key")
+        rows.repartitionByRange("bucket", "key").sortWithinPartitions("bucket", "key").write.mode("overwrite").parquet(f"{path}/batch-{batch_id}")
+
+    return found.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _complete(spark: SparkSession, path: str, kind: str) -> list[int]:
+    names = [n.removeprefix(f"{kind}-") for n in _path(spark, path).names() if n.startswith(f"{kind}-")]
+    return sorted(int(n) for n in names if _path(spark, f"{path}/{kind}-{n}/_SUCCESS").exists())
+
+
+def _folders(spark: SparkSession, path: str, before: int | None = None) -> list[str]:
+    """Folders that hold what batches before ``before`` (or all) have seen: the newest merged one, and those after it."""
+    merged = [n for n in _complete(spark, path, "merged") if before is None or n < before]
+    since = merged[-1] if merged else -1
+    batches = [n for n in _complete(spark, path, "batch") if n > since and (before is None or n < before)]
+    return [f"{path}/merged-{n}" for n in merged[-1:]] + [f"{path}/batch-{n}" for n in batches]
+
+
+def _seen(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
+    folders = _folders(spark, path, before)
+    return spark.read.schema(PREFIX_SCHEMA).parquet(*folders) if folders else None
+
+
+def _merge(spark: SparkSession, path: str, batch_id: int) -> None:
+    """Merge the folders of the batches before this one when they are many, then drop what the one before held."""
+    folders = _folders(spark, path, batch_id)
+    if len(folders) <= MERGED:
+        return
+    rows = spark.read.schema(PREFIX_SCHEMA).parquet(*folders)
+    ordered = rows.repartitionByRange("bucket", "key").sortWithinPartitions("bucket", "key")
+    ordered.write.mode("overwrite").parquet(f"{path}/merged-{batch_id - 1}")
+    for folder in folders:
+        _path(spark, folder).delete()
+
+
+def read_prefixes(spark: SparkSession, path: str) -> DataFrame:
+    """The directories that :func:`emit_prefixes` has written so far."""
+    found = _seen(spark, path)
+    if found is None:
+        raise ValueError(f"no prefixes at {path}")
+    return found
+
+
 def stream_summary(sdf: DataFrame, by: Sequence[str | Column] = ("bucket",)) -> DataFrame:
     """Running totals per group, for ``update`` or ``complete`` output."""
     return sdf.groupBy(*by).agg(*total_columns())
@@ -88,7 +173,8 @@ def _checked(spark: SparkSession, path: str, checkpoint: str, log: str | None) -
     The sink keeps a log of its own at the path. A new checkpoint counts batches from 0 again, which the log has as
     written: they would be skipped without an error.
     """
-    written = _path(spark, f"{path}/{log}").exists() if log else bool(_batches(spark, path))
+    merged = any(n.startswith("merged-") for n in _path(spark, path).names())
+    written = _path(spark, f"{path}/{log}").exists() if log else merged or bool(_batches(spark, path))
     if written and not _path(spark, f"{checkpoint}/metadata").exists():
         raise ValueError(f"{path} was written with another checkpoint than {checkpoint}")
 

@@ -1,10 +1,18 @@
 import math
+import random
 from collections import Counter
 
 import pytest
 from conftest import row
 
-from bucketscope.operators.audit import audit_pages, estimate_requests, level_requests, reconcile
+from bucketscope.operators.audit import (
+    audit_pages,
+    differing_prefixes,
+    estimate_requests,
+    level_requests,
+    reconcile,
+    reconcile_by_prefix,
+)
 from bucketscope.operators.hierarchy import list_level
 from bucketscope.schema import PAGE_LOG_SCHEMA
 
@@ -97,3 +105,37 @@ def test_reconcile(rows):
         "gone": ("missing", 1, 0), "twice": ("duplicate", 1, 2), "new": ("unexpected", 0, 1), "thinned": ("missing", 2, 1),
     }
     assert Counter(found) and reconcile(expected, expected).count() == 0
+
+
+def _keys(spark, n, seed=1):
+    rng = random.Random(seed)
+    return [(f"b{i % 3}", f"{rng.choice('xyz')}/{rng.randrange(4)}/{rng.choice(['', 'd/'])}k{i}", f"v{i}") for i in range(n)]
+
+
+@pytest.mark.parametrize("limit", [1 << 20, 0])
+def test_only_directories_that_differ_are_compared(spark, limit):
+    schema = "bucket string, key string, version_id string"
+    first = _keys(spark, 600)
+    second = [r for i, r in enumerate(first) if i not in (17, 400)] + [first[3], ("b1", "x/new/k", "v"), ("b0", "top", None)]
+    # two versions change places, one value moves to another column, a row without a version
+    swapped = [(b, k, "v6" if v == "v9" else "v9" if v == "v6" else v) for b, k, v in second]
+    expected, actual = spark.createDataFrame(first, schema), spark.createDataFrame(swapped, schema)
+    plain = sorted(map(str, reconcile(expected, actual).collect()))
+    for depth in (1, 2, 5):
+        assert sorted(map(str, reconcile_by_prefix(expected, actual, depth=depth, broadcast_bytes=limit).collect())) == plain
+    keys = [(r["bucket"], r["key"]) for r in reconcile(expected, actual).collect()]
+    wanted = {(b, n, "/".join(k.split("/")[:n]) + "/" if n else "") for b, k in keys for n in range(min(k.count("/"), 2) + 1)}
+    assert {tuple(r) for r in differing_prefixes(expected, actual).collect()} == wanted
+    within = reconcile_by_prefix(expected, actual, prefix="x/").collect()
+    assert sorted(map(str, within)) == sorted(s for s in plain if "key='x/" in s)
+
+
+def test_equal_inventories_shuffle_no_key(spark):
+    schema = "bucket string, key string, version_id string"
+    rows = _keys(spark, 300)
+    expected, actual = spark.createDataFrame(rows, schema), spark.createDataFrame(rows[::-1], schema).repartition(5)
+    found = reconcile_by_prefix(expected, actual)
+    assert found.collect() == [] and differing_prefixes(expected, actual).collect() == []
+    assert found.columns == reconcile(expected, actual).columns
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "LocalRelation" in plan and "Scan" not in plan

@@ -8,9 +8,13 @@ from pyspark.sql import functions as F
 from bucketscope.operators.filters import FilterConfig, apply_filters
 from bucketscope.operators.hierarchy import list_recursive
 from bucketscope.operators.summary import summarize
+from bucketscope.plans.listing import listing
 from bucketscope.schema import LISTING_SCHEMA
+from bucketscope.streaming import listing as streaming
 from bucketscope.streaming.listing import (
     append_to,
+    emit_prefixes,
+    read_prefixes,
     read_stream,
     read_totals,
     refresh_totals,
@@ -122,3 +126,45 @@ def test_a_failing_filter_stops_the_stream(spark, inventory, tmp_path):
         query.awaitTermination()
     # nothing of the failed batch was committed
     assert not (tmp_path / "out").exists() or spark.read.schema(LISTING_SCHEMA).parquet(str(tmp_path / "out")).count() == 0
+
+
+def test_prefixes_once_without_stream_state(spark, rows, tmp_path, monkeypatch):
+    """Over restarts, a batch that runs again, and merges: each directory once, no state, few folders."""
+    monkeypatch.setattr(streaming, "MERGED", 3)
+    source, out, state = (str(tmp_path / n) for n in ("inventory", "out", "state"))
+    for first in range(0, 400, 40):
+        batch(rows, first, 40).coalesce(2).write.mode("append").parquet(source)
+        query = emit_prefixes(read_stream(spark, source, LISTING_SCHEMA, 1), out, state, depth=2)
+        query.awaitTermination()
+        assert all(not p.stateOperators for p in query.recentProgress)
+        folded = list_recursive(spark.read.parquet(source), max_depth=2).filter(F.col("entry_type") == "PREFIX")
+        found = read_prefixes(spark, out).collect()
+        assert sorted((r["bucket"], r["key"]) for r in found) == sorted((r["bucket"], r["key"]) for r in folded.collect())
+    assert len(list((tmp_path / "out").iterdir())) <= 7
+    # the last batch again, as after a crash before it was committed
+    last = max(int(p.name) for p in (tmp_path / "state" / "commits").iterdir() if p.name.isdigit())
+    before = sorted(map(str, read_prefixes(spark, out).collect()))
+    for name in (f"{last}", f".{last}.crc"):
+        (tmp_path / "state" / "commits" / name).unlink(missing_ok=True)
+    emit_prefixes(read_stream(spark, source, LISTING_SCHEMA, 1), out, state, depth=2).awaitTermination()
+    assert sorted(map(str, read_prefixes(spark, out).collect())) == before
+    with pytest.raises(ValueError, match="another checkpoint"):
+        emit_prefixes(read_stream(spark, source, LISTING_SCHEMA), out, str(tmp_path / "new"))
+    with pytest.raises(ValueError, match="no prefixes"):
+        read_prefixes(spark, str(tmp_path / "none"))
+
+
+@pytest.mark.parametrize("options", [
+    {}, {"versions": True}, {"max_depth": 2, "versions": True, "hide_markers": True}, {"bucket": "b1", "recursive": True}, {"objects_only": True, "max_depth": 1, "versions": True},
+])
+def test_a_staged_stream_gives_what_a_listing_gives(spark, rows, inventory, tmp_path, options):
+    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+    for more in (0, 150):
+        if more:
+            batch(rows, more, 50).write.mode("append").parquet(inventory)
+        staged = stream_listing(read_stream(spark, inventory, LISTING_SCHEMA, 2), CONFIG, "p", whole=False, **options)
+        append_to(staged, out, state).awaitTermination()
+        expected = listing(spark.read.parquet(inventory), prefix="p", filters=CONFIG, sort=None, **options)
+        assert sorted(map(str, spark.read.parquet(out).collect())) == sorted(map(str, expected.collect()))
+    with pytest.raises(ValueError, match="staged"):
+        stream_listing(staged, CONFIG, bucket="b")
