@@ -36,6 +36,9 @@ ANY = "|".join(f"(?:{p})" for p in [*(p for kind, p in PATTERNS.items() if kind
 FIRST_DAY = "1900-01-01"
 DAYS = (252, 290)
 
+# Groups are 01 to 99, serial numbers 0001 to 9999.
+GROUPS, SERIALS = 99, 9999
+
 # In a marked text, MARK begins each piece and the next character says what it is.
 MARK, LITERAL, FOUND, PLAIN = "\ue000", "\x01", "\x02", "\x03"
 
@@ -133,9 +136,13 @@ def _date(value: Column, key: str) -> Column:
 
 
 def _ssn(value: Column, key: str) -> Column:
+    """The area stays; group and serial number are permuted among those that a valid number can have."""
     valid = value.rlike(r"^(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}$")
-    # the area stays, so that the number stays a possible one
-    return F.when(valid, F.concat(F.substring(value, 1, 4), permuted_text(F.substring(value, 5, 7), key, "ssn")))
+    group, serial = (F.substring(value, at, n).cast("bigint") for at, n in ((5, 2), (8, 4)))
+    changed = permuted_number((group - 1) * SERIALS + serial - 1, (GROUPS, SERIALS), key, "ssn")
+    spelt = lambda n, width: F.lpad((n + 1).cast("string"), width, "0")
+    parts = spelt(F.floor(changed / SERIALS), 2), F.lit("-"), spelt(changed % SERIALS, 4)
+    return F.when(valid, F.concat(F.substring(value, 1, 4), *parts))
 
 
 def _phone(value: Column, key: str) -> Column:

@@ -319,3 +319,16 @@ def test_training_rows_are_bounded(spark):
     assert found.count() == 100
     few = quality.training_features(docs.where("text like 'good%'"), labels, training_documents=50)
     assert few.count() == 40 - len(out) == few.select("_id").distinct().count()
+
+
+def test_pseudonyms_of_social_security_numbers_are_valid_and_distinct(spark):
+    rng = random.Random(3)
+    given = sorted({f"{rng.choice(['001', '123', '899'])}-{rng.randrange(1, 100):02d}-{rng.randrange(1, 10000):04d}" for _ in range(3000)})
+    df = spark.createDataFrame([(i, f"no {v}.") for i, v in enumerate(given)], "doc_id long, text string")
+    found = [r["text"][3:-1] for r in pseudonyms.pseudonymise(df, "k").orderBy("doc_id").collect()]
+    assert all(re.fullmatch(r"\d{3}-(?!00)\d{2}-(?!0000)\d{4}", v) for v in found)
+    assert len(set(found)) == len(given) and all(a[:4] == b[:4] for a, b in zip(given, found))
+    assert sum(a != b for a, b in zip(given, found)) > 0.99 * len(given)
+    odd = ["000-12-3456", "666-12-3456", "900-12-3456", "123-00-4567", "123-45-0000"]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(odd)], "doc_id long, text string")
+    assert [r["text"] for r in pseudonyms.pseudonymise(df, "k").orderBy("doc_id").collect()] == odd
