@@ -14,11 +14,13 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bucketscope.operators.hierarchy import latest_marked, list_recursive, write_sorted
+from bucketscope.functions.keys import prefix_at_depth
+from bucketscope.operators.hierarchy import latest_marked, prefix_rows, write_sorted
 from bucketscope.operators.versions import current_view
 from bucketscope.schema import DELETE_MARKER, LISTING_SCHEMA, OBJECT, PAGE_LOG_SCHEMA, PREFIX
 from bucketscope.session import scratch
 from bucketscope.sources.manifest import write_manifest
+from bucketscope.sources.targets import under
 
 BUCKET = "concat('bkt-', cast(l_suppkey % 5 as string), case when l_suppkey % 5 = 4 then '--x-s3' else '' end)"
 KEY = """case l_partkey % 50
@@ -181,8 +183,7 @@ def objects(spark: SparkSession, sf_dir: str) -> DataFrame:
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every version and delete marker, and as PREFIX rows the directories three levels below ``data/``."""
     rows = versions(spark, sf_dir)
-    folded = list_recursive(rows, "data/", max_depth=3).filter(F.col("entry_type") == PREFIX)
-    return rows.unionByName(folded)
+    return rows.unionByName(prefix_rows(under(rows, "data/"), prefix_at_depth(F.col("key"), "data/", 3), like=rows))
 
 
 def tree_path(spark: SparkSession, sf_dir: str) -> str:

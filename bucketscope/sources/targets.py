@@ -18,6 +18,7 @@ PUSHED_TARGETS = 32
 BROADCAST_BYTES = 32 << 20
 ROW_BYTES = 64  # what a broadcast row takes beside its text
 RANGES_PER_PARTITION = 4
+HOT_SHARE, HOT_ROWS = 10_000, 1000  # a key with more rows than one in so many, and than so many, is hot
 NAME_DIGITS = 6  # digits in front of a bucket's name that say how long it is
 
 
@@ -52,7 +53,7 @@ def under_targets(df: DataFrame, targets: DataFrame, broadcast_bytes: int = BROA
     exactly when its head of the prefix's length equals it, so the join is on equality, with a probe per prefix length that
     occurs. More are matched as key intervals, see :func:`matches`, by an exchange of the distinct keys, whatever
     the number of lengths. The rows then find their key's matches; they are shuffled, once, only where these take more than
-    ``broadcast_bytes`` too. Up to ``PUSHED_TARGETS`` also narrow the scan, as plain prefix tests.
+    ``broadcast_bytes`` too, and then without those of hot keys. Up to ``PUSHED_TARGETS`` also narrow the scan, as plain prefix tests.
 
     Rows with a null bucket or key are under no target, and neither is a target without a bucket.
     """
@@ -76,14 +77,24 @@ def under_targets(df: DataFrame, targets: DataFrame, broadcast_bytes: int = BROA
     lengths = sorted({NAME_DIGITS + row["named"] + row["n"] for row in sizes})
     found = stored(matches(df, wanted, lengths), "matches")
     size = F.octet_length("bucket") + F.octet_length("key") + 4 * F.size("_lengths") + F.lit(ROW_BYTES)
-    few = (found.agg(F.sum(size)).first()[0] or 0) <= broadcast_bytes
-    joined = df.join(F.broadcast(found) if few else found.hint("merge"), ["bucket", "key"])
+    taken, rows = found.agg(F.coalesce(F.sum(size), F.lit(0)), F.coalesce(F.sum("_rows"), F.lit(0))).first()
+    on = ["bucket", "key"]
+    if taken <= broadcast_bytes:
+        joined = df.join(F.broadcast(found), on)
+    else:
+        # each has at least one in HOT_SHARE of the rows, so there are at most HOT_SHARE of them; theirs are not shuffled
+        hot = F.col("_rows") >= max(HOT_ROWS, rows // HOT_SHARE + 1)
+        joined = df.join(found.where(~hot).hint("merge"), on)
+        if not found.where(hot).isEmpty():
+            rest = df.join(F.broadcast(found.where(hot).select(*on)), on, "left_anti")
+            joined = rest.join(found.where(~hot).hint("merge"), on).unionByName(df.join(F.broadcast(found.where(hot)), on))
     each = joined.withColumn("_length", F.explode("_lengths"))
     return each.select(*df.columns, F.substring("key", F.lit(1), F.col("_length")).alias("target_prefix"))
 
 
 def matches(df: DataFrame, wanted: DataFrame, lengths: list[int]) -> DataFrame:
-    """``bucket, key, _lengths``: for each distinct key under a target, the lengths of the prefixes that it is under.
+    """``bucket, key, _lengths, _rows``: for each distinct key under a target, the lengths of the prefixes that it is under,
+    and the number of its rows.
     ``lengths`` are those that targets have here, behind their bucket's name and its ``NAME_DIGITS``.
 
     An interval join by a sweep. A target is the interval of the keys that begin with it, and intervals nest: in the
@@ -96,7 +107,7 @@ def matches(df: DataFrame, wanted: DataFrame, lengths: list[int]) -> DataFrame:
     ship_package(spark)
     # bucket and key as one text, in which no bucket is the beginning of another
     name = F.concat(F.lpad(F.length("bucket").cast("string"), NAME_DIGITS, "0"), "bucket")
-    narrow = df.select("bucket", "key").where("bucket is not null and key is not null").distinct()
+    narrow = df.select("bucket", "key").where("bucket is not null and key is not null").groupBy("bucket", "key").agg(F.count(F.lit(1)).alias("_rows"))
     keys = stored(narrow.select("*", F.concat(name, "key").alias("address"), F.length(name).alias("skip")), "keys")
     sought = stored(wanted.select(F.concat(name, "target_prefix").alias("address")), "targets")
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -132,9 +143,9 @@ def matches(df: DataFrame, wanted: DataFrame, lengths: list[int]) -> DataFrame:
     swept = ranged.repartition("range").sortWithinPartitions("range", "address").mapInArrow(sweep, "range int, address string, holders array<int>")
     opening = spark.createDataFrame([(n, s, open_at.get(n, [])) for n, s in enumerate(starts)], swept.schema)
     none = F.lit(None)
-    events = swept.select("*", F.lit(1).alias("kind"), none.cast("string").alias("bucket"), none.cast("string").alias("key"), none.cast("int").alias("skip"))
+    events = swept.select("*", F.lit(1).alias("kind"), none.cast("string").alias("bucket"), none.cast("string").alias("key"), none.cast("int").alias("skip"), none.cast("long").alias("_rows"))
     events = events.unionByName(opening.withColumn("kind", F.lit(0)), allowMissingColumns=True).unionByName(
-        keys.select(range_of(F.col("address"), cuts).cast("int").alias("range"), "address", F.lit(2).alias("kind"), "bucket", "key", "skip"),
+        keys.select(range_of(F.col("address"), cuts).cast("int").alias("range"), "address", F.lit(2).alias("kind"), "bucket", "key", "skip", "_rows"),
         allowMissingColumns=True,
     )
     so_far = Window.partitionBy("range").orderBy("address", "kind").rowsBetween(Window.unboundedPreceding, 0)
@@ -142,5 +153,5 @@ def matches(df: DataFrame, wanted: DataFrame, lengths: list[int]) -> DataFrame:
     met = events.withColumn("last", last).where(F.col("kind") == 2)
     begin = lambda text, n: F.substring(text, F.lit(1), n)
     agreed = F.filter("last.holders", lambda n: begin(F.col("address"), n) == begin(F.col("last.address"), n))
-    found = met.select("bucket", "key", F.transform(agreed, lambda n: n - F.col("skip")).alias("_lengths"))
+    found = met.select("bucket", "key", F.transform(agreed, lambda n: n - F.col("skip")).alias("_lengths"), "_rows")
     return found.where(F.size("_lengths") > 0)
