@@ -154,8 +154,8 @@ def training_features(
 
     kind = sample.schema["_id"].dataType.simpleString()
     ready = in_python(sample).mapInArrow(featurise, f"_id {kind}, _label int, buckets binary, shares binary")
-    # where few identifiers have very many rows: no more of them than of as many documents
-    return ready.orderBy(F.xxhash64("_id", "_label", "buckets")).limit(2 * training_documents)
+    # where few identifiers have very many rows: any of them, no more than of as many documents; else this keeps all
+    return ready.limit(2 * training_documents)
 
 
 def fit(docs: DataFrame, labels: DataFrame, **options) -> np.ndarray:
