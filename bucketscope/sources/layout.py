@@ -11,8 +11,6 @@ from collections.abc import Iterator, Sequence
 from urllib.parse import unquote
 
 import pyarrow as pa
-from pyarrow import fs, orc
-from pyarrow import parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,6 +62,10 @@ def data_files(spark: SparkSession, path: str) -> DataFrame:
 
 def _file_layout(file: str, form: str, fields: Sequence[str]) -> list[tuple[str, str]]:
     """Columns of a listing and their types, from the file's own schema or the names of its directories."""
+    # here, so that Python workers of other operators, which import this package, do not load file systems and readers
+    from pyarrow import fs, orc
+    from pyarrow import parquet as pq
+
     system, place = fs.FileSystem.from_uri(file)
     with system.open_input_file(place) as opened:
         schema = pq.read_schema(opened) if form == "parquet" else orc.ORCFile(opened).schema
@@ -81,6 +83,8 @@ def layouts(spark: SparkSession, path: str, form: str) -> list[tuple[str, dict[s
     Footers are read by tasks, grouped there and by Spark, so the driver sees layouts and not files. A file that cannot be
     read raises. Where Arrow does not know the file system, see :func:`_layouts_by_rows`.
     """
+    from pyarrow import fs
+
     files = data_files(spark, path)
     first = files.first()
     if first is None:
