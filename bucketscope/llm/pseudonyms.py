@@ -1,8 +1,8 @@
 """Format-preserving pseudonyms for personal data (operator 8), in DataFrame operations only.
 
-Card and phone numbers, social security numbers, network addresses, dates and e-mail names are found by pattern and
-validated. A Feistel network keyed by a secret permutes each within its format: digits stay digits, a card number keeps
-a right check digit, an address has octets up to 255, a date is a date. The permutation has no state, so equal values
+Card, phone and bank account numbers (IBAN), social security numbers, network addresses, dates and e-mail names are found
+by pattern and validated. A Feistel network keyed by a secret permutes each within its format: digits stay digits, a card number keeps
+a right check digit and an account number right check digits, an address has octets up to 255, a date is a date. The permutation has no state, so equal values
 become equal pseudonyms in every document, and different ones stay different. Everything else is left as it is.
 
 The round function is SHA-256 over the key, the kind of value, the round and the other half.
@@ -21,10 +21,12 @@ ROUNDS = 8
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+)+",
     "ip": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])",
-    "date": r"(?<![0-9/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9/-])",
+    "date": r"(?<![0-9/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4}"
+    r"|[1-9][0-9]?(?:\.[1-9][0-9]?\.|/[1-9][0-9]?/)[0-9]{4}|[0-9]{2}(?:\.[0-9]{2}\.|/[0-9]{2}/)[0-9]{2}(?!\.[0-9]))(?![0-9/-])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}+|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "phone": r"(?<![0-9+])(?:\+[0-9]{1,3}[ -]?)?(?:\([0-9]{2,4}\)[ -]?[0-9]{3,4}|[0-9]{3}[-. ][0-9]{3})[-. ][0-9]{4}(?![0-9])"
-    r"|(?<![0-9+])\+[0-9]{1,3}(?:[ -]?[0-9]{2,4}){2,4}(?![0-9])",
+    r"|(?<![0-9+])\+[0-9]{1,3}(?:[ -]?[0-9]{2,4}){2,4}(?![0-9])|(?<![0-9A-Za-z+.,/_=-])[2-9][0-9]{2}[2-9][0-9]{6}(?![0-9A-Za-z/_=-]|[.,][0-9])",
     "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
 }
 #: A whole run of at least 13 digits, up to what begins another kind: cards in it can stand next to other numbers.
@@ -36,6 +38,13 @@ ANY = "|".join(f"(?:{p})" for p in [*(p for kind, p in PATTERNS.items() if kind
 FIRST_DAY = "1900-01-01"
 DAYS = (252, 290)
 
+# The days of dates with years of two digits, 75 x 487 of them from this one.
+SHORT_FIRST_DAY = "2000-01-01"
+SHORT_DAYS = (75, 487)
+
+# Area codes and exchanges of ten-digit phone numbers begin with 2 to 9. The numbers are 80,000 x 80,000.
+TEN_DIGITS = (80_000, 80_000)
+
 # Groups are 01 to 99, serial numbers 0001 to 9999.
 GROUPS, SERIALS = 99, 9999
 
@@ -114,24 +123,53 @@ def _ip(value: Column, key: str) -> Column:
     return F.when(F.forall(octets, lambda o: o < 256), F.concat_ws(".", *parts))
 
 
+def _iban(value: Column, key: str) -> Column:
+    """The country stays, the account number is permuted, and the check digits are made anew."""
+
+    def rest(text: Column) -> Column:
+        """The remainder by 97 that the check digits make 1."""
+        turned = F.concat(F.substring(text, F.lit(5), F.length(text)), F.substring(text, 1, 4))
+        codes = F.transform(F.split(F.replace(turned, F.lit(" "), F.lit("")), ""), F.ascii)
+        step = lambda r, c: (F.when(c > 64, r * 100 + c - 55).when(c > 47, r * 10 + c - 48).otherwise(r)) % 97
+        return F.aggregate(codes, F.lit(0), step)
+
+    country, account = F.substring(value, 1, 2), F.substring(value, F.lit(5), F.length(value))
+    changed = permuted_text(account, key, "iban")
+    check = F.lpad((98 - rest(F.concat(country, F.lit("00"), changed))).cast("string"), 2, "0")
+    size = F.length(F.replace(value, F.lit(" "), F.lit("")))
+    right = size.between(15, 34) & ~F.substring(value, 3, 2).isin("00", "01", "99") & (rest(value) == 1)
+    return F.when(right, F.concat(country, check, changed))
+
+
 def _date(value: Column, key: str) -> Column:
-    start = F.lit(FIRST_DAY).cast("date")
-    moved = lambda day: permuted_number(day, DAYS, key, "date")
-    past_12 = lambda day: F.dayofmonth(F.date_add(start, day.cast("int"))) > 12
-    # Slash dates have the month first where that is a date. The others, whose first number is above 12, are permuted
-    # among themselves: the permutation is repeated until it comes back to such a day, which it does within few turns.
-    walked = lambda day: F.aggregate(
-        F.sequence(F.lit(1), F.lit(100)), moved(day), lambda at, turn: F.when(past_12(at), at).otherwise(moved(at))
-    )
+    def walked(day: Column, sizes: tuple[int, int], kind: str, first: str, fits) -> Column:
+        """The permutation, repeated until it comes back to a day that the form can have, which it does within few turns."""
+        moved = lambda at: permuted_number(at, sizes, key, kind)
+        able = lambda at: fits(F.date_add(F.lit(first).cast("date"), at.cast("int")))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(100)), moved(day), lambda at, turn: F.when(able(at), at).otherwise(moved(at)))
+
+    # Slash dates have the month first where that is a date; the others, whose first number is above 12, are permuted
+    # among themselves. So are dates written without leading zeros, among those that would have one.
+    past_12 = lambda date: F.dayofmonth(date) > 12
+    one_digit = lambda date: (F.dayofmonth(date) < 10) | (F.month(date) < 10)
+    one_past_12 = lambda date: (F.dayofmonth(date) > 12) & (F.month(date) < 10)
+    bare = r"^(?!\d\d[./]\d\d[./])"
     forms = [
-        ("yyyy-MM-dd", r"^\d{4}-", moved), ("dd.MM.yyyy", r"^\d{2}\.", moved),
-        ("dd/MM/yyyy", r"^(?:1[3-9]|[23]\d)/", walked), ("MM/dd/yyyy", r"^(?:0\d|1[0-2])/", moved),
+        ("yyyy-MM-dd", r"^\d{4}-", None), ("dd.MM.yyyy", r"^\d\d\.\d\d\.\d{4}$", None),
+        ("dd/MM/yyyy", r"^(?:1[3-9]|[23]\d)/\d\d/\d{4}$", past_12), ("MM/dd/yyyy", r"^(?:0\d|1[0-2])/\d\d/\d{4}$", None),
+        ("d.M.yyyy", bare + r"[1-9]\d?\.", one_digit),
+        ("d/M/yyyy", bare + r"(?:1[3-9]|[23]\d)/", one_past_12), ("M/d/yyyy", bare + r"(?:[1-9]|1[0-2])/", one_digit),
+        ("dd.MM.yy", r"^\d\d\.\d\d\.\d\d$", None),
+        ("dd/MM/yy", r"^(?:1[3-9]|[23]\d)/\d\d/\d\d$", past_12), ("MM/dd/yy", r"^(?:0\d|1[0-2])/\d\d/\d\d$", None),
     ]
     out = F.lit(None).cast("string")
-    for form, looks, turned in forms:
-        day = F.datediff(F.try_to_timestamp(value, F.lit(form)).cast("date"), start)
-        changed = F.date_add(start, turned(day.cast("bigint")).cast("int"))
-        out = F.when(value.rlike(looks) & day.between(0, DAYS[0] * DAYS[1] - 1), F.date_format(changed, form)).otherwise(out)
+    for form, looks, fits in forms:
+        short = not form.endswith("yyyy") and form.endswith("yy")
+        sizes, kind, first = (SHORT_DAYS, "short date", SHORT_FIRST_DAY) if short else (DAYS, "date", FIRST_DAY)
+        day = F.datediff(F.try_to_timestamp(value, F.lit(form)).cast("date"), F.lit(first).cast("date")).cast("bigint")
+        turned = permuted_number(day, sizes, key, kind) if fits is None else walked(day, sizes, kind, first, fits)
+        changed = F.date_add(F.lit(first).cast("date"), turned.cast("int"))
+        out = F.when(value.rlike(looks) & day.between(0, sizes[0] * sizes[1] - 1), F.date_format(changed, form)).otherwise(out)
     return out
 
 
@@ -146,10 +184,17 @@ def _ssn(value: Column, key: str) -> Column:
 
 
 def _phone(value: Column, key: str) -> Column:
+    # ten digits alone stay such a number
+    digits = lambda at, n: F.substring(value, at, n).cast("bigint")
+    place = ((digits(1, 3) - 200) * 800 + digits(4, 3) - 200) * 10_000 + digits(7, 4)
+    moved = permuted_number(place, TEN_DIGITS, key, "ten digits")
+    head = F.floor(moved / 10_000)
+    spelt = [F.floor(head / 800) + 200, head % 800 + 200, F.lpad((moved % 10_000).cast("string"), 4, "0")]
+    alone = F.when(value.rlike("^[2-9][0-9]{2}[2-9][0-9]{6}$"), F.concat(*[c.cast("string") for c in spelt]))
     # the country code stays
     code = F.regexp_extract(value, r"^(\+[0-9]{1,3}(?=[ (-]))?", 1)
     rest = F.substring(value, F.length(code) + 1, F.length(value))
-    return F.when(F.length(_digits(value)).between(7, 15), F.concat(code, permuted_text(rest, key, "phone")))
+    return F.coalesce(alone, F.when(F.length(_digits(value)).between(7, 15), F.concat(code, permuted_text(rest, key, "phone"))))
 
 
 def _email(value: Column, key: str) -> Column:
@@ -159,7 +204,7 @@ def _email(value: Column, key: str) -> Column:
 
 def pseudonym(value: Column, key: str) -> Column:
     """The pseudonym of a matched value, or null where it is not valid as any kind; the first that fits decides."""
-    makers = {"email": _email, "ip": _ip, "date": _date, "ssn": _ssn, "phone": _phone, "card": _card}
+    makers = {"email": _email, "ip": _ip, "date": _date, "iban": _iban, "ssn": _ssn, "phone": _phone, "card": _card}
     tried = [F.when(value.rlike(f"^(?:{PATTERNS[kind]})$"), makers[kind](value, key)) for kind in PATTERNS]
     return F.coalesce(*tried)
 

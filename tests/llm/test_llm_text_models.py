@@ -332,3 +332,41 @@ def test_pseudonyms_of_social_security_numbers_are_valid_and_distinct(spark):
     odd = ["000-12-3456", "666-12-3456", "900-12-3456", "123-00-4567", "123-45-0000"]
     df = spark.createDataFrame([(i, v) for i, v in enumerate(odd)], "doc_id long, text string")
     assert [r["text"] for r in pseudonyms.pseudonymise(df, "k").orderBy("doc_id").collect()] == odd
+
+
+def test_pseudonyms_of_short_dates_ten_digits_and_accounts(spark):
+    import datetime
+
+    def iban_right(text):
+        plain = text.replace(" ", "")
+        return int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+
+    ibans = ["DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "FR1420041010050500013M02606", "NL91ABNA0417164300"]
+    found = pseudonymised(spark, *[f"({i})" for i in ibans])
+    for (text, n), iban in zip(found, ibans):
+        new = text[1:-1]
+        assert n == 1 and new != iban and new[:2] == iban[:2] and iban_right(new)
+        assert [c.isdigit() for c in new[4:]] == [c.isdigit() for c in iban[4:]] and len(new) == len(iban)
+    wrong = ["DE88370400440532013000", "AB12", "DE8937040044053201300012345678901234567"]
+    assert [n for _, n in pseudonymised(spark, wrong[0], wrong[1])] == [0, 0]
+
+    start = datetime.date(1985, 1, 1)
+    for form, split in ((lambda d: f"{d.month}/{d.day}/{d.year}", "/"), (lambda d: f"{d.day}.{d.month}.{d.year}", ".")):
+        days = [start + datetime.timedelta(days=i) for i in range(250)]
+        texts = [form(d) for d in days if d.day < 10 or d.month < 10]
+        news = pseudonymised(spark, *texts)
+        assert all(n == 1 for _, n in news) and len({t for t, _ in news}) == len(texts)
+        for new, _ in news:
+            one, two, year = map(int, new.split(split))
+            datetime.date(year, *((one, two) if split == "/" else (two, one)))
+            assert not new.startswith("0") and f"{split}0" not in new and min(one, two) < 10
+    news = pseudonymised(spark, *[f"{d:02}.{m:02}.85" for d in range(1, 29) for m in range(1, 13)])
+    assert all(n == 1 for _, n in news) and len({t for t, _ in news}) == 28 * 12
+    assert all(len(t) == 8 and datetime.datetime.strptime(t, "%d.%m.%y") for t, _ in news)
+
+    phones = [f"{200 + i * 7 % 800}{200 + i * 13 % 800}{i:04}" for i in range(300)]
+    news = pseudonymised(spark, *[f"call {p}." for p in phones])
+    assert all(n == 1 for _, n in news) and len({t for t, _ in news}) == 300
+    assert all(len(t) == 16 and t[5] >= "2" and t[8] >= "2" and t[5:15].isdigit() for t, _ in news)
+    stay = ["1234567890", "5551234567.5", "id-5551234567", "31.2.1985", "03/7/1985", "45.13.85", "1.2.10", "13/13/1985"]
+    assert pseudonymised(spark, *stay) == [(t, 0) for t in stay]
