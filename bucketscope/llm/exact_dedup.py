@@ -6,7 +6,8 @@ row is compared in full with the one before it. The order ends in length and ide
 all rows is spread over many buckets; what the buckets say about their first and last runs is put together from one row
 per bucket.
 
-Cost: a sampling pass over the texts, one shuffle of the normalised texts, none after it.
+Cost: a sampling pass over the texts and one shuffle of the normalised texts; after it, only the texts of buckets whose
+neighbour begins with the same digest are shuffled.
 """
 
 from __future__ import annotations
@@ -94,22 +95,27 @@ def _sorted_runs(rows: DataFrame, splitters: list[str]) -> DataFrame:
 def _across_buckets(runs: DataFrame) -> DataFrame:
     """For each first and last run of a bucket, the size and best row of the whole group that it belongs to.
 
-    One row per bucket is put in order here, and nothing else: their number is that of the splitters. Only those whose
-    neighbours are equal in full become one group.
+    One row per bucket, with digests, is put in order here, and nothing else: their number is that of the splitters. Where
+    the digests of neighbours agree, their texts are brought together in a join, and only those equal in full become one
+    group.
     """
     edges = runs.groupBy("bucket").agg(
         F.max("run").alias("runs"),
-        F.max("first_text").alias("first_text"),
-        F.max("last_text").alias("last_text"),
+        F.max(F.when(F.col("first_text").isNotNull(), F.col("digest"))).alias("first_digest"),
+        F.max(F.when(F.col("last_text").isNotNull(), F.col("digest"))).alias("last_digest"),
         F.max_by("run_size", "run").alias("last_size"),
         F.max_by("best", "run").alias("last_best"),
         F.min_by("run_size", "run").alias("first_size"),
         F.min_by("best", "run").alias("first_best"),
     )
     in_order = Window.orderBy("bucket")
-    joined = edges.withColumn(
-        "joined", F.coalesce(F.lag("last_text").over(in_order) == F.col("first_text"), F.lit(False))
-    ).drop("first_text", "last_text")
+    same = F.lag("last_digest").over(in_order) == F.col("first_digest")
+    beside = edges.select("bucket", F.when(same, F.lag("bucket").over(in_order)).alias("before")).where("before is not null")
+    first_texts = runs.where("first_text is not null").select("bucket", "first_text").hint("merge")
+    last_texts = runs.where("last_text is not null").select(F.col("bucket").alias("before"), "last_text").hint("merge")
+    equal = beside.join(first_texts, "bucket").join(last_texts, "before").where("first_text = last_text")
+    equal = equal.select("bucket", F.lit(True).alias("joined"))
+    joined = edges.drop("first_digest", "last_digest").join(equal, "bucket", "left").withColumn("joined", F.coalesce("joined", F.lit(False)))
     # a chain of equal runs begins in a bucket whose last run does not go back to the bucket before
     chain_start = F.when((F.col("runs") > 1) | ~F.col("joined"), F.col("bucket"))
     chains = joined.select(
