@@ -11,22 +11,27 @@ is worked out in blocks of columns, and only where it can reach the threshold:
 * A block of columns is sorted in numpy, and gives the rows that meet in a column. A pair is discarded where the sizes,
   or the columns that are left after the meeting, cannot make the overlap that the sizes ask for.
 * What is left is held against a second bound, from a bit table of each row that is a thirtieth of its set: bits that
-  differ count columns that only one of the two has. What passes that is verified with the whole sets.
+  differ count columns that only one of the two has.
+* For the pairs that pass, overlaps are accumulated: a tile of rows is multiplied with itself one block of columns at a
+  time, and a pair goes as soon as its overlap and what is left of its rows cannot make what the sizes ask for.
 
 A column with few rows gives all their pairs. In larger ones, each row is first paired with a few others, and the links
 found are merged to components. Then rows that meet but are still in different components are compared in the join
-itself, which gives only pairs that pass both bounds. So no join or task puts out all pairs of a large group, and no
-component is missed.
+itself, which gives only pairs that pass both bounds, so copies never make all pairs of a large group. The bound of the
+join tells little of texts with 1,800 shingles and more: where very many such texts share a rare passage, their pairs are
+put out. Columns with more rows than a task should hold do not enter a block: their rows are paired with centres found
+by aggregation. No component is missed.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,9 +50,18 @@ COARSE_WORDS = 16
 #: Counters of shingles and of words; part of the order of shingles, which may be any.
 SHINGLE_COUNTERS = 1 << 20
 WORD_COUNTERS = 1 << 18
-COUNTER_BLOCK = 1 << 16
+COUNTER_BLOCK = 1 << 12
+#: Types of packed counts.
+COUNT_KINDS = ("<u1", "<u2", "<u4", "<i8")
+#: Tasks whose counters are summed in one group.
+SUMMED_TASKS = 256
 #: Entries of a block of columns.
 BLOCK_ENTRIES = 1 << 20
+#: Rows from which a column is not sorted in one task.
+COLUMN_ROWS = 1 << 17
+#: Entries of the rows whose product is worked out at once, and the blocks of columns it is accumulated over.
+PRODUCT_ENTRIES = 1 << 20
+PRODUCT_BLOCKS = 8
 #: Distinct words that a Python worker remembers, none of more than LONG_WORD bytes.
 CACHED = 500_000
 LONG_WORD = 64
@@ -98,51 +112,83 @@ def shingle_set(text: bytes | None) -> np.ndarray:
     return np.unique(shingle_hashes(word_hashes(text)))
 
 
-def corpus_counts(texts: DataFrame) -> np.ndarray:
-    """Counters of shingles, then of words, over all texts (one binary column). Their number is fixed; tasks add up
-    their texts, and blocks of counters add up the tasks."""
+def _packed(counts: np.ndarray) -> bytes:
+    """Counts in the fewest bytes each that hold them."""
+    kind = next(k for k in COUNT_KINDS if counts.max() <= np.iinfo(k).max)
+    return counts.astype(kind).tobytes()
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    kind = next(k for k in COUNT_KINDS if np.dtype(k).itemsize == len(packed) // COUNTER_BLOCK)
+    return np.frombuffer(packed, kind).astype(np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SHINGLE_COUNTERS + WORD_COUNTERS, np.int64)
-        pending: list[np.ndarray] = []
 
-        def add() -> None:
-            if pending:
-                total[:] += np.bincount(np.concatenate(pending), minlength=len(total))
-                pending.clear()
+def counted(rows: DataFrame, size: int, counters: Callable[[bytes | None], list[np.ndarray]]) -> np.ndarray:
+    """How often each of ``size`` counters is named by the values of the one column of ``rows``.
 
+    Tasks add up their values. Their counters are summed block by block, first those of a few hundred tasks, then these
+    sums, so that no group grows with the number of tasks as such; what is left is of fixed size.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size, np.int64)
+        pending: list[np.ndarray] = []
+        waiting = 0
         for batch in batches:
-            waiting = 0
-            for text in batch.column(0):
-                words = word_hashes(text.as_py())
-                shingles = np.unique(shingle_hashes(words))
-                pending.append((shingles & np.uint64(SHINGLE_COUNTERS - 1)).astype(np.int64))
-                pending.append((words & np.uint64(WORD_COUNTERS - 1)).astype(np.int64) + SHINGLE_COUNTERS)
-                waiting += 2 * len(words)
+            for value in batch.column(0):
+                pending += counters(value.as_py())
+                waiting += sum(map(len, pending[-2:]))
                 if waiting > 1 << 22:
-                    add()
-                    waiting = 0
-            add()
+                    total += np.bincount(np.concatenate(pending), minlength=size)
+                    pending, waiting = [], 0
+        if pending:
+            total += np.bincount(np.concatenate(pending), minlength=size)
         blocks = total.reshape(-1, COUNTER_BLOCK)
         used = np.flatnonzero(blocks.any(axis=1))
+        part = np.full(len(used), TaskContext.get().partitionId() // SUMMED_TASKS)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(used.astype(np.int32)), pa.array([blocks[i].astype("<i8").tobytes() for i in used], pa.binary())], ["block", "counts"]
+            [pa.array(used, pa.int32()), pa.array(part, pa.int32()), pa.array([_packed(blocks[i]) for i in used], pa.binary())],
+            ["block", "part", "counts"],
         )
 
     def add_up(group: pa.Table) -> pa.Table:
         total = np.zeros(COUNTER_BLOCK, np.int64)
         for counts in group.column("counts"):
-            total += np.frombuffer(counts.as_py(), "<i8")
-        return pa.table({"block": group.column("block").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
-
-    schema = "block int, counts binary"
-    found = in_python(texts).mapInArrow(run, schema).groupBy("block").applyInArrow(add_up, schema).collect()
-    out = np.zeros(((SHINGLE_COUNTERS + WORD_COUNTERS) // COUNTER_BLOCK, COUNTER_BLOCK), np.int64)
-    for block, counts in found:
-        out[block] = np.frombuffer(bytes(counts), "<i8")
+            total += _unpacked(counts.as_py())
+        return group.slice(0, 1).select(["block", "part"]).append_column("counts", pa.array([_packed(total)], pa.binary()))
+
+    schema = "block int, part int, counts binary"
+    parts = in_python(rows).mapInArrow(run, schema).groupBy("block", "part").applyInArrow(add_up, schema)
+    out = np.zeros((size // COUNTER_BLOCK, COUNTER_BLOCK), np.int64)
+    for block, _, counts in parts.groupBy("block").applyInArrow(add_up, schema).collect():
+        out[block] = _unpacked(bytes(counts))
     return out.ravel()
 
 
+def corpus_counts(texts: DataFrame) -> np.ndarray:
+    """Counters of shingles, then of words, over all texts (one binary column)."""
+
+    def counters(text: bytes | None) -> list[np.ndarray]:
+        words = word_hashes(text)
+        shingles = np.unique(shingle_hashes(words))
+        return [
+            (shingles & np.uint64(SHINGLE_COUNTERS - 1)).astype(np.int64),
+            (words & np.uint64(WORD_COUNTERS - 1)).astype(np.int64) + SHINGLE_COUNTERS,
+        ]
+
+    return counted(texts, SHINGLE_COUNTERS + WORD_COUNTERS, counters)
+
+
+def column_counts(prefixes: DataFrame) -> np.ndarray:
+    """Counters of columns over all prefixes (one binary column); each is at least the rows of any of its columns.
+    Prefixes of equal sets count each."""
+    return counted(prefixes, SHINGLE_COUNTERS, lambda prefix: [column_counter(np.frombuffer(prefix or b"", np.uint64))])
+
+
+def column_counter(columns: np.ndarray) -> np.ndarray:
+    return (columns & np.uint64(SHINGLE_COUNTERS - 1)).astype(np.int64)
+
+
 def order_levels(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """By counter: how far a shingle is above what chance puts into its counter, and how frequent a word is (log2)."""
     shingles, words = counts[:SHINGLE_COUNTERS], counts[SHINGLE_COUNTERS:]
@@ -216,24 +262,76 @@ def incidence(docs: DataFrame, levels: tuple[np.ndarray, np.ndarray]) -> DataFra
     return in_python(docs).mapInArrow(run, "doc_id long, n long, print binary, prefix binary, bits binary, coarse array<long>")
 
 
-def meeting_rows(rows: DataFrame, blocks: int) -> DataFrame:
+def large_counters(counts: np.ndarray, column_rows: int = COLUMN_ROWS) -> np.ndarray:
+    """Which counters may hold a column of more than ``column_rows`` rows; a bound that also grows with their mean."""
+    return counts > column_rows + 2 * counts.mean()
+
+
+def _coded(columns: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
+    """The block of each column, and its number within and across blocks."""
+    block = (columns >> np.uint64(32)) % np.uint64(blocks)
+    return block.astype(np.int32), (columns & np.uint64(0xFFFFFFFF)).astype(np.int64) | (block << np.uint64(32)).astype(np.int64)
+
+
+def _entries(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The columns of the rows ``node, n, prefix`` of a batch, with node, n and place of each."""
+    own = [np.frombuffer(p.as_py(), np.uint64) for p in batch.column(2)]
+    lengths = np.array([len(p) for p in own], np.int64)
+    columns = np.concatenate([*own, np.zeros(0, np.uint64)])
+    node = np.repeat(batch.column(0).to_numpy(), lengths)
+    n = np.repeat(batch.column(1).to_numpy(), lengths)
+    return columns, node, n, np.arange(len(columns)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+
+
+def large_columns(rows: DataFrame, blocks: int, large: Broadcast) -> DataFrame:
+    """As ``meeting_rows``, for the columns of large counters, which no task holds whole.
+
+    Each row is paired with the centre of its column, size class and salt, found by an aggregation that tasks begin.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns, node, n, place = _entries(batch)
+            at = large.value[column_counter(columns)]
+            made = [_coded(columns[at], blocks)[1], node[at], n[at], place[at]]
+            yield pa.RecordBatch.from_arrays([pa.array(m, pa.int64()) for m in made], ["column", "node", "n", "place"])
+
+    entries = stored(in_python(rows).mapInArrow(run, "column long, node long, n long, place long"), "large-columns")
+    salted = entries.select("*", F.explode(F.sequence(F.lit(0), F.lit(STAR_ROUNDS - 1))).alias("salt"))
+    like = F.floor(F.log("n") / F.log(F.lit(100 / PERCENT)) + F.col("salt") / STAR_ROUNDS).alias("like")
+    salted = salted.select("*", like)
+    keys = ["column", "salt", "like"]
+    drawn = F.struct(F.xxhash64("salt", "node").alias("drawn"), "node", "n", "place")
+    centres = stored(salted.groupBy(*keys).agg(F.min(drawn).alias("centre"), F.count(F.lit(1)).alias("members")), "centres")
+    paired = join_groups(salted, centres, keys, "members", STAR_ROUNDS * max(1, entries.count()))
+    able = _possible(F.col("n"), F.col("place"), F.col("centre.n"), F.col("centre.place"))
+    stars = paired.where(able & (F.col("node") != F.col("centre.node"))).select(
+        F.least("node", "centre.node").alias("node"), F.greatest("node", "centre.node").alias("other")
+    )
+    none = F.lit(None).cast("long")
+    pairs = stars.distinct().select(none.alias("column"), "node", "other", none.alias("n"), none.alias("place"))
+    return pairs.unionByName(entries.withColumn("other", none))
+
+
+def meeting_rows(rows: DataFrame, blocks: int, large: np.ndarray) -> DataFrame:
     """Pairs ``node, other``, and ``column, node, n, place`` of each row of the columns that have not given all their
     pairs, from ``node, n, prefix``; what does not apply is null.
 
-    Each batch of rows is cut into blocks of columns, packed; a block is sorted in numpy by one task.
+    Each batch of rows is cut into blocks of columns, packed; a block is sorted in numpy by one task. Columns of ``large``
+    counters are left to ``large_columns``.
     """
+    several = bool(large.any())
+    rows = stored(rows, "prefixes") if several else rows
+    shared = rows.sparkSession.sparkContext.broadcast(large)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [np.frombuffer(p.as_py(), np.uint64) for p in batch.column(2)]
-            lengths = np.array([len(p) for p in own])
-            if not lengths.sum():
+            columns, node, n, place = _entries(batch)
+            small = ~shared.value[column_counter(columns)]
+            columns, node, n, place = columns[small], node[small], n[small], place[small]
+            if not len(columns):
                 continue
-            columns = np.concatenate(own)
-            node = np.repeat(batch.column(0).to_numpy(), lengths)
-            n = np.repeat(batch.column(1).to_numpy(), lengths)
-            place = np.arange(len(columns)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            block = ((columns >> np.uint64(32)) % np.uint64(blocks)).astype(np.int32)
+            block = _coded(columns, blocks)[0]
             order = np.argsort(block, kind="stable")
             at = np.flatnonzero(np.diff(block[order], prepend=-1))
             parts = np.split(order, at[1:])
@@ -273,7 +371,8 @@ def meeting_rows(rows: DataFrame, blocks: int) -> DataFrame:
         })
 
     packed = in_python(rows).mapInArrow(cut, "block int, columns binary, nodes binary, n binary, places binary")
-    return packed.groupBy("block").applyInArrow(meet, "column long, node long, other long, n long, place long")
+    met = packed.groupBy("block").applyInArrow(meet, "column long, node long, other long, n long, place long")
+    return met.unionByName(large_columns(rows, blocks, shared)) if several else met
 
 
 def star_pairs(columns: np.ndarray, nodes: np.ndarray, n: np.ndarray, places: np.ndarray, salt: int) -> np.ndarray:
@@ -323,17 +422,73 @@ def _cross_pairs(met: DataFrame, rows: DataFrame) -> DataFrame:
     return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
 
 
+def overlapping(left: np.ndarray, right: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
+    """Which pairs of rows (by their places in ``rows``, sets of shingles in ascending order) overlap enough.
+
+    The product of the rows with each other is accumulated block of columns by block of columns, for these pairs only.
+    After each block, pairs whose overlap so far cannot reach what their sizes ask for, even if all that is left of the
+    smaller rest were common, are discarded.
+    """
+    sizes = np.array([len(r) for r in rows], np.int64)
+    need = -(-PERCENT * (sizes[left] + sizes[right]) // (100 + PERCENT))
+    overlap = np.zeros(len(left), np.int64)
+    edges = np.arange(1, PRODUCT_BLOCKS, dtype=np.uint64) << np.uint64(64 - (PRODUCT_BLOCKS - 1).bit_length())
+    cuts = np.zeros((len(rows), PRODUCT_BLOCKS + 1), np.int64)
+    cuts[:, 1:-1] = [np.searchsorted(r, edges) for r in rows]
+    cuts[:, -1] = sizes
+    open_ = np.flatnonzero(np.minimum(sizes[left], sizes[right]) >= need)
+    for block in range(PRODUCT_BLOCKS):
+        if not len(open_):
+            break
+        used = np.unique(np.concatenate([left[open_], right[open_]]))
+        lengths = cuts[used, block + 1] - cuts[used, block]
+        entries = np.concatenate([rows[i][cuts[i, block] : cuts[i, block + 1]] for i in used])
+        columns = np.unique(entries, return_inverse=True)[1].astype(np.int64)
+        starts = np.cumsum(lengths) - lengths
+        met = []
+        for side in (left, right):
+            row = np.searchsorted(used, side[open_])
+            pair = np.repeat(np.arange(len(open_)), lengths[row])
+            inside = np.arange(len(pair)) - np.repeat(np.cumsum(lengths[row]) - lengths[row], lengths[row])
+            met.append(pair * (len(columns) + 1) + columns[np.repeat(starts[row], lengths[row]) + inside])
+        # a pair has a column twice where both rows have it
+        both = np.sort(np.concatenate(met))
+        common = both[1:][both[1:] == both[:-1]] // (len(columns) + 1)
+        overlap[open_] += np.bincount(common, minlength=len(open_))
+        rest = np.minimum(sizes[left] - cuts[left, block + 1], sizes[right] - cuts[right, block + 1])
+        open_ = open_[(overlap + rest >= need)[open_]]
+    keep = np.zeros(len(left), bool)
+    keep[open_] = True
+    return keep
+
+
+def _tiles(batch: pa.RecordBatch) -> Iterator[tuple[list[int], list[int], list[np.ndarray]]]:
+    """The pairs of a batch, a tile of rows at a time; equal sets are one row."""
+    left, right, rows, places, entries = [], [], [], {}, 0
+    for pair in zip(batch.column(2), batch.column(3)):
+        for side, values in zip((left, right), pair):
+            packed = values.as_py()
+            at = places.setdefault(packed, len(rows))
+            if at == len(rows):
+                rows.append(np.frombuffer(packed, np.uint64))
+            side.append(at)
+            # a pair costs its entries also where its rows are there already
+            entries += len(rows[at])
+        if entries > PRODUCT_ENTRIES:
+            yield left, right, rows
+            left, right, rows, places, entries = [], [], [], {}, 0
+    if left:
+        yield left, right, rows
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs whose whole sets overlap enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                one, two = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                common = len(np.intersect1d(one, two, assume_unique=True))
-                keep.append(100 * common >= PERCENT * (len(one) + len(two) - common))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+            keep = [overlapping(np.array(left), np.array(right), rows) for left, right, rows in _tiles(batch)]
+            if keep:
+                yield batch.select([0, 1]).filter(pa.array(np.concatenate(keep), pa.bool_()))
 
     own = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     other = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
@@ -430,7 +585,8 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     one_each = linked.groupBy("print", "n").agg(F.min("doc_id").alias("node"), F.min_by("prefix", "doc_id").alias("prefix"))
     entries = classes.agg(F.sum(F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1)).first()[0] or 0
     blocks = max(shuffle_partitions(spark), -(-int(entries) // BLOCK_ENTRIES))
-    met = stored(meeting_rows(one_each.select("node", "n", "prefix"), blocks), "met")
+    large = large_counters(column_counts(linked.select("prefix")))
+    met = stored(meeting_rows(one_each.select("node", "n", "prefix"), blocks, large), "met")
     labels = _labels(texts, linked.select("doc_id", "n", "bits", "coarse"), met)
     if labels is None:
         named = classes.withColumn("component", F.col("node"))

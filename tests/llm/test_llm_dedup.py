@@ -154,3 +154,47 @@ def test_a_shorter_row_of_the_identifier_that_stays_goes(spark):
     docs = spark.createDataFrame([(1, "a b"), (1, "ab")], "doc_id long, text string")
     assert sorted(r["kept"] for r in exact_dedup.exact_duplicates(docs).collect()) == [False, True]
     assert [r["text"] for r in exact_dedup.drop_duplicates(docs).collect()] == ["a b"]
+
+
+def test_overlaps_are_accumulated_over_blocks_of_columns():
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    rows = [np.zeros(0, np.uint64)]
+    for _ in range(60):
+        base = rng.integers(0, 1 << 64, rng.integers(1, 400), dtype=np.uint64)
+        for share in (1.0, 0.95, 0.86, 0.8, 0.3):
+            kept = base[rng.random(len(base)) < share]
+            rows.append(np.unique(np.concatenate([kept, rng.integers(0, 1 << 64, rng.integers(0, 12), dtype=np.uint64)])))
+    # entries of one block of columns only
+    rows += [np.arange(40, dtype=np.uint64), np.arange(5, 45, dtype=np.uint64), np.array([(1 << 64) - 1], np.uint64)]
+    left, right = map(np.array, zip(*itertools.combinations(range(1, len(rows)), 2)))
+    found = jaccard.overlapping(left, right, rows)
+    sets = [set(r.tolist()) for r in rows]
+    wanted = [100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]) for a, b in zip(left, right)]
+    assert found.tolist() == wanted and 60 < sum(wanted) < len(wanted)
+
+
+def test_counters_are_summed_over_many_tasks(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(jaccard, "SUMMED_TASKS", 3)
+    rows = [(i, f"{'the ' * (i % 300)}word{i % 7} and more of text {i}", "en", 1, None) for i in range(400)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(11)
+    found = jaccard.corpus_counts(docs.select(F.col("text").cast("binary")))
+    words = [jaccard.word_hashes(t.encode()) for _, t, *_ in rows]
+    wanted = np.zeros(len(found), np.int64)
+    for w in words:
+        np.add.at(wanted, (w % jaccard.WORD_COUNTERS).astype(np.int64) + jaccard.SHINGLE_COUNTERS, 1)
+        np.add.at(wanted, (np.unique(jaccard.shingle_hashes(w)) % jaccard.SHINGLE_COUNTERS).astype(np.int64), 1)
+    assert (found == wanted).all()
+    assert jaccard.corpus_counts(docs.where("false").select(F.col("text").cast("binary"))).sum() == 0
+
+
+def test_columns_too_large_for_a_task_give_the_same_components(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "large_counters", lambda counts: counts > 6)
+    rows = [*ODD, *near_copies(random.Random(4))]
+    base = [f"hot{i}" for i in range(80)]
+    rows += [(3000 + i, " ".join([*base[: i % 75], f"own{i}", *base[i % 75 + 1 :]]), "en", 1, None) for i in range(120)]
+    found = jaccard.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(5)).collect()
+    assert sorted(map(tuple, found), key=str) == brute_near(rows)
