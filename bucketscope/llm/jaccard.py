@@ -18,7 +18,7 @@ is worked out in blocks of columns, and only where it can reach the threshold:
 A column with few rows gives all their pairs. In larger ones, each row is first paired with a few others, and the links
 found are merged to components. Then rows that meet but are still in different components are compared in the join
 itself, which gives only pairs that pass both bounds, so copies never make all pairs of a large group. The bound of the
-join tells little of texts with 1,800 shingles and more: where very many such texts share a rare passage, their pairs are
+join tells little of texts with 14,000 shingles and more: where very many such texts share a rare passage, their pairs are
 put out. Columns with more rows than a task should hold do not enter a block: their rows are paired with centres found
 by aggregation. No component is missed.
 """
@@ -45,8 +45,9 @@ PERCENT = 75
 FEW_ROWS = 8
 #: How many others per larger column each row is compared with, before all that is left is.
 STAR_ROUNDS = 3
-#: 64-bit words of the coarse parity bits, which a join can compare.
+#: Least and most 64-bit words of the coarse parity bits, which a join can compare; between, at least a bit a shingle.
 COARSE_WORDS = 16
+MOST_COARSE_WORDS = 128
 #: Counters of shingles and of words; part of the order of shingles, which may be any.
 SHINGLE_COUNTERS = 1 << 20
 WORD_COUNTERS = 1 << 18
@@ -205,13 +206,20 @@ def parity_bits(shingles: np.ndarray) -> bytes:
 
 
 def coarse_bits(bits: bytes) -> list[int]:
-    """The parities, folded to a fixed number of words where they are more."""
+    """The parities, folded where they are more than the least number of words: once, then down to the largest number."""
     own = np.frombuffer(bits, np.int64)
-    if len(own) > COARSE_WORDS:
-        own = np.bitwise_xor.reduce(own.reshape(-1, COARSE_WORDS), axis=0)
+    size = min(MOST_COARSE_WORDS, max(COARSE_WORDS, len(own) // 2))
+    if len(own) > size:
+        own = np.bitwise_xor.reduce(own.reshape(-1, size), axis=0)
     return own.tolist()
 
 
+def _folded(coarse: Column) -> Column:
+    """Coarse bits of half as many words."""
+    half = F.floor(F.size(coarse) / 2).cast("int")
+    return F.zip_with(F.slice(coarse, F.lit(1), half), F.slice(coarse, half + 1, half), lambda a, b: a.bitwiseXOR(b))
+
+
 def most_overlap(n: int, bits: bytes, other_n: int, other_bits: bytes) -> int:
     """A bound of the overlap: counters of different parity hold a shingle each that only one of the two sets has."""
     one, two = (np.frombuffer(b, np.uint8) for b in (bits, other_bits))
@@ -406,18 +414,20 @@ def _cross_pairs(met: DataFrame, rows: DataFrame) -> DataFrame:
     several = met.groupBy("column").agg(F.min("component").alias("least"), F.max("component").alias("most"))
     several = several.where("least <> most").select("column")
     left = stored(met.join(several.hint("merge"), "column", "left_semi"), "apart")
-    # a row of a set's coarse bits for each of its columns: of fixed size
+    # a row of a set's coarse bits for each of its columns: 1 KB at most
     bits = rows.select(F.col("doc_id").alias("node"), "n", "coarse").hint("merge")
     with_bits = stored(left.join(bits, ["node", "n"]).distinct(), "apart-bits")
+    with_bits = with_bits.withColumn("folded", _folded(F.col("coarse")))
     x, y = with_bits.alias("x"), with_bits.alias("y")
     apart = (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component"))
     able = _possible(F.col("x.n"), F.col("x.place"), F.col("y.n"), F.col("y.place"))
     sizes = F.col("x.n") + F.col("y.n")
-    differ = F.aggregate(
-        F.zip_with(F.col("x.coarse"), F.col("y.coarse"), lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda t, c: t + F.coalesce(c, F.lit(0))
-    )
-    # sets with fewer counters than the coarse ones compare only with their like; the others are left to the next bound
-    bound = (F.size("x.coarse") != F.size("y.coarse")) | (F.floor((sizes - differ) / 2) * (100 + PERCENT) >= sizes * PERCENT)
+    # of rows of like size one has twice the words of the other at most
+    one = F.when(F.size("x.coarse") > F.size("y.coarse"), F.col("x.folded")).otherwise(F.col("x.coarse"))
+    two = F.when(F.size("y.coarse") > F.size("x.coarse"), F.col("y.folded")).otherwise(F.col("y.coarse"))
+    words = F.zip_with(one, two, lambda a, b: F.bit_count(a.bitwiseXOR(b)))
+    differ = F.aggregate(words, F.lit(0), lambda t, c: t + F.coalesce(c, F.lit(0)))
+    bound = (F.size(one) != F.size(two)) | (F.floor((sizes - differ) / 2) * (100 + PERCENT) >= sizes * PERCENT)
     pairs = x.join(y.hint("merge"), (F.col("x.column") == F.col("y.column")) & apart & able & bound)
     return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
 

@@ -198,3 +198,21 @@ def test_columns_too_large_for_a_task_give_the_same_components(spark, monkeypatc
     rows += [(3000 + i, " ".join([*base[: i % 75], f"own{i}", *base[i % 75 + 1 :]]), "en", 1, None) for i in range(120)]
     found = jaccard.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(5)).collect()
     assert sorted(map(tuple, found), key=str) == brute_near(rows)
+
+
+def test_coarse_bits_bound_the_overlap_of_long_sets(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    for n, m in ((900, 1100), (1800, 2300), (3000, 4000), (9000, 12000)):
+        common = rng.integers(0, 1 << 64, n // 10, dtype=np.uint64)
+        sets = [np.unique(np.concatenate([common, rng.integers(0, 1 << 64, size - n // 10, dtype=np.uint64)])) for size in (n, m)]
+        one, two = (np.array(jaccard.coarse_bits(jaccard.parity_bits(s)), np.int64) for s in sets)
+        while len(one) != len(two):
+            one, two = (np.bitwise_xor(*np.split(b, 2)) if len(b) > min(len(one), len(two)) else b for b in (one, two))
+        bound = (len(sets[0]) + len(sets[1]) - int(np.bitwise_count(one ^ two).sum())) // 2
+        assert len(np.intersect1d(*sets)) <= bound and bound * 175 < 75 * (n + m)
+        assert len(one) <= jaccard.MOST_COARSE_WORDS
+    bits = jaccard.coarse_bits(jaccard.parity_bits(sets[0]))
+    folded = spark.createDataFrame([(bits,)], "coarse array<long>").select(jaccard._folded(F.col("coarse"))).first()[0]
+    assert folded == np.bitwise_xor(*np.split(np.array(bits, np.int64), 2)).tolist()
