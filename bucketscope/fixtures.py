@@ -18,7 +18,7 @@ from bucketscope.functions.keys import prefix_at_depth
 from bucketscope.operators.hierarchy import latest_marked, prefix_rows, write_sorted
 from bucketscope.operators.versions import current_view
 from bucketscope.schema import DELETE_MARKER, LISTING_SCHEMA, OBJECT, PAGE_LOG_SCHEMA, PREFIX
-from bucketscope.session import scratch
+from bucketscope.session import scratch, small_tasks
 from bucketscope.sources.manifest import write_manifest
 from bucketscope.sources.targets import under
 
@@ -134,11 +134,10 @@ ORDERED = ("bucket", "key", "last_modified", "version_id")
 
 
 def derive_versions(lineitem: DataFrame) -> DataFrame:
-    """All versions and delete markers in key order, the latest of each key marked. Only what the order needs is derived
-    before the exchange."""
-    keyed = lineitem.select("*", *[F.expr(VERSION_COLUMNS[name]).alias(name) for name in ORDERED])
-    others = {name: text for name, text in VERSION_COLUMNS.items() if name not in ORDERED}
-    return _finish(latest_marked(keyed).selectExpr(*ORDERED, "is_latest", *_expressions(others)))
+    """All versions and delete markers in key order, the latest of each key marked. All is derived behind the exchange, from
+    what it takes of a line item."""
+    marked = latest_marked(lineitem, **{name: F.expr(VERSION_COLUMNS[name]) for name in ORDERED})
+    return _finish(marked.selectExpr("is_latest", *_expressions(VERSION_COLUMNS)))
 
 
 def _written(spark: SparkSession, sf_dir: str, name: str, write: Callable[[DataFrame, str], None]) -> str:
@@ -146,7 +145,9 @@ def _written(spark: SparkSession, sf_dir: str, name: str, write: Callable[[DataF
     where = (spark.sparkContext.applicationId, sf_dir, name)
     if where not in _PATHS:
         path = scratch(spark, name)
-        write(table(spark, sf_dir, "lineitem"), path)
+        rows = table(spark, sf_dir, "lineitem")
+        with small_tasks(spark, rows.count()):
+            write(rows, path)
         _PATHS[where] = path
     return _PATHS[where]
 

@@ -145,9 +145,11 @@ def write_inventory(
     write_sorted(rows, path, mode)
 
 
-def latest_marked(df: DataFrame, n: int | None = None) -> DataFrame:
-    """Versions in key order, by date and version within a key, with ``is_latest`` for the last of each key. One exchange."""
-    return mark_last(df, ["bucket", "key"], [instant_text(F.col("last_modified")), F.col("version_id")], "is_latest", n)
+def latest_marked(df: DataFrame, n: int | None = None, **known: Column) -> DataFrame:
+    """Versions in key order, by date and version within a key, with ``is_latest`` for the last of each key. One exchange.
+    ``known`` gives expressions for bucket, key, date or version where they are no columns yet."""
+    bucket, key, date, version = [known.get(c, F.col(c)) for c in ("bucket", "key", "last_modified", "version_id")]
+    return mark_last(df, [bucket, key], [instant_text(date), version], "is_latest", n)
 
 
 def write_sorted(df: DataFrame, path: str, mode: str = "errorifexists") -> None:

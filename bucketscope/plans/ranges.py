@@ -7,14 +7,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from bucketscope.session import partitions_for
+
 #: Sampled rows per range, which bounds what comes to the driver.
 SAMPLES_PER_RANGE = 20
 
 
-def splitters(df: DataFrame, column: str, ranges: int, seed: int = 7) -> list[str]:
+def splitters(df: DataFrame, column: str, ranges: int, seed: int = 7, total: int | None = None) -> list[str]:
     """Values that cut the rows into at most ``ranges`` about equal ranges of a string column, from a sample. A range begins
-    at a splitter; the first begins at the smallest value of all. Equal values are never cut apart."""
-    total = df.count()
+    at a splitter; the first begins at the smallest value of all. Equal values are never cut apart. ``total`` is the number
+    of rows, where it is known."""
+    total = df.count() if total is None else total
     if total < 2 or ranges < 2:
         return []
     share = min(1.0, ranges * SAMPLES_PER_RANGE / total)
@@ -45,7 +48,9 @@ def instant_text(moment: Column) -> Column:
     return F.coalesce(F.lpad(micros.cast("string"), 19, "0"), F.lit(""))
 
 
-def mark_last(df: DataFrame, group: Sequence[str], order: Sequence[Column], name: str, ranges: int | None = None) -> DataFrame:
+def mark_last(
+    df: DataFrame, group: Sequence[str | Column], order: Sequence[Column], name: str, ranges: int | None = None
+) -> DataFrame:
     """The rows with ``name``: whether a row is the last of its group in the order of some texts.
 
     One exchange and no join. The rows are cut into ranges of group and order by splitters, so a group of any size is in as
@@ -53,14 +58,21 @@ def mark_last(df: DataFrame, group: Sequence[str], order: Sequence[Column], name
     the splitter that begins the next: a splitter is a row of the table. The result is sorted, a partition per range, in the
     order of the ranges. Null group values count as empty. Rows equal in group and order are marked together or one by one,
     as they come.
+
+    Only the columns of ``df`` and the range are shuffled: the texts of group and order are made again behind the exchange.
+    Without ``ranges``, there are as many as hold about ``ROWS_PER_TASK`` rows each, so a task sorts no more when the table
+    grows; and the rows that look at each other are those of a group, so no range is held a second time.
     """
     spark = df.sparkSession
-    ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    whole = F.concat(*[_in_order(F.col(g)) for g in group])
-    placed = df.select("*", whole.alias("_group"), F.concat(whole, *[_in_order(o) for o in order]).alias("_address"))
-    cuts = splitters(placed, "_address", ranges)
-    ranged = placed.withColumn("_range", range_of(F.col("_address"), cuts).cast("int"))
-    ranged = ranged.repartitionById(len(cuts) + 1, "_range")
-    along = Window.partitionBy("_range").orderBy("_address")
-    following = F.coalesce(F.lead("_address").over(along), F.get(F.lit(cuts).cast("array<string>"), F.col("_range")), F.lit(""))
-    return ranged.withColumn(name, ~following.startswith(F.col("_group"))).drop("_group", "_address", "_range")
+    total = df.count()
+    ranges = ranges or partitions_for(spark, total)
+    whole = F.concat(*[_in_order(F.col(g) if isinstance(g, str) else g) for g in group])
+    rest = F.concat(*[_in_order(o) for o in order])
+    placed = df.select("*", F.concat(whole, rest).alias("_address"))
+    cuts = splitters(placed, "_address", ranges, total=total)
+    ranged = placed.withColumn("_range", range_of(F.col("_address"), cuts).cast("int")).drop("_address")
+    ranged = ranged.repartitionById(len(cuts) + 1, "_range").withColumns({"_group": whole, "_rest": rest})
+    along = Window.partitionBy("_range", "_group").orderBy("_rest")
+    next_range = F.coalesce(F.get(F.lit(cuts).cast("array<string>"), F.col("_range")), F.lit(""))
+    last = F.lead("_rest").over(along).isNull() & ~next_range.startswith(F.col("_group"))
+    return ranged.withColumn(name, last).drop("_group", "_rest", "_range")

@@ -11,6 +11,10 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows that a task sorts or holds at once, and bytes of stored files that it reads before a shuffle.
+ROWS_PER_TASK = 200_000
+BYTES_PER_TASK = 16 << 20
+
 
 def build_session(app: str = "bucketscope", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators rely on: UTC and adaptive execution."""
@@ -43,6 +47,22 @@ def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
             spark.conf.set(name, before)
 
 
+def partitions_for(spark: SparkSession, rows: int) -> int:
+    """Partitions for a shuffle of so many rows: as the session has them, or more, so that none grows with the table."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS_PER_TASK))
+
+
+@contextmanager
+def small_tasks(spark: SparkSession, rows: int) -> Iterator[None]:
+    """What is run inside shuffles ``rows`` rows in tasks of bounded size, on both sides of the shuffle, so that they need not
+    spill however large the table is."""
+    split = "spark.sql.files.maxPartitionBytes"
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(split))
+    partitions = str(partitions_for(spark, rows))
+    with setting(spark, split, str(min(now, BYTES_PER_TASK))), setting(spark, "spark.sql.shuffle.partitions", partitions):
+        yield
+
+
 def is_local(master: str) -> bool:
     """Whether driver and executors are one process."""
     return master == "local" or master.startswith("local[")

@@ -7,6 +7,7 @@ import pytest
 from conftest import DAY, row
 from pyspark.sql import functions as F
 
+from bucketscope import session
 from bucketscope.operators.hierarchy import write_inventory
 from bucketscope.plans import ranges
 from bucketscope.plans.ranges import instant_text, mark_last, range_of, splitters
@@ -43,6 +44,19 @@ def test_last_rows_of_groups(spark, monkeypatch, n, samples):
     assert sum("Exchange" in line and "RoundRobin" not in line for line in plan) == 1 and not any("Join" in line for line in plan)
 
 
+def test_a_range_holds_no_more_rows_when_the_table_grows(spark, monkeypatch):
+    """Ranges by rows, whatever the number of shuffle partitions; no text of the order is shuffled, and no window holds a range."""
+    monkeypatch.setattr(session, "ROWS_PER_TASK", 100)
+    df = spark.range(4000).select((F.col("id") % 40).cast("string").alias("k"), F.col("id").alias("n"))
+    found = mark_last(df, ["k"], [F.format_string("%06d", "n")], "last")
+    sizes = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) > 30 and max(sizes) < 400
+    assert sorted(r["n"] for r in found.where("last").collect()) == list(range(3960, 4000))
+    plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    at = next(i for i, line in enumerate(plan) if "RepartitionByExpression" in line)
+    assert "_address" not in plan[at + 1].split("AS _range")[1] and any("Window" in line and "_group" in line for line in plan[:at])
+
+
 def test_instants_as_text_are_in_order(spark):
     moments = [None, dt.datetime(1, 1, 1), dt.datetime(1969, 12, 31, 23, 59, 59), dt.datetime(1970, 1, 1), dt.datetime(2024, 1, 1, 0, 0, 0, 1), dt.datetime(9999, 12, 31)]
     df = spark.createDataFrame([(i, m) for i, m in enumerate(moments)], "i int, t timestamp").select("i", instant_text(F.col("t")).alias("s"))
