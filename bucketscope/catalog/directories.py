@@ -136,7 +136,7 @@ HISTORY = """select bucket, key, version_id, is_latest, row_number() over (
 
 @query("history", HISTORY, ("versions",))
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fixtures.versions(spark, sf_dir)
+    rows = fixtures.versions(spark, sf_dir).select("bucket", "entry_type", "key", "last_modified", "version_id", "is_latest")
     numbered = line_numbers(rows, [k.order() for k in listing_order(["key"], versions=True)])
     return numbered.select("bucket", "key", "version_id", "is_latest", "pos")
 

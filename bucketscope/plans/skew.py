@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bucketscope.session import checkpoint_dir
+from bucketscope.session import small_tasks, stored
 
 CHUNK = 4096
 
@@ -15,11 +15,13 @@ CHUNK = 4096
 def line_numbers(df: DataFrame, order: Sequence[Column], name: str = "pos") -> DataFrame:
     """Rows with their position in a total order, from 1.
 
-    The sorted rows are numbered within range partitions and checkpointed, so that the numbers stay with the rows when
-    an executor is lost. Only the row count per partition comes to the driver, to give each partition its offset.
+    The sorted rows are numbered within range partitions and stored, so that the numbers stay with the rows when an
+    executor is lost. There are as many partitions as hold a bounded number of rows. Only the row count per partition comes
+    to the driver, to give each partition its offset.
     """
-    checkpoint_dir(df.sparkSession)
-    slotted = df.orderBy(*order).withColumn("_slot", F.monotonically_increasing_id()).checkpoint()
+    spark = df.sparkSession
+    with small_tasks(spark, df.count()):
+        slotted = stored(df.orderBy(*order).withColumn("_slot", F.monotonically_increasing_id()), "numbered")
     part = F.shiftright("_slot", 33)
     sizes = slotted.groupBy(part.cast("int").alias("part")).count().collect()
     count_of = dict(sizes)

@@ -6,7 +6,7 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import ExitStack, contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -58,8 +58,13 @@ def small_tasks(spark: SparkSession, rows: int) -> Iterator[None]:
     spill however large the table is."""
     split = "spark.sql.files.maxPartitionBytes"
     now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(split))
-    partitions = str(partitions_for(spark, rows))
-    with setting(spark, split, str(min(now, BYTES_PER_TASK))), setting(spark, "spark.sql.shuffle.partitions", partitions):
+    held = {split: str(min(now, BYTES_PER_TASK)), "spark.sql.shuffle.partitions": str(partitions_for(spark, rows))}
+    if rows > ROWS_PER_TASK:
+        # adaptive execution merges partitions by compressed bytes, of which narrow rows have few
+        held["spark.sql.adaptive.coalescePartitions.enabled"] = "false"
+    with ExitStack() as stack:
+        for name, value in held.items():
+            stack.enter_context(setting(spark, name, value))
         yield
 
 

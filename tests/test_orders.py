@@ -2,7 +2,9 @@ import datetime as dt
 
 import pytest
 from conftest import DAY, keys, row
+from pyspark.sql import functions as F
 
+from bucketscope import session
 from bucketscope.operators.sorting import listing_order, sort_buckets, sort_listing, validate_sort
 from bucketscope.operators.summary import summarize, with_summary
 from bucketscope.operators.versions import current_view, history
@@ -116,3 +118,12 @@ def test_previous_values_agree_with_lag(spark):
     for chunk in (1, 7, 4096):
         got = previous_values(df, ["g"], "n", ["v"], chunk)
         assert got.exceptAll(expected).count() == 0 and expected.exceptAll(got).count() == 0
+
+
+def test_line_numbers_come_from_partitions_of_bounded_rows(spark, monkeypatch):
+    monkeypatch.setattr(session, "ROWS_PER_TASK", 100)
+    df = spark.range(3000).select((F.col("id") * 7 % 3000).alias("n"))
+    numbered = line_numbers(df, [F.col("n").desc()])
+    assert len(numbered.inputFiles()) >= 25
+    assert [(r["n"], r["pos"]) for r in numbered.orderBy("pos").collect()] == [(2999 - i, i + 1) for i in range(3000)]
+    assert spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled") == "true"
