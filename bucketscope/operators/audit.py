@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from bucketscope.operators.hierarchy import DISCOVERY_DEPTH, ancestors, directory_of, prefix_counts
 from bucketscope.plans.skew import previous_values
-from bucketscope.session import stored
+from bucketscope.session import small_tasks, stored
 from bucketscope.sources.targets import BROADCAST_BYTES, ROW_BYTES, under
 
 MAX_KEYS = 1000  # fixed value: largest page of a listing request
@@ -97,12 +97,15 @@ def audit_pages(pages: DataFrame) -> DataFrame:
 
 
 def reconcile(
-    expected: DataFrame, actual: DataFrame, on: Sequence[str] = ("bucket", "key", "version_id")
+    expected: DataFrame, actual: DataFrame, on: Sequence[str] = ("bucket", "key", "version_id"), rows: int | None = None
 ) -> DataFrame:
     """Keys that differ: ``missing``, ``unexpected`` or ``duplicate``, with their counts on both sides.
 
-    Both sides are counted in one aggregation, so repeated keys never meet in a join.
+    Both sides are counted in one aggregation, so repeated keys never meet in a join. It runs at once, in as many tasks as
+    count a bounded number of keys each; the result is read from what it stored. ``rows`` is the number of rows of both
+    sides, where it is known.
     """
+    spark = expected.sparkSession
     both = expected.select(*on, F.lit(1).alias("e"), F.lit(0).alias("a")).unionByName(
         actual.select(*on, F.lit(0).alias("e"), F.lit(1).alias("a"))
     )
@@ -113,7 +116,8 @@ def reconcile(
         .when(F.col("actual_count") > F.col("expected_count"), "duplicate")
         .when(F.col("actual_count") < F.col("expected_count"), "missing")
     )
-    return counts.withColumn("status", status).filter(F.col("status").isNotNull())
+    with small_tasks(spark, both.count() if rows is None else rows):
+        return stored(counts.withColumn("status", status).filter(F.col("status").isNotNull()), "reconciled")
 
 
 def _digests(df: DataFrame, on: Sequence[str], prefix: str, depth: int, sign: int) -> DataFrame:
@@ -168,10 +172,14 @@ def reconcile_by_prefix(
     ``broadcast_bytes``.
     """
     prefix = prefix or ""
-    found = stored(_differing(expected, actual, on, prefix, depth).select("bucket", F.col("prefix").alias("at")), "differing")
-    directories, taken = found.agg(F.count(F.lit(1)), F.sum(F.octet_length("bucket") + F.octet_length("at") + F.lit(ROW_BYTES))).first()
+    counted = F.col("expected_count") + F.col("actual_count")
+    differing = _differing(expected, actual, on, prefix, depth).select("bucket", F.col("prefix").alias("at"), counted.alias("rows"))
+    found = stored(differing, "differing")
+    size = F.octet_length("bucket") + F.octet_length("at") + F.lit(ROW_BYTES)
+    directories, taken, rows = found.agg(F.count(F.lit(1)), F.sum(size), F.sum("rows")).first()
+    found = found.drop("rows")
     if not directories:
-        return reconcile(expected.limit(0), actual.limit(0), on)
+        return reconcile(expected.limit(0), actual.limit(0), on, 0)
 
     def within(df: DataFrame) -> DataFrame:
         placed = under(df, prefix).withColumn("at", directory_of(F.col("key"), prefix, depth)[0]).alias("rows")
@@ -179,4 +187,4 @@ def reconcile_by_prefix(
         same = F.col("rows.bucket").eqNullSafe(F.col("chosen.bucket")) & F.col("rows.at").eqNullSafe(F.col("chosen.at"))
         return placed.join(chosen, same, "left_semi").select(*on)
 
-    return reconcile(within(expected), within(actual), on)
+    return reconcile(within(expected), within(actual), on, rows)

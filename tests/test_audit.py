@@ -5,6 +5,7 @@ from collections import Counter
 import pytest
 from conftest import row
 
+from bucketscope import session
 from bucketscope.operators.audit import (
     audit_pages,
     differing_prefixes,
@@ -139,3 +140,15 @@ def test_equal_inventories_shuffle_no_key(spark):
     assert found.columns == reconcile(expected, actual).columns
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "LocalRelation" in plan and "Scan" not in plan
+
+
+def test_reconciling_counts_in_tasks_of_bounded_rows(spark, monkeypatch):
+    monkeypatch.setattr(session, "ROWS_PER_TASK", 100)
+    schema = "bucket string, key string, version_id string"
+    expected = spark.createDataFrame([("b", f"d{i % 3}/{i}", None) for i in range(2000)], schema)
+    actual = spark.createDataFrame([("b", f"d{i % 3}/{i}", None) for i in range(1000, 3000)], schema)
+    for found in (reconcile(expected, actual), reconcile_by_prefix(expected, actual)):
+        assert len(found.inputFiles()) >= 35
+        assert sorted((r["key"].split("/")[1], r["status"]) for r in found.collect()) == sorted(
+            [(str(i), "missing") for i in range(1000)] + [(str(i), "unexpected") for i in range(2000, 3000)]
+        )
