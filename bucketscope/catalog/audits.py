@@ -18,6 +18,7 @@ from bucketscope.operators.filters import FilterConfig
 from bucketscope.operators.hierarchy import list_level
 from bucketscope.schema import LISTING_SCHEMA
 from bucketscope.session import scratch
+from bucketscope.sources.layout import data_files
 from bucketscope.streaming.listing import (
     append_to,
     emit_prefixes,
@@ -30,10 +31,15 @@ from bucketscope.streaming.listing import (
     stream_summary,
 )
 
+#: Micro-batches that a larger inventory is read in.
+BATCHES = 8
+
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The inventory's files as a stream, a few per micro-batch."""
-    return read_stream(spark, fixtures.inventory_path(spark, sf_dir), LISTING_SCHEMA, files_per_trigger=4)
+    """The inventory's files as a stream, a few per micro-batch: four, or so many that there are about ``BATCHES``."""
+    path = fixtures.inventory_path(spark, sf_dir)
+    files = data_files(spark, path).count()
+    return read_stream(spark, path, LISTING_SCHEMA, files_per_trigger=max(4, -(-files // BATCHES)))
 
 
 @query("stream_listing", f"select bucket, entry_type, key, size, version_id from r where {EVERY_STEP}", ("r",))

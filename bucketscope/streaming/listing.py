@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -14,7 +15,7 @@ from bucketscope.operators.filters import FilterConfig, apply_filters
 from bucketscope.operators.summary import total_columns
 from bucketscope.plans.listing import entries
 from bucketscope.schema import PREFIX
-from bucketscope.session import stored
+from bucketscope.session import ship_package, stored
 from bucketscope.sources.layout import check_files, check_rows
 from bucketscope.sources.targets import under
 
@@ -62,16 +63,24 @@ def stream_prefixes(sdf: DataFrame, prefix: str | None = None, depth: int = 1) -
     """Each directory at the boundary once, when a key below it first arrives.
 
     State holds every directory seen, up to ``SALTS`` times, and has no watermark: it grows with the number of
-    directories, not of keys. Repeats are dropped per salt first, so those of a hot directory do not all go to one task.
+    directories, not of keys. Tasks merge the repeats of a batch of rows before these are shuffled and looked up. Repeats
+    are then dropped per salt first, so those of a hot directory do not all go to one task.
     """
+    ship_package(sdf.sparkSession)
     prefix = prefix or ""
-    salt = F.pmod(F.xxhash64("key"), F.lit(SALTS)).alias("_salt")
+    salt = F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int").alias("_salt")
     found = under(sdf, prefix).select("bucket", prefix_at_depth(F.col("key"), prefix, depth).alias("at"), salt)
-    found = found.filter(F.col("at").isNotNull()).dropDuplicates(["bucket", "at", "_salt"])
+    found = found.filter(F.col("at").isNotNull())
+    found = found.mapInArrow(_merged, found.schema).dropDuplicates(["bucket", "at", "_salt"])
     once = found.dropDuplicates(["bucket", "at"])
     return once.select("bucket", F.lit(PREFIX).alias("entry_type"), F.col("at").alias("key"))
 
 
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield from pa.Table.from_batches([batch]).group_by(batch.schema.names).aggregate([]).to_batches()
+
+
 def emit_prefixes(sdf: DataFrame, path: str, checkpoint: str, prefix: str | None = None, depth: int = 1) -> StreamingQuery:
     """Process what is available and write each directory at the boundary once below ``path``, with no stream state.
 

@@ -1,10 +1,13 @@
 import datetime as dt
 
+import pyarrow as pa
 import pytest
 from conftest import DAY, row
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
+from bucketscope import fixtures
+from bucketscope.catalog import audits
 from bucketscope.operators.filters import FilterConfig, apply_filters
 from bucketscope.operators.hierarchy import list_recursive
 from bucketscope.operators.summary import summarize
@@ -168,3 +171,20 @@ def test_a_staged_stream_gives_what_a_listing_gives(spark, rows, inventory, tmp_
         assert sorted(map(str, spark.read.parquet(out).collect())) == sorted(map(str, expected.collect()))
     with pytest.raises(ValueError, match="staged"):
         stream_listing(staged, CONFIG, bucket="b")
+
+
+def test_repeats_of_a_directory_are_merged_before_the_shuffle(spark):
+    repeated = pa.RecordBatch.from_pydict({"bucket": ["b"] * 3000 + [None], "at": ["a/", "b/", "a/"] * 1000 + ["a/"], "_salt": [1] * 3001})
+    merged = list(streaming._merged(iter([repeated, repeated.slice(0, 0)])))
+    rows = [tuple(r.values()) for b in merged for r in b.to_pylist()]
+    assert sorted(rows, key=str) == sorted([("b", "a/", 1), ("b", "b/", 1), (None, "a/", 1)], key=str)
+
+
+def test_an_inventory_of_many_files_takes_few_micro_batches(spark, rows, tmp_path, monkeypatch):
+    path = str(tmp_path / "many")
+    batch(rows, 0, 150).repartition(60).write.parquet(path)
+    monkeypatch.setattr(fixtures, "inventory_path", lambda spark, sf_dir: path)
+    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+    append_to(audits._stream(spark, "").select("key"), out, state).awaitTermination()
+    assert spark.read.parquet(out).count() == 150
+    assert len([f for f in (tmp_path / "state" / "commits").iterdir() if f.name.isdigit()]) <= audits.BATCHES
