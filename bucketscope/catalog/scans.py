@@ -15,7 +15,7 @@ from bucketscope.operators.filters import FilterConfig
 from bucketscope.operators.hierarchy import repartition_by_prefix
 from bucketscope.plans.display import Display
 from bucketscope.plans.writer import write_listing
-from bucketscope.session import scratch, stored
+from bucketscope.session import ROWS_PER_TASK, scratch, small_tasks, stored
 from bucketscope.sources import inventory, manifest, ndjson, tree
 from bucketscope.sources.targets import format_target, parse_target, under, under_targets
 
@@ -296,13 +296,21 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each row with whether its partition's range of keys meets that of another, and whether there are several at all."""
+    by = ["bucket", "key", "version_id"]
     rows = fixtures.versions(spark, sf_dir).select("bucket", "key", "size", "version_id")
-    dealt = stored(repartition_by_prefix(rows, 8).withColumn("part", F.spark_partition_id()), "dealt")
-    place = F.struct("bucket", "key", "version_id")
+    with small_tasks(spark, rows.count()):
+        ordered = repartition_by_prefix(rows, 8, ROWS_PER_TASK).sortWithinPartitions(*by)
+        dealt = stored(ordered.withColumn("slot", F.monotonically_increasing_id()), "dealt")
+    part = F.shiftright("slot", 33).alias("part")
+    # numbers find the first and the last row of a partition, so that no task puts its keys in order again
+    ends = dealt.groupBy(part).agg(F.max("slot").alias("last"))
+    place = F.struct(*by)
+    found = dealt.select(part, "slot", place.alias("place")).join(F.broadcast(ends), "part")
+    ends_of = found.where((F.col("slot") == F.col("last")) | (F.col("slot").bitwiseAND(F.lit((1 << 33) - 1)) == 0))
     # a row per partition
-    edges = dealt.groupBy("part").agg(F.min(place).alias("least"), F.max(place).alias("most"))
+    edges = ends_of.groupBy("part").agg(F.min("place").alias("least"), F.max("place").alias("most"))
     along = Window.orderBy("least")
     met = F.coalesce(F.lag("most").over(along) >= F.col("least"), F.lit(False)) | F.coalesce(F.lead("least").over(along) <= F.col("most"), F.lit(False))
     several = F.count(F.lit(1)).over(Window.partitionBy()) > 1
     ranges = edges.select("part", several.alias("several"), met.alias("overlaps"))
-    return dealt.join(F.broadcast(ranges), "part").drop("part")
+    return dealt.select("bucket", "key", "size", "version_id", part).join(F.broadcast(ranges), "part").drop("part")

@@ -121,12 +121,15 @@ def discover_prefixes(df: DataFrame, prefix: str | None = None, depth: int = DIS
     )
 
 
-def repartition_by_prefix(df: DataFrame, n: int | None = None) -> DataFrame:
-    """Partitions of neighbouring keys: ``n`` of them, or as many as adaptive execution finds fit the size.
+def repartition_by_prefix(df: DataFrame, n: int | None = None, rows: int | None = None) -> DataFrame:
+    """Partitions of neighbouring keys: ``n`` of them, or as many as adaptive execution finds fit the size. With ``rows``, at
+    least ``n``, and as many as hold about that many rows each.
 
     Versions take part in the order, so one key with very many of them is split too.
     """
     by = [c for c in ("bucket", "key", "version_id") if c in df.columns]
+    if rows:
+        n = max(n or 1, -(-df.count() // rows))
     return df.repartitionByRange(n, *by) if n else df.repartitionByRange(*by)
 
 

@@ -114,3 +114,10 @@ def test_stages_come_in_order(rows):
     assert entries(versions) == [("PREFIX", "gone/"), ("PREFIX", "kept/")]
     assert entries(listing(df)) == [("OBJECT", "top.txt"), ("PREFIX", "kept/")]
     assert entries(listing(df, versions=True, objects_only=True)) == [("OBJECT", "top.txt")]
+
+
+def test_partitions_by_prefix_hold_bounded_rows(spark):
+    df = spark.range(3000).select(F.lit("b").alias("bucket"), F.format_string("k%05d", "id").alias("key"))
+    dealt = repartition_by_prefix(df, 8, 100)
+    assert dealt.rdd.getNumPartitions() >= 25 and dealt.count() == 3000
+    assert repartition_by_prefix(df, 8, 1000).rdd.getNumPartitions() == 8
