@@ -57,7 +57,9 @@ def _register_form(form: str) -> None:
         rows = fixtures.versions(spark, sf_dir)
         if form == "csv":
             rows = rows.withColumn("checksum_algorithm", F.nullif(F.array_join("checksum_algorithm", ","), F.lit("")))
-            rows.write.csv(path, header=True, escape='"', emptyValue='""')
+            rows.write.csv(path, header=True, escape='"', emptyValue='""', compression="gzip")
+        elif form == "json":
+            rows.write.json(path, compression="gzip")
         else:
             rows.write.format(form).save(path)
         return plain(inventory.read_inventory(spark, path, form, line_breaks=True))
