@@ -226,7 +226,7 @@ from versions) v""",
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "listing")
     rows = fixtures.versions(spark, sf_dir)
-    write_listing(rows, path, "json", Display(versions=True), sort=None, summary=True)
+    write_listing(rows, path, "json", Display(versions=True), sort=None, summary=True, compression="gzip")
     return plain(ndjson.read_listing_json(spark, path).drop("bucket"))
 
 
@@ -240,7 +240,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "listing")
     write_listing(
         fixtures.versions(spark, sf_dir), path, "json", Display(versions=True),
-        sort=None, summary=True,
+        sort=None, summary=True, compression="gzip",
     )
     return ndjson.read_summary_json(spark, path)
 

@@ -93,12 +93,14 @@ def write_listing(
     with_header: bool = False,
     summary: bool = False,
     mode: str = "errorifexists",
+    compression: str | None = None,
 ) -> None:
     """Write a listing to ``path``: ``tsv``, ``aligned``, ``lines``, ``json`` (NDJSON) or ``parquet``.
 
     The rows are range-partitioned and sorted, and counted as they are written; with ``sort=None`` they keep the partitions
     they have, and the input is evaluated once. A typed table has no place for a header or a total: asking for them raises;
-    see :func:`write_with_summary`. ``mode`` is ``errorifexists``, ``overwrite`` or ``ignore``.
+    see :func:`write_with_summary`. ``mode`` is ``errorifexists``, ``overwrite`` or ``ignore``. ``compression``, such as
+    ``gzip``, is that of the rows' files; header and total are plain, and Spark reads them as one listing.
     """
     if form == "parquet" and (with_header or summary):
         raise ValueError("a parquet listing has no header and no total; see write_with_summary")
@@ -109,15 +111,17 @@ def write_listing(
             return
         rows = df.orderBy(*keys) if keys else df
         if form == "parquet":
-            rows.write.parquet(staging.path)
+            rows.write.parquet(staging.path, compression=compression)
             return
-        _write_lines(rows, staging, listing_line(form, show), title, summary_line(form, show) if summary else None)
+        _write_lines(rows, staging, listing_line(form, show), title, summary_line(form, show) if summary else None, compression)
 
 
-def _write_lines(rows: DataFrame, staging: Staging, line: Column, title: str | None, total: Column | None) -> None:
+def _write_lines(
+    rows: DataFrame, staging: Staging, line: Column, title: str | None, total: Column | None, compression: str | None = None
+) -> None:
     totals = Totals()
     counted = totals.counted(rows) if total is not None else rows
-    counted.select(line.alias("value")).write.text(staging.path)
+    counted.select(line.alias("value")).write.text(staging.path, compression=compression)
     if title is not None:
         staging.add_file(HEADER, title + "\n")
     if total is not None:

@@ -213,3 +213,14 @@ def test_parquet_and_json_round_trip(spark, rows, tmp_path):
     ).withColumn("e_tag", F.when(F.col("entry_type") == "OBJECT", F.col("e_tag")).otherwise(""))
     assert sorted(map(str, back.collect())) == sorted(map(str, wanted.collect()))
     assert tuple(read_summary_json(spark, str(tmp_path / "json")).first()) == (1, 1234, 1)
+
+
+def test_a_compressed_listing_reads_as_the_plain_one(spark, rows, tmp_path):
+    listed = rows(*[row(f"k{i:04d}", i) for i in range(500)]).repartition(3)
+    read = {}
+    for name, packed in (("plain", None), ("packed", "gzip")):
+        write_listing(listed, str(tmp_path / name), "tsv", with_header=True, summary=True, compression=packed)
+        read[name] = [r["value"] for r in read_lines(spark, str(tmp_path / name)).orderBy("pos").collect()]
+    assert read["packed"] == read["plain"] and len(read["plain"]) == 503
+    size = lambda name: sum(f.stat().st_size for f in (tmp_path / name).glob("part-0*"))
+    assert 0 < 3 * size("packed") < size("plain")
