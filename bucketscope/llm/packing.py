@@ -96,15 +96,22 @@ class Encoder:
 
 
 class _Chunks(dict):
-    """Ids of chunks, each after the text ``before`` it."""
+    """Ids of chunks, each after the text ``before`` it. What half of the bytes held becomes the older part when they are full,
+    and stays as far as it is asked for again."""
 
     def __init__(self, encoder: Encoder, before: str):
-        self.encoder, self.before, self.odd, self.size = encoder, before, {}, 0
+        self.encoder, self.before, self.odd, self.older, self.size = encoder, before, {}, {}, 0
+        self.mark = before.translate(_BYTE_MARKS)
 
     def __missing__(self, chunk: str) -> bytes:
-        if not chunk or chunk[0].isspace() or chunk[-1].isspace():
-            raise _Odd
-        found = self._parts(chunk)
+        found = self.older.get(chunk)
+        if found is None:
+            if chunk.isascii() and chunk.isalpha():
+                found = _packed([t.id for t in self.encoder.model.tokenize(self.mark + chunk)])
+            elif not chunk or chunk[0].isspace() or chunk[-1].isspace():
+                raise _Odd
+            else:
+                found = self._parts(chunk)
         self._remember(self, chunk, found)
         return found
 
@@ -112,7 +119,8 @@ class _Chunks(dict):
         if len(chunk) > LONG_CHUNK:
             return
         self.size += ENTRY_BYTES + len(chunk) + len(ids)
-        if self.size > CACHE_BYTES:
+        if self.size > CACHE_BYTES // 2:
+            self.older = dict(self)
             self.clear()
             self.odd.clear()
             self.size = 0
@@ -132,7 +140,7 @@ class _Chunks(dict):
 
     def whole(self, chunk: str) -> bytes:
         """Of a chunk that may hold any blanks."""
-        found = self.get(chunk) or self.odd.get(chunk)
+        found = self.get(chunk) or self.older.get(chunk) or self.odd.get(chunk)
         if found is None:
             found = self.encoder.ids(self.before + chunk)
             self._remember(self.odd, chunk, found)

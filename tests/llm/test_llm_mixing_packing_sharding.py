@@ -265,3 +265,24 @@ def test_written_shards_are_read_back_in_order(spark, tmp_path):
     back = spark.read.parquet(path).collect()
     assert {r["id"] for r in back} == set(range(100)) and Counter(r["shard"] for r in back) == {s: 25 for s in range(4)}
     assert all(sorted(r["slot"] for r in group) == list(range(25)) for _, group in itertools.groupby(sorted(back, key=lambda r: r["shard"]), key=lambda r: r["shard"]))
+
+
+def test_chunks_asked_for_again_outlive_a_full_memory(monkeypatch):
+    """Words that recur are encoded once though others fill the memory time and again, which stays within its bytes."""
+    monkeypatch.setattr(packing, "CACHE_BYTES", 100_000)
+    encode, plain = packing.Encoder(tokenizer_file()), packing.Encoder(tokenizer_file())
+    asked = []
+    tokenize = encode.model.tokenize
+
+    class Model:
+        def tokenize(self, word):
+            asked.append(word)
+            return tokenize(word)
+
+    encode.model = Model()
+    letters = "abcdefghij"
+    for n in range(3000):
+        text = "the " + "".join(letters[int(c)] for c in str(n)) + "x the"
+        assert encode(text) == plain.ids(text)
+    assert asked.count("\u0120the") == 1 and len(asked) > 3000
+    assert len(encode.later) + len(encode.later.older) < 100_000 // packing.ENTRY_BYTES
