@@ -105,7 +105,12 @@ def reconcile(
     count a bounded number of keys each; the result is read from what it stored. ``rows`` is the number of rows of both
     sides, where it is known.
     """
-    spark = expected.sparkSession
+    rows = expected.count() + actual.count() if rows is None else rows
+    with small_tasks(expected.sparkSession, rows):
+        return stored(_counted(expected, actual, on), "reconciled")
+
+
+def _counted(expected: DataFrame, actual: DataFrame, on: Sequence[str]) -> DataFrame:
     both = expected.select(*on, F.lit(1).alias("e"), F.lit(0).alias("a")).unionByName(
         actual.select(*on, F.lit(0).alias("e"), F.lit(1).alias("a"))
     )
@@ -116,8 +121,7 @@ def reconcile(
         .when(F.col("actual_count") > F.col("expected_count"), "duplicate")
         .when(F.col("actual_count") < F.col("expected_count"), "missing")
     )
-    with small_tasks(spark, both.count() if rows is None else rows):
-        return stored(counts.withColumn("status", status).filter(F.col("status").isNotNull()), "reconciled")
+    return counts.withColumn("status", status).filter(F.col("status").isNotNull())
 
 
 def _digests(df: DataFrame, on: Sequence[str], prefix: str, depth: int, sign: int) -> DataFrame:
@@ -179,7 +183,7 @@ def reconcile_by_prefix(
     directories, taken, rows = found.agg(F.count(F.lit(1)), F.sum(size), F.sum("rows")).first()
     found = found.drop("rows")
     if not directories:
-        return reconcile(expected.limit(0), actual.limit(0), on, 0)
+        return _counted(expected.limit(0), actual.limit(0), on)
 
     def within(df: DataFrame) -> DataFrame:
         placed = under(df, prefix).withColumn("at", directory_of(F.col("key"), prefix, depth)[0]).alias("rows")
