@@ -10,6 +10,8 @@ of its length. Only the histogram and the patterns are on the driver.
 from __future__ import annotations
 
 import bisect
+import codecs
+import os
 import re
 import struct
 import zlib
@@ -19,6 +21,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +34,9 @@ END_ID = 0
 CACHE_BYTES = 160 << 20
 ENTRY_BYTES = 200
 LONG_CHUNK = 64
+#: Bytes of texts whose chunks are looked up together; a longer text is encoded by itself.
+GROUP_BYTES = 8 << 20
+WORDS_AT_ONCE = 1 << 16
 #: Pieces of equal length are ranked in chunks of a uniform hash.
 CHUNKS = 256
 
@@ -39,6 +45,8 @@ _SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
 #: Marks that are never in one token with a letter or digit before them; an apostrophe may begin a word's ending.
 _MARKS = ".,;:!?#%&*$|)(\"-_"
+#: Letters of which a run is one word of the pre-tokenisation.
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
 
 Pattern = tuple[tuple[int, int], ...]
 
@@ -50,27 +58,44 @@ class _Odd(Exception):
 # How a byte-level vocabulary writes a byte: as itself where it prints, the others as the characters from 256 on.
 _PRINTS = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_MARKS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTS)}
+_BYTE_TABLE = "".join(chr(_BYTE_MARKS.get(b, b)) for b in range(256))
 
 
 def _packed(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
+def _gathered(values: np.ndarray, counts: np.ndarray, index: np.ndarray) -> np.ndarray:
+    """Of runs of values, each ``counts`` long, those that ``index`` names, in a row."""
+    each = counts[index]
+    skipped = (np.cumsum(counts) - counts)[index] - (np.cumsum(each) - each)
+    return values[np.arange(each.sum()) + np.repeat(skipped, each)]
+
+
 class Encoder:
     """Token ids of whole texts, as little-endian unsigned 32-bit bytes.
 
     A byte-level vocabulary splits a text into words before it merges, and never across a single space between two
-    characters that are not blank: such a space begins the word after it. The texts are cut there, and the ids of each
-    chunk are remembered, so the tokenizer runs once per distinct chunk and not once per occurrence.
+    characters that are not blank: such a space begins the word after it. The texts are cut there. For a column of texts,
+    each distinct chunk of a group is encoded once and the ids of the texts are gathered from those; where a text is encoded
+    by itself, and for chunks that are no plain words, the ids of chunks are remembered.
     """
 
     def __init__(self, tokenizer_path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         # each becomes its one id where a text holds its string; such texts are encoded whole
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         self.model = self.tokenizer.model
+        # the same merges, over many words at once, one a line
+        self.lines = Tokenizer(self.model)
+        self.lines.pre_tokenizer = CharDelimiterSplit("\n".translate(_BYTE_MARKS))
+        vocabulary = self.tokenizer.get_vocab()
+        self.token_bytes = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
+        self.token_bytes[list(vocabulary.values())] = [len(token) for token in vocabulary]
         self.newline = self.ids("\n")
         self.first: dict[str, bytes] = _Chunks(self, "")
         self.later: dict[str, bytes] = _Chunks(self, " ")
@@ -82,6 +107,96 @@ class Encoder:
         """Of a word that pre-tokenisation leaves whole: the merges alone."""
         return _packed([t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(_BYTE_MARKS))])
 
+    def words_ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of letters, each alone or after a space, and how many ids each has."""
+        all_ids, counts = [np.zeros(0, "<u4")], [np.zeros(0, np.int64)]
+        for start in range(0, len(words), WORDS_AT_ONCE):
+            some = words.slice(start, WORDS_AT_ONCE)
+            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(some)], pa.int32()), some), "\n")[0].as_buffer()
+            written = codecs.charmap_decode(joined, "strict", _BYTE_TABLE)[0]
+            ids = np.array(self.lines.encode_batch_fast([written], add_special_tokens=False)[0].ids, dtype="<u4")
+            # a word ends where the tokens are as long as all words so far
+            words_end = np.cumsum(pc.binary_length(some).to_numpy())
+            tokens_end = np.cumsum(self.token_bytes[ids])
+            ends = np.searchsorted(tokens_end, words_end) + 1
+            if ends[-1] != len(ids) or not np.array_equal(tokens_end[ends - 1], words_end):
+                raise ValueError("the vocabulary does not write every byte")
+            all_ids.append(ids)
+            counts.append(np.diff(ends, prepend=0))
+        return np.concatenate(all_ids), np.concatenate(counts)
+
+    def texts(self, column: pa.Array) -> Iterator[bytes]:
+        """Ids of each text of a column, a null as an empty one."""
+        column = pc.fill_null(column, "")
+        ends = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < len(column):
+            before = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + GROUP_BYTES, side="right")))
+            if ends[stop - 1] - before > GROUP_BYTES:
+                yield self(column[start].as_py())
+            else:
+                yield from self._group(column.slice(start, stop - start).cast(pa.string()))
+            start = stop
+
+    def _group(self, texts: pa.Array) -> Iterator[bytes]:
+        """Each distinct chunk of the texts is encoded once, words of letters all together; the ids of the texts are gathered
+        from those of the chunks."""
+        # a newline goes to the chunk after it, so that it does not join two words to a chunk of their own
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
+        starts = lists.offsets.to_numpy().astype(np.int64)
+        coded = lists.values.slice(starts[0], starts[-1] - starts[0]).dictionary_encode()
+        starts -= starts[0]
+        index = coded.indices.to_numpy().astype(np.int64)
+        heads, which = np.unique(index[starts[:-1]], return_inverse=True)
+        index[starts[:-1]] = len(coded.dictionary) + which
+        chunks = pa.concat_arrays([coded.dictionary, coded.dictionary.take(pa.array(heads))])
+        ids, counts, strange = self._chunks(chunks, np.arange(len(chunks)) >= len(coded.dictionary))
+        strange = np.logical_or.reduceat(strange[index], starts[:-1])
+        for token in self.added:
+            strange |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(counts[index])[starts[1:] - 1]
+        own = _gathered(ids, counts, index).tobytes()
+        start = 0
+        for at, (end, by_itself) in enumerate(zip((4 * ends).tolist(), strange.tolist())):
+            yield self(texts[at].as_py()) if by_itself else own[start:end]
+            start = end
+
+    def _chunks(self, chunks: pa.Array, head: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of distinct chunks in a row, how many each has, and which hold blanks where they begin or end, and so have none.
+        ``head`` says which begin a text. A newline that begins a chunk stands in the place of the space before it."""
+        line = pc.starts_with(chunks, "\n")
+        rest = pc.if_else(line, pc.utf8_slice_codeunits(chunks, 1), chunks)
+        plain = pc.match_substring_regex(rest, f"^[{_LETTERS}]+[{re.escape(_MARKS)}]*\\z")
+        line, plain = line.to_numpy(zero_copy_only=False), plain.to_numpy(zero_copy_only=False)
+        alone = line | head
+        given = rest.filter(pa.array(plain))
+        before = pa.array(np.where(alone[plain], "", " "), pa.string())
+        words = pc.binary_join_element_wise(before, pc.ascii_rtrim(given, _MARKS), "").dictionary_encode()
+        marks = pc.replace_substring_regex(given, f"^[{_LETTERS}]+", "").dictionary_encode()
+        others = np.flatnonzero(~plain)
+        told = [self._other(chunk, alone[at]) for at, chunk in zip(others.tolist(), rest.take(pa.array(others)).to_pylist())]
+        strange = np.zeros(len(chunks), dtype=bool)
+        strange[others] = [ids is None for ids in told]
+        # parts: no ids, a newline, other chunks, marks, words
+        parts = [b"", self.newline, *[ids or b"" for ids in told], *[self.first[m] if m else b"" for m in marks.dictionary.to_pylist()]]
+        ids, counts = self.words_ids(words.dictionary)
+        ids = np.concatenate([np.frombuffer(b"".join(parts), dtype="<u4"), ids])
+        counts = np.concatenate([[len(part) // 4 for part in parts], counts])
+        of = np.zeros((len(chunks), 3), dtype=np.int64)
+        of[:, 0] = line
+        of[others, 1] = 2 + np.arange(len(others))
+        of[plain, 1] = len(parts) + words.indices.to_numpy()
+        of[plain, 2] = 2 + len(others) + marks.indices.to_numpy()
+        of[strange] = 0
+        return _gathered(ids, counts, of.ravel()), counts[of].sum(axis=1), strange
+
+    def _other(self, chunk: str, alone: bool) -> bytes | None:
+        try:
+            return (self.first if alone else self.later)[chunk]
+        except _Odd:
+            return None
+
     def __call__(self, text: str) -> bytes:
         if not text:
             return b""
@@ -154,9 +269,14 @@ def _encoder(tokenizer_path: str) -> Encoder:
 
 
 def token_pieces(
-    docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_column: str = "doc_id", text_column: str = "text"
+    docs: DataFrame,
+    tokenizer_path: str,
+    capacity: int = CAPACITY,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    with_ids: bool = True,
 ) -> DataFrame:
-    """One row per piece: ``doc_id, piece, start, length, ids_crc32``, and the ids as ``ids`` (binary).
+    """One row per piece: ``doc_id, piece, start, length, ids_crc32``, and ``with_ids`` the ids as ``ids`` (binary).
 
     A document is its ids, then one end id. Only longer ones are cut, into pieces of ``capacity``; the first piece takes
     what is left over. A null or empty text is the end id alone.
@@ -167,24 +287,27 @@ def token_pieces(
         encode = _encoder(tokenizer_path)
         for batch in batches:
             rows: list[list] = [[], [], [], [], [], []]
-            for at, text in enumerate(batch.column(1)):
-                ids = encode(text.as_py() or "") + end
+            for at, ids in enumerate(encode.texts(batch.column(1))):
+                ids += end
                 n, start, piece = len(ids) // 4, 0, 0
                 while start < n:
                     length = min(n, capacity) if start else (n % capacity or capacity) if n > capacity else n
                     own = ids[4 * start : 4 * (start + length)]
-                    for to, value in zip(rows, (at, piece, start, length, zlib.crc32(own), own)):
+                    for to, value in zip(rows, (at, piece, start, length, zlib.crc32(own), own if with_ids else None)):
                         to.append(value)
                     start, piece = start + length, piece + 1
             taken = pa.array(rows[0], pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(taken), pa.array(rows[1], pa.int32()), *[pa.array(r, pa.int64()) for r in rows[2:5]], pa.array(rows[5], pa.binary())],
-                ["doc_id", "piece", "start", "length", "ids_crc32", "ids"],
-            )
+            columns = [batch.column(0).take(taken), pa.array(rows[1], pa.int32()), *[pa.array(r, pa.int64()) for r in rows[2:5]]]
+            names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+            if with_ids:
+                columns.append(pa.array(rows[5], pa.binary()))
+                names.append("ids")
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     given = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
     kind = given.schema["doc_id"].dataType.simpleString()
-    return in_python(given).mapInArrow(cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, ids binary")
+    schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long"
+    return in_python(given).mapInArrow(cut, schema + (", ids binary" if with_ids else ""))
 
 
 class Histogram:
@@ -381,5 +504,5 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
 
     Nulls, empty and very long texts, and rows repeated whole each give their pieces; identifiers need not be unique.
     """
-    pieces = token_pieces(docs, tokenizer_path, capacity, **columns).drop("ids")
+    pieces = token_pieces(docs, tokenizer_path, capacity, with_ids=False, **columns)
     return pack(stored(pieces, "pieces"), capacity)

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -111,6 +112,40 @@ def test_encoder_agrees_with_a_fresh_tokenizer():
         assert encode(text) == np.array(ids, dtype="<u4").tobytes(), repr(text)
 
 
+def test_texts_of_a_column_agree_with_the_tokenizer(monkeypatch):
+    """In groups of any size, with words and blanks of every kind, nulls, empty texts and texts longer than a group."""
+    rng = random.Random(6)
+    parts = [" ", " ", " ", "  ", "\n", "\n", "\r\n", "\t", "a", "bc", "Word", "\u00dcber", "\u0153", "\u010a", "\u0120", "don't", "'s", "12", ".", ",", "...", "-", "\u00bd", "\u2028",
+             "\x1c", "\x85", "<|endoftext|>", "\u65e5\u672c", "\u01c6", "\u0250", "e\u0301"]
+    texts = [None, "", "\n", " ", "x" * 700, *("".join(rng.choices(parts, k=rng.randrange(0, 16))) for _ in range(4000)), None]
+    encode = packing.Encoder(tokenizer_file())
+    wanted = [encode.ids(text or "") for text in texts]
+    for most in (1, 500, 8 << 20):
+        monkeypatch.setattr(packing, "GROUP_BYTES", most)
+        assert list(packing.Encoder(tokenizer_file()).texts(pa.array(texts))) == wanted
+        assert list(packing.Encoder(tokenizer_file()).texts(pa.array(["cut off", *texts], pa.large_string()).slice(1))) == wanted
+    assert list(encode.texts(pa.array([], pa.string()))) == []
+
+
+def test_new_words_of_a_column_are_encoded_together(monkeypatch):
+    """Words seen for the first time cost no call each, and are not kept: memory does not grow with them."""
+    monkeypatch.setattr(packing, "WORDS_AT_ONCE", 10_000)
+    encode, plain = packing.Encoder(tokenizer_file()), packing.Encoder(tokenizer_file())
+    asked = []
+
+    class Lines:
+        def encode_batch_fast(self, texts, add_special_tokens):
+            asked.extend(texts)
+            return plain.lines.encode_batch_fast(texts, add_special_tokens=add_special_tokens)
+
+    encode.lines, encode.model = Lines(), None
+    letters = "abcdefgh\u00e4\u0153"
+    words = ["".join(letters[int(c)] for c in str(n)) for n in range(30_000)]
+    texts = ["the " + " ".join(words[n : n + 100]) + ".\nThe end, again" for n in range(0, len(words), 100)]
+    assert list(encode.texts(pa.array(texts))) == [plain.ids(text) for text in texts]
+    assert len(asked) == 4 and not encode.later and len(encode.first) < 5
+
+
 def test_pieces_and_places(spark):
     rows = corpus(60) + [(900, "word " * 5000, "a", 1, 1, 1), (901, "tail " * 2047, "a", 1, 1, 1)]
     capacity = 256
